@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from terrasol.llm.decontamination import OP2_SQL, op2_decontamination
+from terrasol.llm.near_duplicates import op8_near_duplicates
+from terrasol.llm.personal_data import op1_personal_data
 from terrasol.llm.secret_scan import op9_secret_scan
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op9_secret_scan,)}
+    return {f.__name__: f for f in (op1_personal_data, op2_decontamination, op8_near_duplicates, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontamination": OP2_SQL}
