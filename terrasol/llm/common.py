@@ -71,3 +71,34 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         before = tuple(now)
     return links.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component")).unionByName(links.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+
+
+def forest_root(up: list[int], i: int) -> int:
+    """Root of a union-find tree, halving the path."""
+    while up[i] != i:
+        up[i] = up[up[i]]
+        i = up[i]
+    return i
+
+
+#: members of a block; two blocks with all they carry fit a task many times over
+BLOCK = 256
+#: bunches of up to BLOCK members share a task until it has about so many
+TASK = 2048
+
+
+def deal(bunches: DataFrame, block: int = BLOCK, per_task: int = TASK) -> DataFrame:
+    """Deals the members of bunches (bunch, node) to tasks: (task, bunch, side, node).
+
+    Small bunches share tasks (side 0).  A large one is cut into blocks; a block is a
+    task within itself (side 0), and every two blocks are a task (sides 1 and 2), so no task
+    holds more than two blocks of a bunch, however large it is.
+    """
+    sizes = bunches.groupBy("bunch").agg(F.count("*").alias("n"))
+    tasks = max(1, -(-bunches.count() // per_task))
+    placed = bunches.join(sizes, "bunch").withColumn("blocks", F.ceil(F.col("n") / block).cast("bigint")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = placed.select("bunch", "node", "blocks", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    large = F.xxhash64("bunch", F.least("own", "other"), F.greatest("own", "other")).bitwiseOR(F.lit(-(2**62)))
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("bunch"), F.lit(tasks))).otherwise(large)
+    return dealt.select(task.alias("task"), "bunch", side.cast("int").alias("side"), "node")

@@ -21,15 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrasol.llm import words as W
-from terrasol.llm.common import components, cut, small_batches, table
+from terrasol.llm.common import BLOCK, components, cut, deal, forest_root, small_batches, table
 
 WIDTH = 5
 COORDINATES = 128
-#: classes of a block; two blocks with all their shingles fit a task many times over
-BLOCK = 256
-#: bunches of up to BLOCK classes share a task until it has so many classes
-TASK = 2048
-
 _seeds = np.random.default_rng(8)
 FACTOR = _seeds.integers(1, 2**63, 1024, dtype=np.uint64) | np.uint64(1)
 OFFSET = _seeds.integers(0, 2**63, 1024, dtype=np.uint64)
@@ -107,21 +102,10 @@ def _unpack(width: int, coordinates: int):
     return run
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-
 def _links(node, side, shingles, signature, agree, similarity):
     """Forest edges among the classes of one bunch (side 0: all pairs of the block;
     sides 1 and 2: pairs across two blocks)."""
-    n, forest, edges = len(node), _Forest(len(node)), []
+    n, up, edges = len(node), list(range(len(node))), []
     size = np.array([len(s) for s in shingles])
     across = side.max() > 0
     columns = np.flatnonzero(side == 2) if across else np.arange(n)
@@ -134,12 +118,12 @@ def _links(node, side, shingles, signature, agree, similarity):
         equal = np.count_nonzero(signature[others] == signature[i], axis=1)
         best = np.argsort(-equal, kind="stable")
         for j in others[best[: np.count_nonzero(equal >= agree)]]:
-            a, b = forest.root(int(i)), forest.root(int(j))
+            a, b = forest_root(up, int(i)), forest_root(up, int(j))
             if a == b:
                 continue
             both = len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
             if both * 100 >= round(similarity * 100) * (size[i] + size[j] - both):
-                forest.up[a] = b
+                up[a] = b
                 edges.append((int(node[i]), int(node[j])))
     return edges
 
@@ -186,14 +170,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     bunches = cut(components(stars, "hub", "node").withColumnRenamed("component", "bunch"))
 
     # small bunches share tasks; a large one is cut into blocks, block pairs are tasks
-    sizes = bunches.groupBy("bunch").agg(F.count("*").alias("n"))
-    tasks = F.greatest(F.ceil(F.lit(bunches.count() / TASK)), F.lit(1)).cast("bigint")
-    placed = bunches.join(sizes, "bunch").withColumn("blocks", F.ceil(F.col("n") / block).cast("bigint")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
-    dealt = placed.select("bunch", "node", "blocks", "own", other)
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("bunch"), tasks)).otherwise(F.xxhash64("bunch", F.least("own", "other"), F.greatest("own", "other")).bitwiseOR(F.lit(-(2**62))))
-    dealt = dealt.select("node", "bunch", side.cast("int").alias("side"), task.alias("task"))
+    dealt = deal(bunches, block)
     owners = classes.select("node").join(bunches.select("node"), "node")
     taking = texts.withColumnRenamed("_id", "node").join(owners, "node").groupBy("node").agg(F.min("_text").alias("_text"))
     sent = dealt.join(taking, "node").select("task", "bunch", "side", "node", "_text")
