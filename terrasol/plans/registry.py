@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from terrasol.plans import focal_queries, grid_queries  # noqa: F401  (they register their queries)
+from terrasol.plans.register import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
