@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,38 +42,47 @@ def assign_tiles(cells: DataFrame, tiles: DataFrame, res: float = 1.0, x_min: fl
     return met.select(F.col("name").alias("tile"), *cells.columns)
 
 
-def inside_ring(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
-    """Even-odd ray cast of many points against one closed ring."""
-    hit = np.zeros(len(x), bool)
-    for (x1, y1), (x2, y2) in zip(ring, np.roll(ring, -1, axis=0)):
-        if y1 != y2:
-            hit ^= ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
-    return hit
-
-
-def in_polygon(x: Column, y: Column, rings: Column) -> Column:
-    """Whether each point is in its own polygon (rings: array<array<struct<x, y>>>, holes by even-odd)."""
-
-    @F.pandas_udf("boolean")
-    def test(xs: pd.Series, ys: pd.Series, polygons: pd.Series) -> pd.Series:
-        out = np.zeros(len(xs), bool)
-        keys = [id(p) if p is None else hash(tuple((q["x"], q["y"]) for r in p for q in r)) for p in polygons]
-        for rows in pd.Series(range(len(xs))).groupby(keys).groups.values():
-            rows = np.asarray(rows)
-            for ring in polygons.iloc[rows[0]]:
-                points = np.array([(q["x"], q["y"]) for q in ring], float)
-                out[rows] ^= inside_ring(xs.to_numpy()[rows], ys.to_numpy()[rows], points)
-        return pd.Series(out)
-
-    return test(x, y, rings)
-
-
-def mask_by_polygon(cells: DataFrame, polygons: DataFrame, bands: list[str], res: float = 1.0, x_min: float = 0.0, y_max: float = 0.0) -> DataFrame:
-    """NULL bands where the centre is in none of the polygons (columns xmin, ymin, xmax, ymax, rings);
-    only cells inside a polygon's box are tested."""
-    x, y = centre(res, x_min, y_max)
-    boxed = cells.select("row", "col").join(small(polygons), (x >= F.col("xmin")) & (x <= F.col("xmax")) & (y >= F.col("ymin")) & (y <= F.col("ymax")))
-    inside = boxed.where(in_polygon(x, y, F.col("rings"))).select("row", "col").distinct().withColumn("_in", F.lit(True))
+def _scan(rings: list, res: float, x_min: float, y_max: float):
+    """(row, first col, end col) of the cells whose centre is inside rings (even-odd), row by row."""
+    edges = []
+    for ring in rings:
+        p = np.array([(q["x"], q["y"]) for q in ring], float).reshape(-1, 2)
+        edges.append(np.hstack([p, np.roll(p, -1, axis=0)]))
+    e = np.concatenate(edges) if edges else np.empty((0, 4))
+    e = e[e[:, 1] != e[:, 3]]
+    if not len(e):
+        return
+    top, bottom = int(np.floor((y_max - e[:, [1, 3]].max()) / res)), int(np.ceil((y_max - e[:, [1, 3]].min()) / res))
+    for row in range(top, bottom):
+        y = y_max - (row + 0.5) * res
+        c = e[(e[:, 1] > y) != (e[:, 3] > y)]
+        x = np.sort((c[:, 2] - c[:, 0]) * (y - c[:, 1]) / (c[:, 3] - c[:, 1]) + c[:, 0])
+        cols = np.ceil((x - x_min) / res - 0.5).astype(int)
+        for a, b in zip(cols[::2], cols[1::2]):
+            if a < b:
+                yield row, int(a), int(b)
+
+
+def burn(polygons: DataFrame, key: str, res: float = 1.0, x_min: float = 0.0, y_max: float = 0.0) -> DataFrame:
+    """(key, row, col) of the cells inside each polygon (column rings: array<array<struct<x, y>>>).  Polygons are scanned
+    where they are; only stretches of cells leave Python, and Spark spreads them."""
+    kind = polygons.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for k, rings in enumerate(batch.column(1).to_pylist()):
+                spans = list(_scan(rings or [], res, x_min, y_max))
+                for i in range(0, len(spans), 100_000):
+                    part = spans[i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(part), batch.schema.field(0).type), *(pa.array([p[j] for p in part], pa.int32()) for j in range(3))], [key, "row", "a", "b"])
+
+    spans = polygons.select(key, "rings").mapInArrow(run, f"{key} {kind}, row int, a int, b int")
+    return spans.select(key, "row", F.explode(F.sequence("a", F.col("b") - 1)).alias("col"))
+
+
+def mask_by_polygon(cells: DataFrame, polygons: DataFrame, bands: list[str], key: str = "name", res: float = 1.0, x_min: float = 0.0, y_max: float = 0.0) -> DataFrame:
+    """NULL bands where the centre is in none of the polygons (columns key, rings)."""
+    inside = burn(polygons, key, res, x_min, y_max).select("row", "col").distinct().withColumn("_in", F.lit(True))
     return cells.join(inside, ["row", "col"], "left").select(*(F.when(F.col("_in"), F.col(c)).alias(c) if c in bands else F.col(c) for c in cells.columns))
 
 

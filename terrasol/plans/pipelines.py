@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrasol.functions import algebra as A
 from terrasol.operators import focal as N
+from terrasol.operators import patches as P
 from terrasol.operators import zonal as Z
+from terrasol.sources.store import cut
 
 
 def geobia_zones(cells: DataFrame, res: float = 1.0) -> DataFrame:
@@ -27,3 +30,27 @@ def geobia_zones(cells: DataFrame, res: float = 1.0) -> DataFrame:
 def geobia(cells: DataFrame) -> DataFrame:
     """1 on the cells of the kept segments, NULL elsewhere."""
     return Z.mask_zones(cells, "zone_id", geobia_zones(cells))
+
+
+def terrace_patches(cells: DataFrame, ncols: int, threshold: float = 0.5, least: float = 10.0, largest: float = 1000.0, res: float = 1.0, partition_by_tile: bool = False) -> DataFrame:
+    """From class probabilities (p1) and elevations to flagged patches: threshold, 5x5 majority, patches of eight
+    neighbours, area, outline, simplified and smoothed rings, shape, statistics of the smoothed slope on the burnt
+    polygons, flags, selection.  With tiles (column `tile`), patches are cut at their borders."""
+    by = ("tile",) if partition_by_tile else ()
+    filtered = N.majority_filter(cells.select("row", "col", A.binarize(F.col("p1"), threshold).alias("one")), "one")
+    if by:
+        filtered = filtered.join(cells.select("row", "col", "tile"), ["row", "col"])
+    labelled = P.label_runs(filtered, "mode", ncols, 8, by)
+    if by:  # one number for patch and tile
+        labelled = labelled.withColumn("patch_id", F.xxhash64("tile", "patch_id")).drop("tile")
+    labelled = cut(labelled.join(P.min_area_filter(P.patch_area(labelled, res), least).select("patch_id"), "patch_id"))
+    rings = P.chaikin_rings(P.simplify_rings(P.patch_outline(P.run_cells(labelled), res)))
+    rings = cut(rings)
+    shape = P.ring_measures(rings).join(P.ring_convexity(rings), "patch_id")
+    smooth = N.focal_mean(N.slope(cells, "elev", res), "slope", 4, strict=False).select("row", "col", F.col("mean").alias("pente"))
+    burnt = P.rasterize_patches(P.rings_of(rings), res).join(smooth, ["row", "col"])
+    means = Z.zonal_mean(burnt, "patch_id", ["pente"]).withColumnRenamed("pente", "pente_moyenne")
+    tenths = Z.zonal_quantile(burnt, "patch_id", "pente").withColumnRenamed("quantile", "pente_decile10")
+    full = Z.merge_zone_stats([shape, means, tenths], "patch_id", "left")
+    flags = A.diagnostics(F.col("convexite"), F.col("pente_moyenne"), F.col("pente_decile10"))
+    return P.diagnostic_select(full.select("patch_id", "superficie", "perimetre", "convexite", "pente_moyenne", "pente_decile10", *flags), largest)
