@@ -31,7 +31,7 @@ def number_patches(windows: DataFrame, offset: int = 725) -> DataFrame:
 def pack_windows(cells: DataFrame, keys: list[str], bands: list[str], position: Column) -> DataFrame:
     """Each window's values as one array per band, in order of position."""
     packed = cells.select(*keys, position.alias("_p"), *bands).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_p", *bands))).alias("_c"))
-    return packed.select(*keys, *(F.transform("_c", lambda x, b=b: x[b]).alias(b) for b in bands))
+    return packed.select(*keys, *(F.col(f"_c.{b}").alias(b) for b in bands))
 
 
 def negative_patches(cells: DataFrame, bands: list[str], mask: str = "cls", patch: int = 128, count: int = 200, tries: int = 100_000, seed: int = 42) -> DataFrame:
