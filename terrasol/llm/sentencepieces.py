@@ -19,6 +19,7 @@ import re
 from itertools import chain
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,10 +33,14 @@ SPACE = "▁"
 CHUNK = 32_768
 #: words of up to so many characters are merged directly, longer ones go through the lattice
 WORD = 48
-#: segmented words and judged pairs kept by a task
-KEPT = 150_000
+#: segmented words (in each of two halves) and judged pairs kept by a worker
+KEPT = 250_000
 
 NORMAL, BYTE = 1, 6
+#: score of a union that is no piece
+LEAST = float("-inf")
+
+_coders: dict[int, tuple] = {}
 
 
 def read_model(path: str) -> dict:
@@ -50,6 +55,25 @@ def read_model(path: str) -> dict:
     return {"pieces": [p.piece for p in model.pieces], "scores": [p.score for p in model.pieces], "kinds": [p.type for p in model.pieces]}
 
 
+class _Known(dict):
+    """Words segmented before.  When full it becomes the older half; what is asked for again moves
+    back, so frequent words stay and memory is bounded."""
+
+    def __init__(self, make):
+        self.make, self.older = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.make(word)
+        if len(word) <= WORD:
+            if len(self) >= KEPT:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Coder:
     """Segments, encodes and decodes texts with one model."""
 
@@ -64,22 +88,25 @@ class Coder:
         stop = SPACE + "\n" * self.feed
         self.words = re.compile(("\n|" if self.feed else "") + f"{SPACE}+[^{stop}]*|[^{stop}]+")
         self.bytes_of = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() if k == NORMAL else b"" for p, k in zip(model["pieces"], model["kinds"])]
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = _Known(self.word)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.stays: dict[str, bool] = {}
 
     def merge(self, text: str) -> list[str]:
         """BPE of a short text: the pair whose union scores best is merged, leftmost first."""
-        parts, score = list(text), self.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
+        parts, score = list(text), self.score.get
+        unions = [score(a + b, LEAST) for a, b in zip(parts, parts[1:])]
+        while unions:
+            best = max(unions)
+            if best == LEAST:
                 break
+            at = unions.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del unions[at]
+            if at:
+                unions[at - 1] = score(parts[at - 1] + parts[at], LEAST)
+            if at < len(unions):
+                unions[at] = score(parts[at] + parts[at + 1], LEAST)
         return parts
 
     def weightless(self, a: str, b: str) -> bool:
@@ -128,23 +155,20 @@ class Coder:
         found = self.id.get(piece)
         return (found,) if found is not None else tuple(self.byte[b] for b in piece.encode())
 
-    def word(self, word: str) -> tuple[int, ...]:
-        found = self.known.get(word)
-        if found is None:
-            parts = self.merge(word) if len(word) <= WORD else self.trace(self.lattice(word, 0, "", len(word)), 0, len(word))
-            found = tuple(chain.from_iterable(map(self.ids, parts)))
-            if len(word) <= WORD:
-                if len(self.known) > KEPT:
-                    self.known.clear()
-                self.known[word] = found
-        return found
+    def word(self, word: str) -> bytes:
+        """Ids of a word, as the bytes of their numbers."""
+        parts = self.merge(word) if len(word) <= WORD else self.trace(self.lattice(word, 0, "", len(word)), 0, len(word))
+        return np.fromiter(chain.from_iterable(map(self.ids, parts)), np.int32).tobytes()
 
-    def segment(self, marked: str) -> list[int]:
+    def segment(self, marked: str) -> bytes:
         """Ids of a text whose spaces are marks and that begins and ends at a break."""
-        return list(chain.from_iterable(map(self.word, self.words.findall(marked))))
+        return b"".join(map(self.known.__getitem__, self.words.findall(marked)))
+
+    def encode_bytes(self, text: str) -> bytes:
+        return self.segment((SPACE + text).replace(" ", SPACE)) if text else b""
 
     def encode(self, text: str) -> list[int]:
-        return self.segment((SPACE + text).replace(" ", SPACE)) if text else []
+        return np.frombuffer(self.encode_bytes(text), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -191,17 +215,39 @@ class Coder:
             first, last = inner
             head = self.trace(self.lattice(text, entry[1], entry[0], first), entry[1], first)
             tail = self.trace(self.lattice(text, last, "", end), last, end)
-            return [i for p in head for i in self.ids(p)] + self.segment(text[first:last]) + [i for p in tail for i in self.ids(p)]
+            inside = np.frombuffer(self.segment(text[first:last]), np.int32).tolist()
+            return [i for p in head for i in self.ids(p)] + inside + [i for p in tail for i in self.ids(p)]
         path = self.trace(self.lattice(text, entry[1], entry[0], end), entry[1], end)
         return [i for p in path for i in self.ids(p)]
 
 
+def _coder(shared) -> Coder:
+    """The worker's coder for a model; tasks that run one after another in a worker share what it knows."""
+    if shared.id not in _coders:
+        _coders.clear()
+        _coders[shared.id] = Coder(shared.value)
+    return _coders[shared.id]
+
+
+class _Shared:
+    """A broadcast model with a name of its own."""
+
+    def __init__(self, spark, model: dict):
+        self.id, self.sent = hash((len(model["pieces"]), tuple(model["pieces"][-50:]), tuple(model["scores"][-50:]))), spark.sparkContext.broadcast(model)
+
+    @property
+    def value(self):
+        return self.sent.value
+
+
 def _encode(shared):
     def run(batches):
-        coder = Coder(shared.value)
+        coder = _coder(shared)
         for batch in batches:
-            ids = [coder.encode(t) if t else [] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["_rest", "ids"])
+            parts = [coder.encode_bytes(t) if t else b"" for t in batch.column(1).to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])])
+            ids = pa.array(np.frombuffer(b"".join(parts), np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids)], ["_rest", "ids"])
 
     return run
 
@@ -231,7 +277,7 @@ CELL = pa.struct([("p", pa.string()), ("over", pa.int32()), ("q", pa.string()),
 
 def _matrices(shared):
     def run(batches):
-        coder = Coder(shared.value)
+        coder = _coder(shared)
         for batch in batches:
             cells = [[dict(zip(("p", "over", "q", "out"), c)) for c in coder.matrix(*x)] for x in zip(*(batch.column(k).to_pylist() for k in ("l", "body", "r")))]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("no"), pa.array(cells, pa.list_(CELL))], ["_row", "no", "cells"])
@@ -263,7 +309,7 @@ def _best_states(data: pa.Table) -> pa.Table:
 
 def _traced(shared):
     def run(batches):
-        coder = Coder(shared.value)
+        coder = _coder(shared)
         for batch in batches:
             ids = []
             for left, body, right, c in zip(*(batch.column(k).to_pylist() for k in ("l", "body", "r", "cell"))):
@@ -282,7 +328,7 @@ def encode(docs: DataFrame, text_col: str = "text", model_path: str = MODEL, chu
     spark = docs.sparkSession
     small_batches(spark)
     model = read_model(model_path)
-    shared = spark.sparkContext.broadcast(model)
+    shared = _Shared(spark, model)
     rest = [c for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_rest"), F.col(text_col).alias("_text"))
     kind = rows.schema["_rest"].dataType.simpleString()
@@ -301,13 +347,15 @@ def encode(docs: DataFrame, text_col: str = "text", model_path: str = MODEL, chu
 
 def decode(coded: DataFrame, ids_col: str = "ids", model_path: str = MODEL, to: str = "decoded") -> DataFrame:
     """The input's columns and the text of the ids (null ids give an empty text)."""
-    shared = coded.sparkSession.sparkContext.broadcast(read_model(model_path))
+    shared = _Shared(coded.sparkSession, read_model(model_path))
     rows = coded.select(F.struct(*(F.col(f"`{c}`") for c in coded.columns)).alias("_rest"), F.col(ids_col).alias("_ids"))
 
     def run(batches):
-        coder = Coder(shared.value)
+        coder = _coder(shared)
         for batch in batches:
-            texts = [coder.decode(i or []) for i in batch.column(1).to_pylist()]
+            lists = batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)
+            flat, at = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(int)
+            texts = [coder.decode(flat[a:b].tolist()) for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_rest", to])
 
     return rows.mapInArrow(run, f"_rest {rows.schema['_rest'].dataType.simpleString()}, {to} string").select("_rest.*", to)
