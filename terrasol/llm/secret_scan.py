@@ -176,6 +176,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     return found.crossJoin(F.broadcast(limits)).select(F.col("_id").alias(id_col), "base", F.array_sort(F.concat("base", random)).alias("spans"))
 
 
+def counted(spans: str, kind: int) -> Column:
+    """Number of spans of a kind."""
+    return F.size(F.filter(F.col(spans), lambda s: s["kind"] == kind)).cast("long")
+
+
 def joined(spans: str) -> Column:
     """kind:start:end, comma-joined."""
     name = F.array(*(F.lit(k) for k in KINDS))
@@ -184,5 +189,5 @@ def joined(spans: str) -> Column:
 
 def op9_secret_scan(spark, sf_dir: str) -> DataFrame:
     out = scan(table(spark, sf_dir, "documents", "doc_id", "text"))
-    number = [F.size(F.filter(F.col("base"), lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
+    number = [counted("base", i).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
     return out.select("doc_id", *number, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
