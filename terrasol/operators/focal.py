@@ -52,17 +52,23 @@ def slope(cells: DataFrame, band: str = "elev", res: float = 1.0, keep: bool = T
     return neighbours(cells, band).select("row", "col", F.when(F.col("z").isNotNull(), s).alias("slope"))
 
 
+#: neighbours by their step, and their names back
+STEPS = {"nw": (-1, -1), "n": (-1, 0), "ne": (-1, 1), "w": (0, -1), "e": (0, 1), "sw": (1, -1), "s": (1, 0), "se": (1, 1)}
+NAMES = {v: k for k, v in STEPS.items()} | {(0, 0): "z"}
+
+
 def slope_with_edges(cells: DataFrame, band: str = "elev", res: float = 1.0) -> DataFrame:
-    """Slope with edges: a neighbour beyond the grid is the opposite one mirrored through the cell, a NoData
-    neighbour (or a mirrored one whose opposite is missing) is the cell itself."""
+    """Slope with edges: a neighbour beyond the grid goes on straight from the two cells before it (across the
+    missing edge; at a corner through the cell itself), a NoData neighbour is the cell itself."""
     size = F.broadcast(cells.agg(F.min("row").alias("_r0"), F.max("row").alias("_r1"), F.min("col").alias("_c0"), F.max("col").alias("_c1")))
     n = neighbours(cells, band).crossJoin(size)
-    away = {"n": (-1, 0), "s": (1, 0), "w": (0, -1), "e": (0, 1), "nw": (-1, -1), "ne": (-1, 1), "sw": (1, -1), "se": (1, 1)}
-    other = {"n": "s", "s": "n", "w": "e", "e": "w", "nw": "se", "se": "nw", "ne": "sw", "sw": "ne"}
     filled = []
-    for k, (dr, dc) in away.items():
-        beyond = (F.col("row") + dr < F.col("_r0")) | (F.col("row") + dr > F.col("_r1")) | (F.col("col") + dc < F.col("_c0")) | (F.col("col") + dc > F.col("_c1"))
-        filled.append(F.coalesce(F.col(k), F.when(beyond, 2 * F.col("z") - F.col(other[k])), F.col("z")).alias(k))
+    for k, (dr, dc) in STEPS.items():
+        over_row = {-1: F.col("row") == F.col("_r0"), 0: F.lit(False), 1: F.col("row") == F.col("_r1")}[dr]
+        over_col = {-1: F.col("col") == F.col("_c0"), 0: F.lit(False), 1: F.col("col") == F.col("_c1")}[dc]
+        straight = lambda near, far: 2 * F.col(NAMES[near]) - F.col(NAMES[far])
+        beyond = F.when(over_row & over_col, straight((0, 0), (-dr, -dc))).when(over_row, straight((0, dc), (-dr, dc))).when(over_col, straight((dr, 0), (dr, -dc)))
+        filled.append(F.coalesce(F.col(k), beyond, F.col("z")).alias(k))
     gx, gy = gradients(res)
     return n.select("row", "col", "z", *filled).select("row", "col", F.when(F.col("z").isNotNull(), F.degrees(F.atan(F.sqrt(gx * gx + gy * gy)))).alias("slope"))
 

@@ -32,21 +32,23 @@ def slope(spark, sf_dir):
     return N.slope(elevation(spark, sf_dir)).withColumn("slope", F.round("slope", 6))
 
 
-def _edge(name, beyond, other):
-    return f"coalesce({name}, CASE WHEN {beyond} THEN 2 * z - {other} END, z) AS {name}"
+def _edge(name, row_edge, col_edge, corner, across_row, across_col):
+    """A neighbour, or what goes on straight beyond the grid's edge, or the cell itself."""
+    cases = [f"WHEN {row_edge} AND {col_edge} THEN 2 * z - {corner}" if row_edge and col_edge else "", f"WHEN {row_edge} THEN 2 * {across_row[0]} - {across_row[1]}" if row_edge else "", f"WHEN {col_edge} THEN 2 * {across_col[0]} - {across_col[1]}" if col_edge else ""]
+    return f"coalesce({name}, CASE {' '.join(cases)} END, z) AS {name}"
 
 
 TOP, BOTTOM, LEFT, RIGHT = "r = r0", "r = r1", "c = c0", "c = c1"
 EDGES = ", ".join(
     [
-        _edge("n", TOP, "s"),
-        _edge("s", BOTTOM, "n"),
-        _edge("w", LEFT, "e"),
-        _edge("e", RIGHT, "w"),
-        _edge("nw", f"{TOP} OR {LEFT}", "se"),
-        _edge("ne", f"{TOP} OR {RIGHT}", "sw"),
-        _edge("sw", f"{BOTTOM} OR {LEFT}", "ne"),
-        _edge("se", f"{BOTTOM} OR {RIGHT}", "nw"),
+        _edge("n", TOP, "", "", ("z", "s"), ()),
+        _edge("s", BOTTOM, "", "", ("z", "n"), ()),
+        _edge("w", "", LEFT, "", (), ("z", "e")),
+        _edge("e", "", RIGHT, "", (), ("z", "w")),
+        _edge("nw", TOP, LEFT, "se", ("w", "sw"), ("n", "ne")),
+        _edge("ne", TOP, RIGHT, "sw", ("e", "se"), ("n", "nw")),
+        _edge("sw", BOTTOM, LEFT, "ne", ("w", "nw"), ("s", "se")),
+        _edge("se", BOTTOM, RIGHT, "nw", ("e", "ne"), ("s", "sw")),
     ]
 )
 EDGE_SLOPE = f"{NB}, x AS (SELECT min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM z), ed AS (SELECT r, c, z, {EDGES} FROM nb, x), eg AS (SELECT r, c, {GRAD} FROM ed), eslope AS (SELECT r, c, degrees(atan(sqrt(gx * gx + gy * gy))) AS slope FROM eg)"
@@ -57,7 +59,7 @@ def slope_with_edges(spark, sf_dir):
     return N.slope_with_edges(elevation(spark, sf_dir)).withColumn("slope", F.round("slope", 6))
 
 
-@query(f"WITH {SLOPE} SELECT {RC}, round(aspect, 6) AS aspect FROM slope")
+@query(f"WITH {SLOPE} SELECT {RC}, round(aspect, 6) + 0.0 AS aspect FROM slope")
 def aspect(spark, sf_dir):
     return N.aspect(elevation(spark, sf_dir)).withColumn("aspect", F.round("aspect", 6))
 
