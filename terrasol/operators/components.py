@@ -22,7 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
         around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         hooked = labels.join(around, "node").select("node", "label", F.least("label", "near").alias("low"))
         # a whole tree follows when one of its nodes sees a lower label
-        lower = hooked.groupBy(F.col("label").alias("root")).agg(F.min("low").alias("to"))
+        # (a table of its own, so that Spark can split a large tree's rows in the join)
+        lower = cut(hooked.groupBy(F.col("label").alias("root")).agg(F.min("low").alias("to")))
         moved = labels.join(lower, labels["label"] == lower["root"]).select("node", F.col("to").alias("label"))
         jump = moved.select(F.col("node").alias("root"), F.col("label").alias("far"))
         labels = cut(moved.join(jump, moved["label"] == jump["root"], "left").select("node", F.least("label", F.coalesce("far", "label")).alias("label")))
