@@ -16,7 +16,6 @@ breaks are segmented once and kept.
 from __future__ import annotations
 
 import re
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -34,7 +33,7 @@ CHUNK = 32_768
 #: words of up to so many characters are merged directly, longer ones go through the lattice
 WORD = 48
 #: segmented words (in each of two halves) and judged pairs kept by a worker
-KEPT = 250_000
+KEPT = 80_000
 
 NORMAL, BYTE = 1, 6
 #: score of a union that is no piece
@@ -74,6 +73,17 @@ class _Known(dict):
         return found
 
 
+class _Packed(dict):
+    """Bytes of a piece's ids: the piece's own, or its bytes' where it is a character without a piece."""
+
+    def __init__(self, coder):
+        super().__init__((p, i.to_bytes(4, "little")) for p, i in coder.id.items())
+        self.byte = coder.byte
+
+    def __missing__(self, piece: str) -> bytes:
+        return b"".join(self.byte[b].to_bytes(4, "little") for b in piece.encode())
+
+
 class Coder:
     """Segments, encodes and decodes texts with one model."""
 
@@ -89,6 +99,7 @@ class Coder:
         self.words = re.compile(("\n|" if self.feed else "") + f"{SPACE}+[^{stop}]*|[^{stop}]+")
         self.bytes_of = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() if k == NORMAL else b"" for p, k in zip(model["pieces"], model["kinds"])]
         self.known = _Known(self.word)
+        self.packed = _Packed(self)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.stays: dict[str, bool] = {}
 
@@ -158,7 +169,7 @@ class Coder:
     def word(self, word: str) -> bytes:
         """Ids of a word, as the bytes of their numbers."""
         parts = self.merge(word) if len(word) <= WORD else self.trace(self.lattice(word, 0, "", len(word)), 0, len(word))
-        return np.fromiter(chain.from_iterable(map(self.ids, parts)), np.int32).tobytes()
+        return b"".join(map(self.packed.__getitem__, parts))
 
     def segment(self, marked: str) -> bytes:
         """Ids of a text whose spaces are marks and that begins and ends at a break."""
