@@ -44,13 +44,14 @@ def crc_mod(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", split: bool = False) -> DataFrame:
     """Connected components of an undirected graph given by its edges.
 
     Alternating large-star and small-star rounds; each one is two shuffles keyed by
     node, and every vertex links to its smallest neighbour only, so a hub with very
     many neighbours adds one row for each of them, never pairs among them.  Every
-    round is cut to the shared folder.  Returns (node, component): component is the
+    round is cut to the shared folder.  With `split` the least neighbours are a table of their
+    own, so that Spark can split the rows of a hub in their join, for one more write a round.  Returns (node, component): component is the
     smallest node; nodes without an edge are absent.
     """
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
@@ -59,6 +60,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        low = cut(low) if split else low
         # large star: every larger neighbour goes to the smallest one
         large = both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
         # small star: smaller neighbours and the node itself go to the smallest one
@@ -94,7 +96,7 @@ def deal(bunches: DataFrame, block: int = BLOCK, per_task: int = TASK) -> DataFr
     task within itself (side 0), and every two blocks are a task (sides 1 and 2), so no task
     holds more than two blocks of a bunch, however large it is.
     """
-    sizes = bunches.groupBy("bunch").agg(F.count("*").alias("n"))
+    sizes = cut(bunches.groupBy("bunch").agg(F.count("*").alias("n")))
     tasks = max(1, -(-bunches.count() // per_task))
     placed = bunches.join(sizes, "bunch").withColumn("blocks", F.ceil(F.col("n") / block).cast("bigint")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = placed.select("bunch", "node", "blocks", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))

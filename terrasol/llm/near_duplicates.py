@@ -166,8 +166,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     shared = posts.selectExpr("post", "node", "count(*) over (partition by post) as n").where("n > 1")
     ranked = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "post"))).alias("p")).where(F.size("p") >= agree)
     prefix = cut(ranked.select("node", F.explode(F.slice("p", F.lit(1), F.size("p") - agree + 1)).alias("p")).select("node", "p.post"))
-    stars = prefix.join(prefix.groupBy("post").agg(F.min("node").alias("hub")), "post").where("node <> hub").select("hub", "node")
-    bunches = cut(components(stars, "hub", "node").withColumnRenamed("component", "bunch"))
+    hubs = cut(prefix.groupBy("post").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").drop("last"))
+    stars = prefix.join(hubs, "post").where("node <> hub").select("hub", "node")
+    bunches = cut(components(stars, "hub", "node", split=True).withColumnRenamed("component", "bunch"))
 
     # small bunches share tasks; a large one is cut into blocks, block pairs are tasks
     dealt = deal(bunches, block)
@@ -176,7 +177,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     sent = dealt.join(taking, "node").select("task", "bunch", "side", "node", "_text")
     sent = sent.mapInArrow(_unpack(width, coordinates), "task bigint, bunch bigint, side int, node bigint, shingles binary, signature binary")
     edges = cut(sent.groupBy("task").applyInArrow(_compare(agree, coordinates, similarity), "a bigint, b bigint"))
-    found = components(edges)
+    found = components(edges, split=True)
 
     named = classes.select("set1", "set2", "node").join(found, "node").select("set1", "set2", "component")
     alone = classes.select("set1", "set2", "node")
