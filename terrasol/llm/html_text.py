@@ -4,8 +4,9 @@ Elements (named by their path of tags and classes) of all pages of a host get an
 occurrence vector: how often each stands on every page.  Spark folds the vectors to sums of
 hashes, so elements with equal vectors form an equivalence class by equal sums.  Frequent classes
 of elements that stand once on their pages are the template; they nest by their paths.
-What lies between are its slots, and the slot with most varying, unlinked text holds the
-article.  A page that lacks its host's slot, or is alone on its host, is its own template.
+What lies between are its slots, and the slots whose text varies between pages hold the
+article: title, lead and body alike.  Tags and class names only take parts out, and decide where
+pages are too few to tell.  A page of which no slot is left is its own template.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from terrasol.llm.common import cut, small_batches, table
 
 #: share of a host's different pages on which a template class stands
 SUPPORT = 0.5
-#: hosts whose slots are broadcast (16 bytes each); beyond, pages are joined by host
-HOSTS = 1_000_000
+#: slots of all hosts that are broadcast (17 bytes each); beyond, pages are joined by host
+SLOTS = 1_000_000
+#: the same text on fewer pages does not take a slot out of an article element
+FEW = 4
 
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -153,92 +156,98 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
-def _slot_of(element: Element, template) -> int:
-    """The innermost template element around a block, widened to the article around it."""
-    for path in reversed(element.ancestors):
-        if path in template:
-            return path
-    return 0
-
-
 def _occurrences(batches):
-    """(host, page, path, n, chars, ancestors) of every page: how often a path opens and the unlinked
-    characters of the texts right in it."""
+    """(host, page, path, n, chars, linked, inside, text, above) of every page: how often a path opens, the
+    unlinked and linked characters of the texts right in it, and their hash.  Path 0 is the page."""
     for batch in batches:
-        hosts, pages, paths, ns, chars, above = [], [], [], [], [], []
+        rows = []
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if not html:
                 continue
             found, counts = blocks(html)
             page = _name(html)
-            text: dict[int, int] = {}
-            up: dict[int, tuple] = {}
+            text: dict[int, list] = {}
             for t, e, linked in found:
                 if not e.out:
-                    text[e.path] = text.get(e.path, 0) + max(0, len(t) - linked) * (4 if e.inside else 1)
-                    up[e.path] = e.ancestors
-            for path in counts.keys() | text.keys():
-                hosts.append(host)
-                pages.append(page)
-                paths.append(path)
-                ns.append(counts.get(path, 1))
-                chars.append(text.get(path, 0))
-                above.append(list(up.get(path, ())))
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(paths, pa.int64()), pa.array(ns, pa.int32()), pa.array(chars, pa.int64()), pa.array(above, pa.list_(pa.int64()))], ["host", "page", "path", "n", "chars", "above"])
+                    text.setdefault(e.path, []).append((t, e, min(linked, len(t))))
+            for path in {0} | counts.keys() | text.keys():
+                own = text.get(path, ())
+                links = sum(k for _, _, k in own)
+                rows.append((host, page, path, counts.get(path, 1), sum(len(t) for t, _, _ in own) - links, links, any(e.inside for _, e, _ in own), _name("\n".join(t for t, _, _ in own)) if own else 0, [0, *own[0][1].ancestors] if own else []))
+        columns = list(zip(*rows)) or [()] * 9
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["host", "page", "path", "n", "chars", "linked", "inside", "text", "above"])
 
 
 def main_slots(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """(host, slot): the template element that holds a host's articles.
+    """(host, slots, keeps): the template elements of a host that have text right in them, and whether that is
+    of the article.
 
-    pages: host, html.  Equal pages of a host count once.  All aggregations have partial sums: a host with very many
-    pages is no task of its own.
+    pages: host, html.  Equal pages of a host count once.  All aggregations over pages have partial sums: a host with
+    very many pages is no task of its own.
     """
-    seen = pages.mapInArrow(_occurrences, "host string, page bigint, path bigint, n int, chars bigint, above array<bigint>")
-    once = seen.groupBy("host", "page", "path").agg(F.first("n").alias("n"), F.first("chars").alias("chars"), F.first("above").alias("above"))
+    seen = pages.mapInArrow(_occurrences, "host string, page bigint, path bigint, n int, chars bigint, linked bigint, inside boolean, text bigint, above array<bigint>")
+    once = seen.groupBy("host", "page", "path").agg(*(F.first(c).alias(c) for c in ("n", "chars", "linked", "inside", "text", "above")))
     # the occurrence vector of a path, folded to a sum of hashes over pages
-    vectors = cut(once.groupBy("host", "path").agg(F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector"), F.count("*").alias("support"), F.max("n").alias("most"), F.sum("chars").alias("chars"), F.max("above").alias("above")))
-    classes = vectors.groupBy("host", "vector").agg(F.max("support").alias("support"), F.max("most").alias("most"), F.collect_list("path").alias("paths"))
-    pages_of = vectors.groupBy("host").agg(F.max("support").alias("pages"))
+    vectors = cut(
+        once.groupBy("host", "path").agg(
+            F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector"),
+            F.count("*").alias("support"),
+            F.max("n").alias("most"),
+            F.sum("chars").alias("chars"),
+            F.sum("linked").alias("linked"),
+            F.max("inside").alias("inside"),
+            F.min("text").alias("low"),
+            F.max("text").alias("high"),
+            F.max("above").alias("above"),
+        )
+    )
+    classes = vectors.groupBy("host", "vector").agg(F.max("support").alias("stands"), F.max("most").alias("most"), F.collect_list("path").alias("paths"))
+    pages_of = vectors.where("path = 0").select("host", F.col("support").alias("pages"))
     # an element's opening and closing make two tokens, so every class of a path is large enough
-    template = classes.join(pages_of, "host").where((F.col("most") == 1) & (F.col("support") >= support * F.col("pages"))).select("host", F.explode("paths").alias("slot"))
-    texts = vectors.where("chars > 0").select("host", "path", "chars", F.posexplode("above").alias("depth", "slot"))
-    inner = texts.join(template, ["host", "slot"]).groupBy("host", "path").agg(F.max("chars").alias("chars"), F.max_by("slot", "depth").alias("slot"))
-    return inner.groupBy("host", "slot").agg(F.sum("chars").alias("chars")).groupBy("host").agg(F.max_by("slot", F.struct("chars", "slot")).alias("slot"))
-
-
-def _article(html: str | None, slot: int | None) -> str:
+    template = classes.join(pages_of, "host").where((F.col("most") == 1) & (F.col("stands") >= support * F.col("pages"))).select("host", "pages", "stands", F.explode("paths").alias("slot"))
+    texts = vectors.where("chars + linked > 0").select("host", "path", "support", "chars", "linked", "inside", "low", "high", F.posexplode("above").alias("depth", "slot"))
+    values = ("slot", "pages", "stands", "support", "chars", "linked", "inside", "low", "high")
+    inner = texts.join(template, ["host", "slot"]).groupBy("host", "path").agg(F.max_by(F.struct(*values), "depth").alias("t")).select("host", "t.*")
+    # a text that all pages of its slot share belongs to the template
+    varies = (F.col("stands") == 1) | (F.col("support") < F.col("stands")) | (F.col("low") != F.col("high")) | (F.col("inside") & (F.col("stands") < FEW))
+    slots = inner.groupBy("host", "slot").agg(F.max("pages").alias("pages"), F.max(varies).alias("varies"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.max("inside").alias("inside"))
+    of_host = slots.groupBy("host").agg(
+        F.max("pages").alias("pages"),
+        F.sum(F.when(F.col("inside"), F.col("chars")).otherwise(0)).alias("within"),
+        F.sum(F.when(F.col("inside"), 0).otherwise(F.col("chars"))).alias("around"),
+        F.collect_list(F.struct("slot", "inside", (F.col("varies") & (F.col("inside") | (F.col("linked") <= F.col("chars")))).alias("keep"))).alias("s"),
+    )
+    # on a single page nothing can vary: an article element decides
+    tags = (F.col("pages") == 1) & (F.col("within") > 0) & (F.col("within") * 4 >= F.col("around"))
+    return of_host.select("host", F.col("s.slot").alias("slots"), F.when(tags, F.col("s.inside")).otherwise(F.col("s.keep")).alias("keeps"))
+
+
+def _article(html: str | None, slots: dict[int, bool]) -> str:
     if not html:
         return ""
-    found, counts = blocks(html)
-    texts = [(t, e, k) for t, e, k in found if not e.out]
-    if not texts:
-        return ""
-    if any(e.inside for _, e, _ in texts):
-        inside = [t for t, e, _ in texts if e.inside]
-        if sum(map(len, inside)) * 4 >= sum(len(t) - k for t, e, k in texts if not e.inside):
-            return "\n\n".join(inside)
-    if slot is None or not any(slot in e.ancestors for _, e, _ in texts):
-        own = {p for p, n in counts.items() if n == 1}
-        weight: dict[int, int] = {}
-        for t, e, k in texts:
-            s = _slot_of(e, own)
-            weight[s] = weight.get(s, 0) + len(t) - k
-        slot = max(weight, key=lambda s: (weight[s], s))
-    chosen = [(t, e, k) for t, e, k in texts if slot == 0 or slot in e.ancestors]
-    return "\n\n".join(t for t, e, k in chosen if k * 2 <= len(t) or e.tag in HEADINGS or e.tag == "p")
+    texts = [(t, e, k) for t, e, k in blocks(html)[0] if not e.out]
+    chosen = [x for x in texts if slots.get(next((p for p in reversed(x[1].ancestors) if p in slots), 0), False)]
+    if not chosen:
+        inside = [x for x in texts if x[1].inside]
+        enough = sum(len(t) for t, _, _ in inside) * 4 >= sum(len(t) - k for t, e, k in texts if not e.inside)
+        chosen = inside if inside and enough else texts
+    return "\n\n".join(t for t, e, k in chosen if k * 2 <= len(t) or e.inside or e.tag in HEADINGS or e.tag == "p")
 
 
 def _extract(slots):
     def run(batches):
-        keys, values = slots.value if slots is not None else (None, None)
+        names, bounds, paths, keeps = slots.value if slots is not None else (None,) * 4
         for batch in batches:
             hosts = batch.column("_host").to_pylist()
-            if keys is None:
-                given = batch.column("_slot").to_pylist()
+            if names is None:
+                given = [dict(zip(s or (), k or ())) for s, k in zip(batch.column("_slots").to_pylist(), batch.column("_keeps").to_pylist())]
             else:
-                names = np.array([_name(h) for h in hosts], np.int64)
-                k = np.minimum(np.searchsorted(keys, names), max(len(keys) - 1, 0))
-                given = [int(values[j]) if len(keys) and keys[j] == h else None for j, h in zip(k, names)]
+                given = []
+                for h in (_name(h) for h in hosts):
+                    j = int(np.searchsorted(names, h))
+                    a, b = (bounds[j], bounds[j + 1]) if j < len(names) and names[j] == h else (0, 0)
+                    given.append(dict(zip(paths[a:b].tolist(), keeps[a:b].tolist())))
             texts = [_article(h, s) for h, s in zip(batch.column("_html").to_pylist(), given)]
             yield pa.RecordBatch.from_arrays([batch.column("_rest"), pa.array(texts, pa.string())], ["_rest", "text"])
 
@@ -257,14 +266,14 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", supp
     rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_rest"), host_of(F.col(url_col)).alias("_host"), F.col(html_col).alias("_html"))
     slots = cut(main_slots(rows.select(F.col("_host").alias("host"), F.col("_html").alias("html")), support))
     schema = T.StructType([rows.schema["_rest"], T.StructField("text", T.StringType())])
-    if slots.count() <= HOSTS:
+    if (slots.agg(F.sum(F.size("slots"))).first()[0] or 0) <= SLOTS:
         got = slots.collect()
-        names = np.array([_name(r["host"]) for r in got], np.int64)
-        order = np.argsort(names)
-        shared = spark.sparkContext.broadcast((names[order], np.array([r["slot"] for r in got], np.int64)[order]))
+        got = sorted(((_name(r["host"]), r["slots"], r["keeps"]) for r in got), key=lambda x: x[0])
+        bounds = np.cumsum([0] + [len(x[1]) for x in got])
+        shared = spark.sparkContext.broadcast((np.array([x[0] for x in got], np.int64), bounds, np.array([p for x in got for p in x[1]], np.int64), np.array([k for x in got for k in x[2]], bool)))
         out = rows.mapInArrow(_extract(shared), schema)
     else:
-        out = rows.join(slots.select(F.col("host").alias("_host"), F.col("slot").alias("_slot")), "_host", "left").mapInArrow(_extract(None), schema)
+        out = rows.join(slots.select(F.col("host").alias("_host"), F.col("slots").alias("_slots"), F.col("keeps").alias("_keeps")), "_host", "left").mapInArrow(_extract(None), schema)
     return out.select("_rest.*", "text")
 
 

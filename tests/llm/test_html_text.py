@@ -28,6 +28,25 @@ def test_slot_of_a_host_without_article(spark):
     assert got == {i: want(i) for i in (*range(6), 100)}
 
 
+def test_all_varying_slots_of_a_host_without_article(spark):
+    page = '<html><body><div class="strip">Skip the line and come in, dear reader, all of you are welcome here, always and at any time of the day</div><div class="post"><h1>Title {n}</h1><div class="lead">Lead {n}</div><div class="body"><p>First {n}<p>Second {n}</div></div></body></html>'
+    got = {r.page_id: r.text for r in extract(frame(spark, [(i, "https://h.example/a", page.format(n=i)) for i in range(6)])).collect()}
+    assert got == {i: f"Title {i}\n\nLead {i}\n\nFirst {i}\n\nSecond {i}" for i in range(6)}
+
+
+def test_template_decides_on_pages_with_article(spark):
+    page = '<html><body><h1>Title {n}</h1><article><p>Text {n}<p>More {n}<div class="k1">Set in Garamond by the house</div></article></body></html>'
+    got = {r.page_id: r.text for r in extract(frame(spark, [(i, "https://h.example/a", page.format(n=i)) for i in range(6)])).collect()}
+    assert got == {i: f"Title {i}\n\nText {i}\n\nMore {i}" for i in range(6)}
+
+
+def test_joined_slots_equal_sent_slots(spark, monkeypatch):
+    rows = [(i, f"https://h{i % 3}.example/a", PAGE.format(n=i, open='<div class="k3">', close="</div>")) for i in range(9)]
+    sent = sorted(extract(frame(spark, rows)).collect())
+    monkeypatch.setattr("terrasol.llm.html_text.SLOTS", 0)
+    assert sorted(extract(frame(spark, rows)).collect()) == sent and sent[0].text == want(0)
+
+
 def test_edges(spark):
     rows = [(1, None, None), (2, "x", ""), (3, "http://h/", "<p>a < b &lt; c"), (3, "http://h/", "<p>a < b &lt; c"), (None, None, "plain"), (5, "http://h/", "<article><p>" + "word " * 50_000 + "</article>"), (6, "http://h", "<script>never closed <p>x"), (7, "http://h", "<article><p>one<p>two<ul><li>three<li>four</ul>")]
     got = sorted(((r.page_id, r.text) for r in extract(frame(spark, rows)).collect()), key=str)
