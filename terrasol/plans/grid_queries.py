@@ -163,6 +163,17 @@ def split_strips(spark, sf_dir):
     return G.split_strips(D.cells(spark, sf_dir).select("row", "col", "nir"), 100, 15, 3, 4, 4)
 
 
+# the same strips over the table's own extent: all whole patches of its rows
+@query(f"""WITH {CELLS}, e AS (SELECT max(c) + 1 AS w, max(r) + 1 AS h FROM cells),
+k AS (SELECT w, h // 4 * 4 AS high, (w - 16) // 5 // 4 * 4 AS wide FROM e),
+st AS (SELECT s, greatest(0, least(s * (wide - 4), w - wide)) AS o, wide, high FROM k, (SELECT unnest([0, 1, 2]) AS s))
+SELECT s AS strip, r AS "row", c - o AS "col", nir FROM cells, st WHERE c >= o AND c < o + wide AND r < high""")
+def split_strips_extent(spark, sf_dir):
+    c = D.cells(spark, sf_dir).select("row", "col", "nir")
+    size = c.agg((F.max("col") + 1).alias("width"), (F.max("row") + 1).alias("height")).first()
+    return G.split_strips(c, size.width or 0, size.height or 0, 3, 4, 4)
+
+
 @query(f'WITH {CELLS} SELECT r AS "row", c AS "col", avg(v) AS v FROM (SELECT r, c, nir AS v FROM cells WHERE c < 60 UNION ALL SELECT r, c, red AS v FROM cells WHERE c >= 40) GROUP BY r, c')
 def mosaic_mean(spark, sf_dir):
     c = D.cells(spark, sf_dir)

@@ -40,3 +40,12 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs_without_sql(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
+
+
+def test_strips_cover_the_rows_of_a_larger_table(spark):
+    c = duckdb.connect()
+    for t in TABLES:
+        c.sql(f"create view {t} as select * from '{DATA}/sf0.01/{t}.parquet'")
+    got = sorted(map(tuple, registry.queries()["split_strips_extent"](spark, f"{DATA}/sf0.01").select("strip", "row", "col", "nir").collect()), key=repr)
+    want = sorted(c.sql(registry.oracle_sql()["split_strips_extent"]).fetchall(), key=repr)
+    assert got == want and max(r[1] for r in got) == 147
