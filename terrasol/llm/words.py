@@ -94,6 +94,15 @@ def hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((total[ends] - total[starts]) * _power("down", STEP_INVERSE, n + 1)[starts])
 
 
+def code_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of stretches of code points."""
+    n = len(points)
+    codes = (points.astype(np.uint64) + np.uint64(7)) * np.uint64(0xD6E8FEB86659FD93)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((codes ^ (codes >> np.uint64(32))) * _power("up", STEP, n), out=total[1:])
+    return mix((total[ends] - total[starts]) * _power("down", STEP_INVERSE, n + 1)[starts])
+
+
 def shingles(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of `width` words and their number per text; a text with
     fewer words, but not none, has its whole sequence as the one shingle."""

@@ -1,6 +1,7 @@
 import random
 
 import sentencepiece
+from pyspark.sql import functions as F
 
 from terrasol.llm.sentencepieces import MODEL, SPACE, Coder, decode, encode, op10_sentencepieces, read_model
 from tests.conftest import DATA
@@ -21,16 +22,16 @@ def test_ids_are_those_of_the_library():
 
 def test_chunks_give_the_same_ids(spark):
     rng = random.Random(2)
-    texts = [None, "", "short", "x" * 900, " " * 700, "\n" * 300, "one\ttwo\r\n" * 60]
+    texts = [None, "", "short", "x" * 2100, " " * 700, "\n" * 300, "one\ttwo\r\n" * 60]
     texts += ["".join(rng.choice(["the", "ing", " ", "er", "é", "日", "\n", "Q", "  "]) for _ in range(400)) for _ in range(20)]
     texts += ["".join(rng.choice("abcdethingon") for _ in range(700)) for _ in range(10)]  # no break anywhere
     rows = [(k, t) for k, t in enumerate(texts)] + [(3, texts[3]), (None, texts[8])]
-    frame = spark.createDataFrame(rows, "ids0 long, text string").repartition(3)
-    for chunk in (40, 100):
-        got = encode(frame, chunk=chunk)
-        assert sorted((str(r.ids0), list(r.ids)) for r in got.collect()) == sorted((str(d), LIBRARY.encode(t or "")) for d, t in rows)
-    back = decode(encode(frame, chunk=64)).collect()
-    assert sorted((str(r.ids0), r.decoded) for r in back) == sorted((str(d), t or "") for d, t in rows)
+    frame = spark.createDataFrame(rows, "ids long, text string").repartition(3)
+    for chunk in (20, 100):  # 20: matrices are multiplied in two levels
+        got = encode(frame.withColumnRenamed("ids", "decoded"), chunk=chunk)
+        assert sorted((str(r.decoded), list(r.ids)) for r in got.collect()) == sorted((str(d), LIBRARY.encode(t or "")) for d, t in rows)
+    back = decode(encode(frame.withColumn("decoded", F.lit(1)), chunk=64)).collect()
+    assert sorted((list(r.ids), r.decoded) for r in back) == sorted((LIBRARY.encode(t or ""), t or "") for _, t in rows)  # columns called as the results give way
     assert encode(frame.limit(0)).count() == 0
 
 
