@@ -64,3 +64,11 @@ def test_edges(spark):
     got = sorted(groups(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=str)
     assert sorted((str(r.doc_id), str(r.component), r.kept) for r in got) == [("3", "3", True), ("3", "3", True), ("9", "3", False), ("None", "None", True)]
     assert groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_an_id_on_two_texts_links_both(spark):
+    a = " ".join(f"a{i}" for i in range(80))
+    b = " ".join(f"b{i}" for i in range(80))
+    rows = [(5, a), (5, b), (7, b + " more"), (8, a + " more"), (9, "something else entirely, nothing shared at all"), (2, "own words of a row that stays alone")]
+    got = {(r.doc_id, r.component) for r in groups(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.85).collect()}
+    assert got == {(5, 5), (7, 5), (8, 5), (9, 9), (2, 2)}
