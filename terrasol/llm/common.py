@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 import numpy as np
@@ -26,11 +28,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; without one, tables that outlive an executor have no place."""
+    """The folder that driver and executors share; where none is named, a local one in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return root
+    return root or f"file://{tempfile.gettempdir()}/terrasol-shared"
 
 
 def cut(df: DataFrame, keys: list[str] | None = None) -> DataFrame:

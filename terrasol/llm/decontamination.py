@@ -5,7 +5,7 @@ In a task every slice of documents is a shard.  Its suffix array holds the posit
 where a benchmark window can begin at all: all words of the window must be benchmark
 words, which leaves out nearly all of an ordinary text and loses no match.  Every test suffix is found by
 binary search; the matched positions give the hit words, the items, and the longest
-verbatim match with its place in document and item.
+verbatim match with its places in document and item, over all items and positions.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from terrasol.llm.common import cut, small_batches, table
 
 #: words of a window; an item of fewer words is one window
 WINDOW = 13
+#: pairs of a document's positions and items' windows looked at together
+PAIRS = 1 << 18
 #: text bytes of the benchmark that go to the tasks at once
 BLOCK_BYTES = 4 << 20
 
@@ -137,18 +139,41 @@ def _shard(raw: np.ndarray, offsets: np.ndarray, tests: TestSuffixes) -> list[di
         row["runs"] = [{"a": int(x - begin), "b": int(y - begin)} for x, y in zip(p[new], ends_)]
         members = np.concatenate([tests.by_key[tests.key_at[k] : tests.key_at[k + 1]] for k in np.unique(key[a:b])])
         row["items"] = sorted({tests.item_ids[i] for i in np.unique(tests.item[members])})
-        stop = first[d] + counts[d]
-        for i in np.flatnonzero(new):  # matches that begin at the start of a run
-            w = tests.by_key[tests.key_at[key[a + i]]]
-            x, y, last = int(p[i]), int(tests.at[w]), int(tests.item_end[tests.item[w]])
-            size = min(stop - x, last - y)
-            differ = np.flatnonzero(ids[x : x + size] != tests.ids[y : y + size])
-            size = int(differ[0]) if len(differ) else int(size)
-            if size > row["longest"]:
-                row |= {"longest": size, "longest_item": tests.item_ids[tests.item[w]], "longest_at": x - int(begin), "item_at": y - int(tests.item_first[tests.item[w]])}
+        row |= _longest(ids, int(begin), int(begin + counts[d]), p, key[a:b], tests)
     return out
 
 
+def _longest(ids, begin, stop, pos, key, tests) -> dict:
+    """The longest verbatim match of a document (from `begin` to `stop`) over all items that hold a found window; ties go
+    to the first place in the document, then to the least item and its first place."""
+    best = None
+    held = tests.key_at[key + 1] - tests.key_at[key]
+    k = 0
+    while k < len(pos):  # pairs of a position and an item's window, a bounded number at a time
+        upto = max(k + 1, int(np.searchsorted(np.cumsum(held[k:]), PAIRS, "right")) + k)
+        n = held[k:upto]
+        x = np.repeat(pos[k:upto], n)
+        w = tests.by_key[np.repeat(tests.key_at[key[k:upto]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        k = upto
+        y, item, size = tests.at[w], tests.item[w], tests.length[w].copy()
+        # a match that begins one word earlier holds this one
+        whole = size == tests.window
+        inner = whole & (x > begin) & (y > tests.item_first[item])
+        inner[inner] = ids[x[inner] - 1] == tests.ids[y[inner] - 1]
+        x, y, item, size = (v[~inner] for v in (x, y, item, size))
+        limit = np.minimum(stop - x, tests.item_end[item] - y)
+        live = np.flatnonzero(size < limit)
+        while len(live):
+            live = live[ids[x[live] + size[live]] == tests.ids[y[live] + size[live]]]
+            size[live] += 1
+            live = live[size[live] < limit[live]]
+        if len(x):
+            top = np.flatnonzero(size == size.max())
+            some = min((-int(size[i]), int(x[i]) - begin, tests.item_ids[item[i]], int(y[i] - tests.item_first[item[i]])) for i in top)
+            best = some if best is None else min(best, some)
+    return {"longest": -best[0], "longest_at": best[1], "longest_item": best[2], "item_at": best[3]} if best else {}
+
+
 def _matcher(shared, window: int):
     def run(batches):
         tests = TestSuffixes(shared.value, window)
@@ -175,18 +200,18 @@ def _matcher(shared, window: int):
     return run
 
 
-def _blocks(bench: DataFrame, block_bytes: int) -> list[list[tuple[int, str]]]:
-    """The benchmark in blocks of about `block_bytes` of text; only one block is fetched at a time."""
+def _blocks(bench: DataFrame, block_bytes: int) -> list[tuple]:
+    """The benchmark in blocks of about `block_bytes` of text, fetched one by one."""
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(size) // block_bytes))
-    for k in range(n):
-        yield [(r[0], r[1]) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
+    fetch = lambda k: [(r[0], r[1]) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
+    return [(fetch, k) for k in range(n)]
 
 
 def match(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: id, n_words, `runs` of hit words (word offsets, end
-    exclusive), the `items` with occurring windows (sorted), and the longest verbatim match that begins
-    a run: its words, item, and word offsets in document and item.
+    exclusive), the `items` with occurring windows (sorted), and the longest verbatim match (of a window or more): its
+    words, item, and word offsets in document and item.
 
     Null or empty texts have no words; null ids and repeated rows stay rows of their own;
     empty tables give empty results or no hits; items with a null id or text hit
@@ -197,21 +222,21 @@ def match(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = texts.schema["_id"].dataType.simpleString()
     items = bench.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null")
-    parts = []
-    for block in _blocks(items, block_bytes):
-        shared = spark.sparkContext.broadcast(block)
-        parts.append((shared, block))
-    if len(parts) == 1:
-        out = texts.mapInArrow(_matcher(parts[0][0], window), f"_id {kind}, {COLUMNS}")
+    blocks = _blocks(items, block_bytes)
+    if len(blocks) == 1:
+        fetch, k = blocks[0]
+        out = texts.mapInArrow(_matcher(spark.sparkContext.broadcast(fetch(k)), window), f"_id {kind}, {COLUMNS}")
         return out.withColumnRenamed("_id", id_col)
-    # more blocks: each one passes over the texts, and a row's runs are merged
+    # more blocks: each one passes over the texts before the next is fetched, and a row's runs are merged
     numbered = cut(texts.withColumn("_row", F.monotonically_increasing_id()))
     rows = numbered.select(F.struct("_row", F.col("_id").alias("id")).alias("_id"), "_text")
     every = None
-    for shared, _ in parts:
-        got = rows.mapInArrow(_matcher(shared, window), f"_id struct<_row:bigint,id:{kind}>, {COLUMNS}").where("size(items) > 0")
+    for fetch, k in blocks:
+        shared = spark.sparkContext.broadcast(fetch(k))
+        got = cut(rows.mapInArrow(_matcher(shared, window), f"_id struct<_row:bigint,id:{kind}>, {COLUMNS}").where("size(items) > 0"))
+        shared.unpersist()
         every = got if every is None else every.unionByName(got)
-    best = F.max_by(F.struct("longest", "longest_item", "longest_at", "item_at"), "longest")
+    best = F.min(F.struct((-F.col("longest")).alias("less"), "longest_at", "longest_item", "item_at", "longest"))
     merged = every.groupBy(F.col("_id._row").alias("_row")).agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), best.alias("m"))
     counts = rows.mapInArrow(_matcher(spark.sparkContext.broadcast([]), window), f"_id struct<_row:bigint,id:{kind}>, {COLUMNS}").select(F.col("_id._row").alias("_row"), F.col("_id.id").alias("_id"), "n_words")
     joined = counts.join(merged, "_row", "left")
@@ -236,19 +261,24 @@ def judged(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
-    return judged(match(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))).drop("longest", "longest_item", "longest_at", "item_at")
+    return judged(match(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")))
 
 
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-bw AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS win FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
+bp AS (SELECT item_id, i AS j, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS win FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
+bw AS (SELECT DISTINCT item_id, n, win FROM bp),
 sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT k, i, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM d), sizes WHERE i + n - 1 <= len(w)),
 m AS (SELECT k, i, n, item_id FROM dw JOIN bw USING (n, win)),
 h AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS p FROM m) GROUP BY k),
-it AS (SELECT k, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM m GROUP BY k)
+it AS (SELECT k, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM m GROUP BY k),
+pl AS (SELECT k, i, j, n, item_id, i - row_number() OVER (PARTITION BY k, item_id, n, i - j ORDER BY i) AS g FROM dw JOIN bp USING (n, win)),
+ru AS (SELECT k, item_id, min(i) AS i, min(j) AS j, count(*) - 1 + n AS size FROM pl GROUP BY k, item_id, n, i - j, g),
+lo AS (SELECT * FROM ru QUALIFY row_number() OVER (PARTITION BY k ORDER BY size DESC, i, item_id, j) = 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (k) LEFT JOIN it USING (k)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       CAST(coalesce(size, 0) AS INTEGER) AS longest, CAST(lo.item_id AS BIGINT) AS longest_item, CAST(lo.i - 1 AS INTEGER) AS longest_at, CAST(lo.j - 1 AS INTEGER) AS item_at
+FROM d LEFT JOIN h USING (k) LEFT JOIN it USING (k) LEFT JOIN lo USING (k)
 """

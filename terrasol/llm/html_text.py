@@ -5,8 +5,8 @@ occurrence vector: how often each stands on every page.  Spark folds the vectors
 hashes, so elements with equal vectors form an equivalence class by equal sums.  Frequent classes
 of elements that stand once on their pages are the template; they nest by their paths.
 What lies between are its slots, and the slots whose text varies between pages hold the
-article: title, lead and body alike.  Tags and class names only take parts out, and decide where
-pages are too few to tell.  A page of which no slot is left is its own template.
+article: title, lead and body alike.  Tags and class names only take parts out (a class name if all its words
+say so), and decide where pages are too few to tell.  A page of which no slot is left is its own template.
 """
 
 from __future__ import annotations
@@ -41,8 +41,12 @@ NOT_WORDS = frozenset(
     "ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer bottom cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist reply replies respond disqus discussion share sharing social related recommended recommendations widget toolbar pagination pager copyright legal disclaimer".split()
 )
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<!--|<[!?/][^>]*>?|<[a-zA-Z][^>]*>?")
-NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+#: words that say nothing beside one of these
+PLAIN_WORDS = frozenset("main top left right inner outer list item items box block container wrapper wrap area section content text link links bar row col column site page global primary secondary footer header title body group panel".split())
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NONE = re.compile(r"display\s*:\s*none", re.I)
+#: elements below so many others are their deepest one's children, as in browsers
+DEPTH = 512
 WORDS = re.compile(r"[a-z0-9]+")
 BLANK = re.compile(r"[ \t\n\r\f\v   　]+")
 
@@ -50,10 +54,41 @@ BLANK = re.compile(r"[ \t\n\r\f\v   　]+")
 class Element:
     """An open element: its path's name, and whether text in it counts."""
 
-    __slots__ = ("tag", "path", "out", "linked", "inside", "ancestors")
+    __slots__ = ("tag", "path", "out", "linked", "inside", "parent", "depth", "block")
 
-    def __init__(self, tag, path, out, linked, inside, ancestors):
-        self.tag, self.path, self.out, self.linked, self.inside, self.ancestors = tag, path, out, linked, inside, ancestors
+    def __init__(self, tag, path, out, linked, inside, parent):
+        self.tag, self.path, self.out, self.linked, self.inside, self.parent = tag, path, out, linked, inside, parent
+        self.depth = parent.depth + 1 if parent else 0
+        #: the block whose text this element's text is
+        self.block = self if parent is None or tag in BLOCK else parent.block
+
+    def above(self) -> list[int]:
+        """Paths from the outermost element down to this one."""
+        found, e = [], self
+        while e.parent is not None:
+            found.append(e.path)
+            e = e.parent if e.depth <= DEPTH else e.parent.at(DEPTH)
+        return found[::-1]
+
+    def at(self, depth: int) -> Element:
+        e = self
+        while e.depth > depth:
+            e = e.parent
+        return e
+
+
+def _attributes(text: str) -> dict[str, str]:
+    """Attributes by lower-case name; the first of a name counts."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), next((g for g in m.groups()[1:] if g is not None), ""))
+    return found
+
+
+def _says_no(name: str) -> bool:
+    """Whether a class or id name marks what is not the article: one of its words does, and no word says otherwise."""
+    words = set(WORDS.findall(name.lower()))
+    return not words.isdisjoint(NOT_WORDS) and words <= NOT_WORDS | PLAIN_WORDS
 
 
 def _name(text: str) -> int:
@@ -61,27 +96,34 @@ def _name(text: str) -> int:
 
 
 def _open(parent: Element, tag: str, attributes: str) -> Element:
-    names = {m[1].lower(): next(g for g in m.groups()[1:] if g is not None).lower() for m in NAMES.finditer(attributes)} if attributes else {}
-    label = tag + "".join(f".{w}" for w in sorted(names.get("class", "").split())[:4])
-    path = _name(f"{parent.path}>{label}")
-    inside = parent.inside or tag in ("article", "main") or names.get("role") == "main"
+    names = _attributes(attributes) if attributes and not attributes.isspace() else {}
+    classes = names.get("class", "").lower().split()
+    path = _name(f"{(parent if parent.depth < DEPTH else parent.at(DEPTH)).path}>{tag}" + "".join(f".{w}" for w in sorted(set(classes))))
+    role = names.get("role", "").lower()
+    inside = parent.inside or tag in ("article", "main") or role == "main"
     out = parent.out
     if tag in HEADINGS and parent.tag == "header" and parent.inside:
         out = False  # an article's own title
-    elif tag in NOT_TEXT or names.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog"):
+    elif tag in NOT_TEXT or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog"):
         out = True
     elif tag not in ("html", "body", "article", "main") and not out and names:
-        words = set(WORDS.findall(names.get("class", "") + " " + names.get("id", "")))
-        out = not words.isdisjoint(NOT_WORDS)
-    if not out and attributes and tag not in ("html", "body") and HIDDEN.search(attributes):
-        out = True
-    return Element(tag, path, out, parent.linked or tag == "a", inside, parent.ancestors + (path,))
+        out = any(map(_says_no, [*classes, names.get("id", "")]))
+    if not out and names and tag not in ("html", "body"):
+        out = names.get("hidden", "until-found").lower() != "until-found" or names.get("aria-hidden", "").lower() == "true" or bool(NONE.search(names.get("style", "")))
+    return Element(tag, path, out, parent.linked or tag == "a", inside, parent)
 
 
 def blocks(html: str):
     """Text blocks in page order, (text, element, linked characters), and how often each path opens."""
-    root = Element("", 0, False, False, False, ())
+    root = Element("", 0, False, False, False, None)
     stack, counts, found = [root], {}, []
+    open_: dict[str, int] = {}
+
+    def close_from(k):
+        for e in stack[k:]:
+            open_[e.tag] -= 1
+        del stack[k:]
+
     words: list[str] = []
     linked, at, n = 0, 0, len(html)
 
@@ -90,15 +132,10 @@ def blocks(html: str):
         if words:
             text = BLANK.sub(" ", unescape("".join(words))).strip()
             if text:
-                found.append((text, block(), linked))
+                found.append((text, stack[-1].block, linked))
             words.clear()
         linked = 0
 
-    def block():
-        for e in reversed(stack):
-            if e.tag in BLOCK or e is root:
-                return e
-
     while at < n:
         m = TAG.search(html, at)
         begin = m.start() if m else n
@@ -119,9 +156,9 @@ def blocks(html: str):
         if m[1]:
             if tag in BLOCK:
                 end()
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_.get(tag) else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close_from(k)
                     break
             continue
         if tag in RAW:
@@ -139,12 +176,13 @@ def blocks(html: str):
             end()
             for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph, an item an open item
                 if stack[k].tag == "p" or stack[k].tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th"):
-                    del stack[k:]
+                    close_from(k)
                     break
                 if stack[k].tag in BLOCK:
                     break
         new = _open(stack[-1], tag, m[3])
         stack.append(new)
+        open_[tag] = open_.get(tag, 0) + 1
         if tag in BLOCK:
             counts[new.path] = counts.get(new.path, 0) + 1
     end()
@@ -173,7 +211,7 @@ def _occurrences(batches):
             for path in {0} | counts.keys() | text.keys():
                 own = text.get(path, ())
                 links = sum(k for _, _, k in own)
-                rows.append((host, page, path, counts.get(path, 1), sum(len(t) for t, _, _ in own) - links, links, any(e.inside for _, e, _ in own), _name("\n".join(t for t, _, _ in own)) if own else 0, [0, *own[0][1].ancestors] if own else []))
+                rows.append((host, page, path, counts.get(path, 1), sum(len(t) for t, _, _ in own) - links, links, any(e.inside for _, e, _ in own), _name("\n".join(t for t, _, _ in own)) if own else 0, [0, *own[0][1].above()] if own else []))
         columns = list(zip(*rows)) or [()] * 9
         types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["host", "page", "path", "n", "chars", "linked", "inside", "text", "above"])
@@ -227,11 +265,14 @@ def _article(html: str | None, slots: dict[int, bool]) -> str:
     if not html:
         return ""
     texts = [(t, e, k) for t, e, k in blocks(html)[0] if not e.out]
-    chosen = [x for x in texts if slots.get(next((p for p in reversed(x[1].ancestors) if p in slots), 0), False)]
-    if not chosen:
+    chosen = [x for x in texts if slots.get(next((p for p in reversed(x[1].above()) if p in slots), 0), False)]
+    if chosen:
+        return "\n\n".join(t for t, _, _ in chosen)
+    if texts:
         inside = [x for x in texts if x[1].inside]
         enough = sum(len(t) for t, _, _ in inside) * 4 >= sum(len(t) - k for t, e, k in texts if not e.inside)
         chosen = inside if inside and enough else texts
+    # no slot tells: mostly linked blocks go
     return "\n\n".join(t for t, e, k in chosen if k * 2 <= len(t) or e.inside or e.tag in HEADINGS or e.tag == "p")
 
 
@@ -254,15 +295,16 @@ def _extract(slots):
     return run
 
 
-def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", support: float = SUPPORT) -> DataFrame:
-    """The input's rows without the html, and `text`: the article's blocks joined by two \\n.
+def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", support: float = SUPPORT, to: str = "text") -> DataFrame:
+    """The input's rows without the html, and `text` (or another name, `to`): the article's blocks joined by two \\n.
+    An input column of that name gives way to it.
 
     A null html is empty and has no text; a null url belongs to the empty host; repeated rows
     stay; equal pages do not vote twice; an empty table gives an empty result.
     """
     spark = pages.sparkSession
     small_batches(spark)
-    rest = [c for c in pages.columns if c not in (html_col, "text")]
+    rest = [c for c in pages.columns if c not in (html_col, to)]
     rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_rest"), host_of(F.col(url_col)).alias("_host"), F.col(html_col).alias("_html"))
     slots = cut(main_slots(rows.select(F.col("_host").alias("host"), F.col("_html").alias("html")), support))
     schema = T.StructType([rows.schema["_rest"], T.StructField("text", T.StringType())])
@@ -274,7 +316,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", supp
         out = rows.mapInArrow(_extract(shared), schema)
     else:
         out = rows.join(slots.select(F.col("host").alias("_host"), F.col("slots").alias("_slots"), F.col("keeps").alias("_keeps")), "_host", "left").mapInArrow(_extract(None), schema)
-    return out.select("_rest.*", "text")
+    return out.select(*(F.col(f"_rest.`{c}`").alias(c) for c in rest), F.col("text").alias(to))
 
 
 def op4_html_text(spark, sf_dir: str) -> DataFrame:

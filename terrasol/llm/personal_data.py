@@ -1,7 +1,7 @@
 """Personal data by bootstrapped contextual extraction.
 
 Four exact rules (email, ip, card, phone) give the base spans; their values are the seed
-entities.  The words beside a seed are lexical patterns.  Spark then scores the graph of
+entities.  The words beside a seed (up to white space or a separator like a colon) are lexical patterns.  Spark then scores the graph of
 patterns and instances in rounds: a pattern is as good as the share of its occurrences
 in the whole corpus that hold a good instance, an instance as good as the noisy-or of its
 patterns.  Patterns of high confidence with enough seeds reveal identifiers that no
@@ -14,6 +14,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: what may be an identifier that no rule knows: digits with separators and at most four
 #: letters before them, or a handle
 UNKNOWN = re.compile(r"(?<![^\s:=,;(\"'])(?:[A-Za-z]{0,4}[0-9][0-9./-]{4,}[0-9]|@[A-Za-z0-9_]{3,})(?![^\s,;.)\"'])")
+#: a lexical unit: a word up to white space, or to the separators that may stand right before an identifier
+GLUE = ":=,;(\"'"
+UNIT = re.compile(r"[^\s:=,;(\"']*[:=,;(\"']+|[^\s:=,;(\"']+")
+REST = re.compile(r"\S*")
 DIGIT_OR_AT = re.compile("[0-9@]")
 
 FOUND = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
@@ -72,7 +77,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the four rules, ordered."""
     found = [(a, 0, b) for a, b in emails(text)]
-    found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 12 <= len(digits) <= 19 and luhn(digits):
@@ -84,23 +89,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _beside(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns: the word before and the word after, case-folded."""
+    """Lexical patterns: the unit before and the unit after, case-folded.  What stands between is blank, so each
+    occurrence of a unit is beside one instance on either side at most and counts alike in the corpus."""
     left = text[max(0, start - WORD - 24) : start].lower()
     right = text[end : end + WORD + 24].lower()
     found = []
-    words = left.split()
-    if words and 1 < len(words[-1]) <= WORD:
-        found.append("L " + words[-1])
-    words = right.split()
-    if words and not right[:1].isspace():
-        words = words[1:]  # the rest of the instance's own word
-    if words and 1 < len(words[0]) <= WORD:
-        found.append("R " + words[0])
+    if left and (left[-1].isspace() or left[-1] in GLUE):
+        units = UNIT.findall(left)
+        if units and 1 < len(units[-1]) <= WORD:
+            found.append("L " + units[-1])
+    rest = REST.match(right)  # the rest of the instance's own word
+    m = UNIT.search(right, rest.end())
+    if m and 1 < len(m[0]) <= WORD:
+        found.append("R " + m[0])
     return found
 
 
+def _named(text: str) -> str:
+    """An instance as a node of the graph: itself, or its 128-bit hash where it is long."""
+    low = text.lower()
+    return low if len(low) <= 64 else "#" + xxhash.xxh3_128_hexdigest(low)
+
+
 def _instances(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    found = [{"start": a, "end": b, "instance": text[a:b].lower()[:64], "seed": True, "patterns": _beside(text, a, b)} for a, _, b in spans]
+    found = [{"start": a, "end": b, "instance": _named(text[a:b]), "seed": True, "patterns": _beside(text, a, b)} for a, _, b in spans]
     at = 0
     for m in UNKNOWN.finditer(text):
         a, b = m.span()
@@ -108,7 +120,7 @@ def _instances(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
             at += 1
         if at < len(spans) and spans[at][0] < b or sum(map(str.isdigit, m[0])) < 6 and m[0][0] != "@":
             continue
-        found.append({"start": a, "end": b, "instance": m[0].lower()[:64], "seed": False, "patterns": _beside(text, a, b)})
+        found.append({"start": a, "end": b, "instance": _named(m[0]), "seed": False, "patterns": _beside(text, a, b)})
     return found
 
 
@@ -132,7 +144,7 @@ def _word_counts(batches):
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            counts.update(w for w in text.lower().split() if len(w) <= WORD) if text else None
+            counts.update(w for w in UNIT.findall(text.lower()) if len(w) <= WORD) if text else None
         if len(counts) > 300_000:
             yield rows()
             counts.clear()
@@ -149,7 +161,7 @@ def pattern_scores(edges: DataFrame, totals: DataFrame, rounds: int = ROUNDS, se
     """
     known = edges.groupBy("pattern").agg(F.count_if("seed").alias("seeds")).where(F.col("seeds") >= seeds).join(totals, "pattern")
     live = cut(edges.join(known, "pattern"))
-    scores = live.select("instance", "seed").distinct().select("instance", F.col("seed").cast("double").alias("score"))
+    scores = live.groupBy("instance").agg(F.max("seed").cast("int").cast("double").alias("score"))
     confidence = None
     for _ in range(rounds):
         confidence = live.join(scores, "instance").groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / (F.max("total") + 2)).alias("confidence"))

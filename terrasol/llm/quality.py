@@ -228,15 +228,19 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, folds: int
     small_batches(docs.sparkSession)
     usable = labels.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & (crc_mod("_id", folds) != 0))
     chosen = usable.groupBy("_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("_id"), "_id").limit(bound)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(chosen), "_id").select("quality", "_text")
-    got = texts.mapInArrow(_featured, "quality int, x array<double>").orderBy(F.xxhash64("x"), "quality").limit(2 * bound).toArrow()
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "quality", "_text")
+    # one row for each chosen id, also where an id stands on several documents
+    once = texts.groupBy("_id").agg(F.max("quality").alias("quality"), F.min("_text").alias("_text")).select("quality", "_text")
+    got = once.mapInArrow(_featured, "quality int, x array<double>").toArrow()
     y = got["quality"].to_numpy().astype(float)
     x = np.array(got["x"].to_pylist(), float).reshape(len(y), len(FEATURES))
+    order = np.lexsort((*x.T, y))  # sums do not depend on the order of rows
+    x, y = x[order], y[order]
     return fit(x, y)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The input's columns (or those to keep) and `score`: the model's probability of label 1 (null and empty
+    """The input's columns (or those to keep; one called `score` gives way to the result) and `score`: the model's probability of label 1 (null and empty
     texts are scored by their features, which are all zero)."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -248,7 +252,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
             columns = [batch.column(c) for c in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(rows) if rows else np.empty(0), pa.float64())], [*batch.schema.names[:-1], "score"])
 
-    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep or docs.columns)).alias("_row"), F.col("text").alias("_scored"))
+    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep or docs.columns if c != "score")).alias("_row"), F.col("text").alias("_scored"))
     out = kept.mapInArrow(run, f"_row {kept.schema['_row'].dataType.simpleString()}, score double")
     return out.select("_row.*", "score")
 

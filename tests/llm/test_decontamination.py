@@ -1,7 +1,10 @@
 import random
 import re
 
-from terrasol.llm.decontamination import judged, match
+import duckdb
+
+from terrasol.llm.decontamination import OP2_SQL, judged, match, op2_decontamination
+from tests.conftest import DATA
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -68,3 +71,21 @@ def test_longest_match_and_rule(spark):
     r = got[1]
     assert (r.longest, r.longest_item, r.longest_at, r.item_at, r.contaminated) == (25, 7, 7, 5, True)
     assert not got[2].contaminated and got[3].n_hit == 13 and got[3].contaminated
+
+
+def test_longest_over_all_items_and_positions(spark):
+    w = [f"w{i}" for i in range(40)]
+    items = [(1, " ".join(w[:13] + ["other"])), (2, " ".join(w[:30])), (3, " ".join(["z"] + w[2:30] + ["tail", "more"]))]
+    docs = [(1, " ".join(w[:30])), (2, "x " + " ".join(w[:30]) + " tail more"), (3, " ".join(w[:13]))]
+    got = {r.doc_id: (r.longest, r.longest_item, r.longest_at, r.item_at) for r in match(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: (30, 2, 0, 0), 2: (30, 2, 1, 0), 3: (13, 1, 0, 0)}
+
+
+def test_query_equals_its_sql(spark):
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        duck.sql(f"create view {t} as select * from '{DATA}/sf0.001/{t}.parquet'")
+    got = op2_decontamination(spark, f"{DATA}/sf0.001")
+    names = sorted(got.columns)
+    want = duck.sql(f"select {', '.join(names)} from ({OP2_SQL})").fetchall()
+    assert sorted(map(tuple, got.select(*names).collect()), key=str) == sorted(want, key=str)

@@ -1,4 +1,4 @@
-from terrasol.llm.html_text import extract, op4_html_text
+from terrasol.llm.html_text import blocks, extract, op4_html_text
 from tests.conftest import DATA
 
 PAGE = """<!DOCTYPE html><html><head><title>T{n}</title><script>var t="</p>";</script><style>p{{}}</style></head><body class="has-sidebar">
@@ -63,3 +63,20 @@ def test_query_leaves_out_what_is_around(spark):
     for r in op4_html_text(spark, f"{DATA}/sf0.001").collect():
         assert r.n_chars == len(r.text) and "©" not in r.text and "track(" not in r.text
         assert ("<article>" not in html[r.page_id]) or r.text
+
+
+def test_only_whole_names_and_attributes_take_parts_out(spark):
+    page = '<html><body><div class="overflow-hidden x" data-note="hidden"><article><p>Text {n}<div class="social-policy">Policy {n}</div><div class="ad-box">buy {n}</div><p hidden>unseen {n}<p style="display: none">gone {n}</article></div></body></html>'
+    got = {r.page_id: r.text for r in extract(frame(spark, [(i, "https://h.example/a", page.format(n=i)) for i in range(6)])).collect()}
+    assert got == {i: f"Text {i}\n\nPolicy {i}" for i in range(6)}
+
+
+def test_unclosed_tags():
+    found, counts = blocks("<font>" * 50_000 + "text<p>para</b></font>" + "<div>" * 3_000 + "deep")
+    assert [t for t, _, _ in found] == ["text", "para", "deep"] and len(found[2][1].above()) <= 513
+
+
+def test_a_column_called_as_the_result_gives_way(spark):
+    rows = spark.createDataFrame([(1, "http://h/", "<p>one", "old")], "page_id long, url string, html string, text string")
+    assert [tuple(r) for r in extract(rows).select("page_id", "text").collect()] == [(1, "one")]
+    assert [tuple(r) for r in extract(rows, to="article").select("text", "article").collect()] == [("old", "one")]

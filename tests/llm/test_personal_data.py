@@ -49,3 +49,22 @@ def test_contexts_reveal_unseen_identifiers(spark):
     assert by[10] == ["context:18:29"] and by[11] == [""] and by[12] == [""] and by[None] == ["email:0:6"]
     assert sorted(by[13]) == ["", "email:200001:200007"]
     assert extract(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_runs_of_digits():
+    assert [k for _, k, _ in base_spans("0" * 5000 + ".1.1.1 and " + "9" * 5000 + ".1.1.1")] == [1]
+
+
+def test_context_finds_what_rules_do_not_know(spark):
+    """Glued labels count like spaced ones; precision and recall on planted identifiers."""
+    rows, planted = [], set()
+    for i in range(60):
+        rows.append((i, f"see ssn:user{i}@mail.org today"))
+    rows.append((60, "a lone ssn: here"))
+    for i in range(61, 81):
+        rows.append((i, f"his ssn:{i}3-45-6789 was noted, order {i}00-1234-77 came"))
+        planted.add((i, f"context:8:{8 + len(f'{i}3-45-6789')}"))
+    rows += [(i, f"order {i}00-1234-55 arrived with nothing personal") for i in range(81, 140)]
+    out = extract(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {(r.doc_id, s) for r in out.select("doc_id", joined("spans").alias("s")).collect() for s in r.s.split(",") if s.startswith("context")}
+    assert found == planted

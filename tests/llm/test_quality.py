@@ -27,7 +27,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_edges(spark):
-    docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (2, "", "x"), (None, "A fine text.", "x"), (4, "word " * 100_000, "x")], "doc_id long, text string, score0 string")
+    docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (2, "", "x"), (None, "A fine text.", "x"), (4, "word " * 100_000, "x")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (4, None), (None, 1), (9, 7)], "doc_id long, quality int")
     got = score(docs, train(docs, labels)).collect()
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
