@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrasol.operators.grid import small
+
 
 def ndvi(nir: Column, red: Column) -> Column:
     """(nir - red) / (nir + red); NULL where the sum is 0 or a band is missing."""
@@ -42,9 +44,9 @@ def threshold_level(v: Column, values: list[float] | None = None) -> Column:
 
 
 def reclass(cells: DataFrame, value: str, legend: DataFrame, unknown: int = 0) -> DataFrame:
-    """Class of each value by the legend (a table of a few rows, so it is broadcast); others are unknown."""
-    small = F.broadcast(legend.select(F.col("value").alias("_v"), "class_id").limit(10_000))
-    return cells.join(small, F.col(value) == F.col("_v"), "left").withColumn("class_id", F.coalesce("class_id", F.lit(unknown))).drop("_v")
+    """Class of each value by the legend (broadcast if it is small, else an ordinary join); others are unknown."""
+    known = small(legend.select(F.col("value").alias("_v"), "class_id"))
+    return cells.join(known, F.col(value) == F.col("_v"), "left").withColumn("class_id", F.coalesce("class_id", F.lit(unknown))).drop("_v")
 
 
 def minmax_scale(cells: DataFrame, bands: list[str]) -> DataFrame:

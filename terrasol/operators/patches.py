@@ -50,7 +50,7 @@ def label_runs(cells: DataFrame, band: str, ncols: int, neighbours: int = 8, by:
     # groups are few (scenarios, tiles): their dense numbers come from a small sorted table
     names = r.select(*by).distinct()
     number = names.withColumn("_g", F.dense_rank().over(Window.orderBy(*by)).cast("bigint"))
-    shift = F.lit(1 << 40)
+    shift = F.lit(int(r.agg(F.max("run_id")).first()[0] or 0) + 1)
     tag = lambda c: F.col("_g") * shift + F.col(c)
     found = components(edges.join(small(number), list(by)).select(tag("a").alias("a"), tag("b").alias("b")))
     tagged = r.join(small(number), list(by)).withColumn("_n", tag("run_id"))

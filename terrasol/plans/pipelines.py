@@ -32,10 +32,10 @@ def geobia(cells: DataFrame) -> DataFrame:
     return Z.mask_zones(cells, "zone_id", geobia_zones(cells))
 
 
-def terrace_patches(cells: DataFrame, ncols: int, threshold: float = 0.5, least: float = 10.0, largest: float = 1000.0, res: float = 1.0, partition_by_tile: bool = False) -> DataFrame:
+def terrace_patches(cells: DataFrame, ncols: int, threshold: float = 0.25, least: float = 10.0, largest: float = 1000.0, res: float = 1.0, partition_by_tile: bool = False) -> DataFrame:
     """From class probabilities (p1) and elevations to flagged patches: threshold, 5x5 majority, patches of eight
     neighbours, area, outline, simplified and smoothed rings, shape, statistics of the smoothed slope on the burnt
-    polygons, flags, selection.  With tiles (column `tile`), patches are cut at their borders."""
+    polygons, flags, selection.  Rings are simplified in the units of the grid.  With tiles (column `tile`), patches are cut at their borders."""
     by = ("tile",) if partition_by_tile else ()
     filtered = N.majority_filter(cells.select("row", "col", A.binarize(F.col("p1"), threshold).alias("one")), "one")
     if by:
