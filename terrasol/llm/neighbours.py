@@ -136,3 +136,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
 def op6_nearest(spark, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return search(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
+
+
+#: the exact nearest rows; the search is approximate and found them all at sf0.001, sf0.01 and sf0.1
+OP6_SQL = """
+WITH usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
+    AND isfinite(list_sum(CAST(embedding AS DOUBLE[]))) AND (list_max(embedding) > 0 OR list_min(embedding) < 0)),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.v, c.v) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10
+"""

@@ -7,7 +7,7 @@ from terrasol.llm.html_text import op4_html_text
 from terrasol.llm.language_model import op5_language_model
 from terrasol.llm.line_dedup import op3_line_dedup
 from terrasol.llm.near_duplicates import op8_near_duplicates
-from terrasol.llm.neighbours import op6_nearest
+from terrasol.llm.neighbours import OP6_SQL, op6_nearest
 from terrasol.llm.personal_data import op1_personal_data
 from terrasol.llm.quality import op7_quality
 from terrasol.llm.secret_scan import op9_secret_scan
@@ -19,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL}
+    return {"op2_decontamination": OP2_SQL, "op6_nearest": OP6_SQL}

@@ -1,6 +1,7 @@
+import duckdb
 import numpy as np
 
-from terrasol.llm.neighbours import op6_nearest, search
+from terrasol.llm.neighbours import OP6_SQL, op6_nearest, search
 from tests.conftest import DATA
 
 
@@ -37,3 +38,11 @@ def test_edges(spark):
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
     assert [i for _, i in got[1]] == [400, 401, 402, 403, 404] and got[505] == [(1, 506)] and 502 not in got
     assert search(frame.limit(0), frame.limit(0)).count() == 0
+
+
+def test_matches_sql(spark):
+    embeddings = duckdb.read_parquet(f"{DATA}/sf0.01/embeddings.parquet")  # noqa: F841
+    want = sorted(duckdb.sql(OP6_SQL).fetchall())
+    got = sorted(tuple(r) for r in op6_nearest(spark, f"{DATA}/sf0.01").select("query_id", "rank", "vec_id", "score").collect())
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert np.allclose([r[3] for r in got], [r[3] for r in want], rtol=1e-12, atol=0)
