@@ -146,6 +146,13 @@ def union_layers(spark, sf_dir):
     return P.union_layers([f, f.where("superficie > 500")])
 
 
+@query(f"WITH {CELLS}, {FLAGGED} SELECT * FROM p WHERE (diag_a = 1 OR diag_b = 1) AND superficie <= 1600")
+def fused_layers(spark, sf_dir):
+    """Three layers of patches, each filtered, as one."""
+    f = _flagged(spark, sf_dir)
+    return W.fused_layers([f.where(F.pmod("patch_id", F.lit(3)) == k) for k in range(3)], 1600.0)
+
+
 SCENARIOS = L.sensitivity_grid(buffers=(1,))
 GRID = "sc AS (SELECT low || '_' || steep AS scenario_id, low, steep FROM (SELECT unnest([10, 15, 20]) AS low), (SELECT unnest([25, 30, 35]) AS steep) WHERE low < steep)"
 

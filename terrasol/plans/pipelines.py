@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrasol.functions import algebra as A
 from terrasol.operators import focal as N
+from terrasol.operators import forest as T
+from terrasol.operators import grid as G
 from terrasol.operators import patches as P
+from terrasol.operators import windows as V
 from terrasol.operators import zonal as Z
 from terrasol.sources.store import cut
 
@@ -54,3 +60,25 @@ def terrace_patches(cells: DataFrame, ncols: int, threshold: float = 0.25, least
     full = Z.merge_zone_stats([shape, means, tenths], "patch_id", "left")
     flags = A.diagnostics(F.col("convexite"), F.col("pente_moyenne"), F.col("pente_decile10"))
     return P.diagnostic_select(full.select("patch_id", "superficie", "perimetre", "convexite", "pente_moyenne", "pente_decile10", *flags), largest)
+
+
+def forest_levels(model: PipelineModel, tiles: list[DataFrame], values: list[float] | None = None) -> DataFrame:
+    """From feature tiles to binary layers: class probabilities of every tile, mean where tiles overlap, one layer for each threshold."""
+    whole = G.mosaic_mean([T.predict_cells(model, t) for t in tiles], ["p1"])
+    return A.threshold_sweep(whole, "p1", values)
+
+
+def fused_layers(layers: list[DataFrame], largest: float = 1000.0) -> DataFrame:
+    """The flagged patches of every tile's layer, up to the largest area, as one layer."""
+    return P.union_layers([P.diagnostic_select(layer, largest) for layer in layers])
+
+
+def window_map(cells: DataFrame, bands: list[str], key_band: str, load: Callable[[], Callable], classes: int = 2, patch: int = 128, stride: int = 64) -> DataFrame:
+    """(row, col, cls, p) by a user's window model: overlapping windows without bad data are scored, merged by Hann weights, and every cell
+    takes its most probable class (0 and NULL where only weight 0 falls); cells of no scored window are absent."""
+    windowed = cut(V.overlap_windows(cells, patch, stride))
+    good = V.window_validity(windowed, bands, key_band).where("reason = 'ok'").select("i", "j")
+    packed = V.pack_windows(windowed.join(good, ["i", "j"]), ["i", "j"], bands, (F.col("row") - F.col("i")) * patch + F.col("col") - F.col("j"))
+    names = [f"p{k}" for k in range(classes)]
+    merged = V.hann_merge(V.scored_cells(V.score_windows(packed, bands, classes, load, patch), patch, classes), names, patch)
+    return merged.select("row", "col", A.argmax_class(names, 1, 0).alias("cls"), A.max_prob(names).alias("p"))

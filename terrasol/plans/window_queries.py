@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from terrasol.operators import focal as N
 from terrasol.operators import forest as T
 from terrasol.operators import windows as V
+from terrasol.plans import pipelines as W
 from terrasol.plans.focal_queries import SLOPE, elevation
 from terrasol.plans.register import query
 from terrasol.sources import derived as D
@@ -83,6 +84,14 @@ def score_windows(spark, sf_dir):
     return V.hann_merge(V.scored_cells(scores, P, 2), ["p0", "p1"], P)
 
 
+@query(f"""WITH {COVER}, ok AS (SELECT i, j FROM ow GROUP BY i, j HAVING count(nir) = 64 AND count(red) = 64 AND bool_or(red <> 0)),
+m AS (SELECT r, c, sum((0.5 - 0.5 * cos((r - i) * (2 * pi() / 7))) * (0.5 - 0.5 * cos((c - j) * (2 * pi() / 7)))) AS w, coalesce(any_value(red::DOUBLE / nullif(nir + red, 0)), 0) AS p FROM ow JOIN ok USING (i, j) GROUP BY r, c)
+SELECT r AS "row", c AS "col", CASE WHEN w <= 1e-12 THEN 0 WHEN p > 0.5 THEN 2 ELSE 1 END AS cls, CASE WHEN w > 1e-12 THEN round(greatest(p, 1 - p), 4) END AS p FROM m""")
+def window_map(spark, sf_dir):
+    """Windows to a class map with the stand-in model, which gives a cell the same shares in every window."""
+    return W.window_map(_bands(spark, sf_dir), ["nir", "red"], "red", toy_model, 2, P, S).withColumn("p", F.round("p", 4))
+
+
 WP = f"""{COVER}, {PROB}, wp AS (SELECT ow.i, ow.j, ow.r, ow.c, p1 * ((ow.i // 4) % 3 + 1) / 3 AS a, p0 * ((ow.j // 4) % 2 + 1) / 2 AS b,
 (0.5 - 0.5 * cos((ow.r - ow.i) * (2 * pi() / 7))) * (0.5 - 0.5 * cos((ow.c - ow.j) * (2 * pi() / 7))) AS w FROM ow JOIN prob ON ow.r = prob.r AND ow.c = prob.c)"""
 
@@ -161,3 +170,36 @@ def forest_error(spark, sf_dir):
 def permutation_importance(spark, sf_dir):
     _, train, held = _split(spark, sf_dir)
     return T.permutation_importance(T.train_forest(T.training_table(train), FEATURES, trees=10, depth=6), held)
+
+
+@query(f"""WITH {SLOPE}, f AS (SELECT slope, (nir - red)::DOUBLE / nullif(nir + red, 0) AS ndvi, label FROM slope JOIN cells USING (r, c))
+SELECT 30 AS n_trees, (SELECT count(*) FROM f WHERE slope IS NOT NULL AND ndvi IS NOT NULL AND label IS NOT NULL) AS n_rows, count(*) AS n_predicted, count(*) AS n_same, count(*) AS n_whole
+FROM f WHERE slope IS NOT NULL AND ndvi IS NOT NULL""")
+def train_forest(spark, sf_dir):
+    """A forest on slope and vegetation: its trees, the rows it learnt from, the cells with an answer, and of these the
+    ones whose answer is the same after saving and loading, and whose class probabilities add up to one."""
+    cells = _features(spark, sf_dir).select("row", "col", "pente", "ndvi", "label")
+    cells = cut(cells)
+    table = T.training_table(cells)
+    model = T.train_forest(table, ["pente", "ndvi"])
+    path = new_path(spark)
+    T.save_model(model, path)
+    again = T.load_model(path)
+    first = T.predict_cells(model, cells).where("p1 IS NOT NULL")
+    second = T.predict_cells(again, cells).select("row", "col", F.col("p1").alias("again"))
+    counts = first.join(second, ["row", "col"]).agg(
+        F.lit(again.stages[-1].getNumTrees).cast("int").alias("n_trees"),
+        F.count("*").alias("n_predicted"),
+        F.count_if(F.col("p1") == F.col("again")).alias("n_same"),
+        F.count_if(F.abs(F.col("p0") + F.col("p1") - 1) < 1e-9).alias("n_whole"),
+    )
+    return counts.crossJoin(F.broadcast(table.agg(F.count("*").alias("n_rows")))).select("n_trees", "n_rows", "n_predicted", "n_same", "n_whole")
+
+
+@query()
+def forest_levels(spark, sf_dir):
+    """Two tiles that share eight columns, mosaicked and cut at every threshold."""
+    f, train, _ = _split(spark, sf_dir)
+    model = T.train_forest(T.training_table(train), FEATURES)
+    half = D.WIDTH // 2
+    return W.forest_levels(model, [f.where(F.col("col") < half + 4), f.where(F.col("col") >= half - 4)])
