@@ -86,10 +86,11 @@ def score_windows(spark, sf_dir):
 
 @query(f"""WITH {COVER}, ok AS (SELECT i, j FROM ow GROUP BY i, j HAVING count(nir) = 64 AND count(red) = 64 AND bool_or(red <> 0)),
 m AS (SELECT r, c, sum((0.5 - 0.5 * cos((r - i) * (2 * pi() / 7))) * (0.5 - 0.5 * cos((c - j) * (2 * pi() / 7)))) AS w, coalesce(any_value(red::DOUBLE / nullif(nir + red, 0)), 0) AS p FROM ow JOIN ok USING (i, j) GROUP BY r, c)
-SELECT r AS "row", c AS "col", CASE WHEN w <= 1e-12 THEN 0 WHEN p > 0.5 THEN 2 ELSE 1 END AS cls, CASE WHEN w > 1e-12 THEN round(greatest(p, 1 - p), 4) END AS p FROM m""")
+SELECT r AS "row", c AS "col", CASE WHEN w <= 1e-12 THEN 0 WHEN p > 0.5 THEN 2 ELSE 1 END AS cls, CASE WHEN w > 1e-12 THEN round(greatest(p, 1 - p) + 1e-6, 4) END AS p FROM m""")
 def window_map(spark, sf_dir):
-    """Windows to a class map with the stand-in model, which gives a cell the same shares in every window."""
-    return W.window_map(_bands(spark, sf_dir), ["nir", "red"], "red", toy_model, 2, P, S).withColumn("p", F.round("p", 4))
+    """Windows to a class map with the stand-in model, which gives a cell the same shares in every window.  Models answer
+    in single precision, so a share halfway between two decimals is lifted over it before it is rounded, here and in the SQL."""
+    return W.window_map(_bands(spark, sf_dir), ["nir", "red"], "red", toy_model, 2, P, S).withColumn("p", F.round(F.col("p") + 1e-6, 4))
 
 
 WP = f"""{COVER}, {PROB}, wp AS (SELECT ow.i, ow.j, ow.r, ow.c, p1 * ((ow.i // 4) % 3 + 1) / 3 AS a, p0 * ((ow.j // 4) % 2 + 1) / 2 AS b,
