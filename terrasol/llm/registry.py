@@ -13,10 +13,11 @@ from terrasol.llm.personal_data import op1_personal_data
 from terrasol.llm.quality import op7_quality
 from terrasol.llm.secret_scan import op9_secret_scan
 from terrasol.llm.sentencepieces import op10_sentencepieces
+from terrasol.llm.whitening import op12_whitening
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_personal_data, op2_decontamination, op3_line_dedup, op4_html_text, op5_language_model, op6_nearest, op7_quality, op8_near_duplicates, op9_secret_scan, op10_sentencepieces, op11_merkle_manifest)}
+    return {f.__name__: f for f in (op1_personal_data, op2_decontamination, op3_line_dedup, op4_html_text, op5_language_model, op6_nearest, op7_quality, op8_near_duplicates, op9_secret_scan, op10_sentencepieces, op11_merkle_manifest, op12_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
