@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrasol.operators.grid import small
+from terrasol.operators.ranks import permuted
+from terrasol.sources.store import cut
 
 
 def training_table(features: DataFrame, label: str = "label") -> DataFrame:
@@ -78,18 +85,115 @@ def forest_error(model: PipelineModel, table: DataFrame, label: str = "label") -
     return model.transform(table.na.drop()).agg(F.avg(F.pow(p - F.col(label), 2)).alias("brier"), F.avg((F.col("prediction") == F.col(label)).cast("int")).alias("accuracy"), F.count("*").alias("n"))
 
 
-def permutation_importance(model: PipelineModel, table: DataFrame, label: str = "label", blocks: int = 64) -> DataFrame:
-    """(feature, importance): accuracy lost when one feature's values are exchanged among held-out rows, sorted.
+def permutation_importance(model: PipelineModel, table: DataFrame, label: str = "label", key: str | None = None, seed: int = 42) -> DataFrame:
+    """(feature, importance): accuracy lost when one feature's values are those of a random partner among held-out rows, sorted.
 
-    All features are judged in one pass: every row is repeated once for each feature with that feature taken from the
-    row that follows it in a hashed order of its block."""
+    All features are judged in one pass: every row is repeated once for each feature.  Without a key, rows are named by a hash of
+    their values, so equal rows share their place."""
     names = model_features(model)
-    rows = table.select(*names, label).na.drop().withColumn("_h", F.xxhash64(*names)).withColumn("_b", F.pmod(F.col("_h"), F.lit(blocks)))
-    order = Window.partitionBy("_b").orderBy("_h")
-    other = F.struct(*(F.coalesce(F.lead(c, 1).over(order), F.first(c).over(order)).alias(c) for c in names)).alias("_o")
-    pairs = rows.select(*names, label, other)
+    rows = table.select(*([key] if key else []), *names, label).na.drop()
+    rows = rows if key else rows.withColumn("_key", F.xxhash64(*names, label))
+    pairs = permuted(rows, names, key or "_key", seed)
     each = pairs.select("*", F.explode(F.array(F.lit(""), *map(F.lit, names))).alias("feature"))
-    swapped = each.select(label, "feature", *(F.when(F.col("feature") == c, F.col("_o")[c]).otherwise(F.col(c)).alias(c) for c in names))
+    swapped = each.select(label, "feature", *(F.when(F.col("feature") == c, F.col(f"_p_{c}")).otherwise(F.col(c)).alias(c) for c in names))
     hits = model.transform(swapped).groupBy("feature").agg(F.avg((F.col("prediction") == F.col(label)).cast("int")).alias("accuracy"))
     whole = small(hits.where("feature = ''").select(F.col("accuracy").alias("_a")))
     return hits.where("feature <> ''").crossJoin(whole).select("feature", (F.col("_a") - F.col("accuracy")).alias("importance")).orderBy(F.desc("importance"))
+
+
+@dataclass
+class BaggedForest:
+    """Trees grown one by one on bags that any row can be asked about."""
+
+    features: list[str]
+    trees: list[RandomForestClassificationModel]
+    limits: dict[int, list[int]]
+    seed: int
+
+
+def poisson_limits(rate: float) -> list[int]:
+    """Bounds of a 32-bit number that make it a Poisson count: the count is how many of them it reaches."""
+    out, total, k = [], 0.0, 0
+    while total < 1 - 2.0**-33 and k < rate + 40 * math.sqrt(rate) + 40:
+        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        out.append(math.floor(2**32 * min(total, 1.0)))
+        k += 1
+    return out
+
+
+def bag_limits(table: DataFrame, label: str = "label") -> dict[int, list[int]]:
+    """Bag bounds of each class: rows are drawn at a rate of n / (classes * class count), so that bags are balanced."""
+    counts = {r[0]: r[1] for r in table.groupBy(label).count().collect()}  # a row per class
+    n = sum(counts.values())
+    return {k: poisson_limits(n / (len(counts) * c)) for k, c in counts.items()}
+
+
+def times_drawn(key: Column, label: Column, tree: int, limits: dict[int, list[int]], seed: int = 42) -> Column:
+    """How often a tree's bag holds a row: a hash of seed, tree and key as a Poisson count, the same at any partitioning."""
+    text = F.concat_ws(":", F.lit(seed), F.lit(tree), key.cast("string"))
+    u = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+    out = F.lit(0)
+    for k, bounds in limits.items():
+        out = F.when(label == k, F.size(F.filter(F.array(*(F.lit(b).cast("bigint") for b in bounds)), lambda b: u >= b))).otherwise(out)
+    return out
+
+
+def _vectors(table: DataFrame, features: list[str], *also: str) -> DataFrame:
+    rows = table.select(*also, *(F.col(c).cast("double").alias(c) for c in features)).na.drop()
+    return rows.select(*also, array_to_vector(F.array(*features)).alias("features"))
+
+
+def train_bagged(table: DataFrame, features: list[str], label: str = "label", key: str = "key", trees: int = 30, depth: int = 10, seed: int = 42, parallel: int = 4) -> BaggedForest:
+    """A balanced forest whose bags are known: every tree is grown on its own draw of the rows, a few trees at a time.
+
+    Rows with a missing feature or label take no part.  `key` names a row; rows of one key share their draws."""
+    rows = cut(_vectors(table, features, key, label))
+    limits = bag_limits(rows, label)
+
+    def grow(t: int) -> RandomForestClassificationModel:
+        bag = rows.withColumn("_times", times_drawn(F.col(key), F.col(label), t, limits, seed).cast("double")).where("_times > 0")
+        one = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="_times", numTrees=1, bootstrap=False, subsamplingRate=1.0, maxDepth=depth, seed=seed + t, featureSubsetStrategy="sqrt")
+        return one.fit(bag).setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"_t{t}")
+
+    with ThreadPool(parallel) as pool:
+        grown = pool.map(inheritable_thread_target(rows.sparkSession)(grow), range(trees))
+    return BaggedForest(features, grown, limits, seed)
+
+
+def _tree_votes(forest: BaggedForest, rows: DataFrame, label: str, key: str) -> tuple[DataFrame, list[Column], list[Column]]:
+    """(rows with every tree's answer, probability of class 1 by tree, whether the tree did not see the row); one narrow pass."""
+    for tree in forest.trees:
+        rows = tree.transform(rows)
+    p = [F.get(vector_to_array(F.col(f"_t{t}")), F.lit(1)) for t in range(len(forest.trees))]
+    out = [times_drawn(F.col(key), F.col(label), t, forest.limits, forest.seed) == 0 for t in range(len(forest.trees))]
+    return rows, p, out
+
+
+def oob_votes(forest: BaggedForest, table: DataFrame, label: str = "label", key: str = "key") -> DataFrame:
+    """(key, label, votes, p): mean probability of class 1 over the trees that did not see the row; NULL without any."""
+    rows, p, out = _tree_votes(forest, _vectors(table, forest.features, key, label), label, key)
+    each = F.filter(F.array(*(F.when(o, v) for v, o in zip(p, out))), lambda v: v.isNotNull())
+    total = F.aggregate("_v", F.lit(0.0), lambda a, v: a + v)
+    return rows.select(key, label, each.alias("_v")).select(key, label, F.size("_v").cast("bigint").alias("votes"), F.try_divide(total, F.size("_v").cast("double")).alias("p"))
+
+
+def oob_error(votes: DataFrame, label: str = "label") -> DataFrame:
+    """Out-of-bag Brier score and accuracy, over rows with a vote, and the number of these and of all votes."""
+    hit = (F.col("p") > 0.5) == (F.col(label) == 1)
+    return votes.where("votes > 0").agg(F.avg(F.pow(F.col("p") - F.col(label), F.lit(2))).alias("brier"), F.avg(hit.cast("int")).alias("accuracy"), F.count("*").alias("n"), F.sum("votes").alias("votes"))
+
+
+def oob_importance(forest: BaggedForest, table: DataFrame, label: str = "label", key: str = "key") -> DataFrame:
+    """(feature, importance): for every tree, the accuracy on the rows it did not see less that with one feature's values
+    taken from a random partner; the mean over the trees.  One pass over rows repeated once per feature."""
+    names = forest.features
+    rows = table.select(key, label, *(F.col(c).cast("double").alias(c) for c in names)).na.drop()
+    pairs = permuted(rows, names, key, forest.seed)
+    each = pairs.select("*", F.explode(F.array(F.lit(""), *map(F.lit, names))).alias("feature"))
+    swapped = each.select(key, label, "feature", *(F.when(F.col("feature") == c, F.col(f"_p_{c}")).otherwise(F.col(c)).alias(c) for c in names))
+    voted, p, out = _tree_votes(forest, _vectors(swapped, names, key, label, "feature"), label, key)
+    hits = voted.groupBy("feature").agg(F.array(*(F.try_divide(F.sum(F.when(o & ((v > 0.5) == (F.col(label) == 1)), 1.0).otherwise(0.0)), F.count_if(o).cast("double")) for v, o in zip(p, out))).alias("a"))
+    whole = small(hits.where("feature = ''").select(F.col("a").alias("_a")))
+    loss = F.array_compact(F.zip_with("_a", "a", lambda x, y: x - y))
+    mean = F.try_divide(F.aggregate("loss", F.lit(0.0), lambda s, v: s + v), F.size("loss").cast("double"))
+    return hits.where("feature <> ''").crossJoin(whole).select("feature", loss.alias("loss")).select("feature", mean.alias("importance")).orderBy(F.desc("importance"), "feature")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from terrasol.operators import focal as N
 from terrasol.operators import forest as T
+from terrasol.operators import ranks as R
 from terrasol.operators import windows as V
 from terrasol.plans import pipelines as W
 from terrasol.plans.focal_queries import SLOPE, elevation
@@ -170,7 +171,55 @@ def forest_error(spark, sf_dir):
 @query()
 def permutation_importance(spark, sf_dir):
     _, train, held = _split(spark, sf_dir)
-    return T.permutation_importance(T.train_forest(T.training_table(train), FEATURES, trees=10, depth=6), held)
+    keyed = held.withColumn("key", F.col("row") * D.WIDTH + F.col("col"))
+    return T.permutation_importance(T.train_forest(T.training_table(train), FEATURES, trees=10, depth=6), keyed, key="key")
+
+
+@query(f"""WITH {CELLS}, p AS (SELECT r, c, nir, row_number() OVER (ORDER BY r * 100 + c) AS i, row_number() OVER (ORDER BY md5('7:' || (r * 100 + c))) AS j FROM cells)
+SELECT a.r AS "row", a.c AS "col", a.nir, b.nir AS other FROM p a JOIN p b ON a.i = b.j""")
+def permuted_band(spark, sf_dir):
+    """Every cell beside the value of its partner in a random permutation of all cells."""
+    c = D.cells(spark, sf_dir).select("row", "col", "nir", (F.col("row") * D.WIDTH + F.col("col")).alias("key"))
+    return R.permuted(c, ["nir"], "key", 7).select("row", "col", "nir", F.col("_p_nir").alias("other"))
+
+
+# one yes-or-no feature: a tree of depth 1 gives each side its share of the bag, or both the bag's if they answer alike
+VOTES = f"""{CELLS}, rw AS (SELECT r * 100 + c AS key, label, CAST(red >= 40 AS INT) AS x FROM cells WHERE label IS NOT NULL AND red IS NOT NULL),
+cl AS (SELECT label, (SELECT count(*) FROM rw) / (2.0::DOUBLE * count(*)) AS rate FROM rw GROUP BY label),
+cd AS (SELECT label, j, floor(4294967296 * least(1, sum(exp(j * ln(rate) - rate - lgamma(j + 1.0))) OVER (PARTITION BY label ORDER BY j))) AS bound FROM cl, range(60) t(j)),
+us AS (SELECT rw.*, t, ('0x' || substr(md5('42:' || t || ':' || key), 1, 8))::BIGINT AS u FROM rw, range(30) q(t)),
+bg AS (SELECT us.key, us.t, any_value(us.label) AS label, any_value(x) AS x, count(*) FILTER (WHERE u >= bound) AS times FROM us JOIN cd ON cd.label = us.label GROUP BY us.key, us.t),
+sd AS (SELECT t, x, sum(times * label)::DOUBLE / sum(times) AS p, sum(times * label) AS y, sum(times) AS n FROM bg GROUP BY t, x HAVING sum(times) > 0),
+tr AS (SELECT t, sum(y)::DOUBLE / sum(n) AS p, bool_or(p > 0.5) <> bool_and(p > 0.5) AS parted FROM sd GROUP BY t),
+vt AS (SELECT bg.key, any_value(bg.label) AS label, count(*) AS votes, avg(CASE WHEN parted THEN sd.p ELSE tr.p END) AS p FROM bg JOIN sd ON sd.t = bg.t AND sd.x = bg.x JOIN tr ON tr.t = bg.t WHERE times = 0 GROUP BY bg.key)"""
+
+
+@query(f"WITH {VOTES} SELECT round(avg((p - label) ** 2), 6) AS brier, round(avg(CAST((p > 0.5) = (label = 1) AS INT)), 6) AS accuracy, count(*) AS n, CAST(sum(votes) AS BIGINT) AS votes FROM vt")
+def oob_error(spark, sf_dir):
+    """Thirty trees of one split: SQL recounts their bags, their shares and the votes of the trees that did not see a cell."""
+    c = D.cells(spark, sf_dir).select((F.col("row") * D.WIDTH + F.col("col")).alias("key"), "label", (F.col("red") >= 40).cast("int").alias("x"))
+    c = cut(c.na.drop())
+    return T.oob_error(T.oob_votes(T.train_bagged(c, ["x"], depth=1), c)).withColumns({m: F.round(m, 6) for m in ("brier", "accuracy")})
+
+
+def _forest(spark, sf_dir):
+    """All features of the default radii, with each cell's number, and a forest of the default size on them."""
+    c = cut(elevation(spark, sf_dir).select("row", "col", "elev", "nir", "red", "label"))
+    f = N.terrain_features(c).join(c.select("row", "col", "label"), ["row", "col"])
+    f = cut(f.withColumn("key", F.col("row") * D.WIDTH + F.col("col")).drop("row", "col"))
+    return f, T.train_bagged(f, [n for n in f.columns if n not in ("key", "label")])
+
+
+@query()
+def forest_oob(spark, sf_dir):
+    f, forest = _forest(spark, sf_dir)
+    return T.oob_error(T.oob_votes(forest, f))
+
+
+@query()
+def forest_importance(spark, sf_dir):
+    f, forest = _forest(spark, sf_dir)
+    return T.oob_importance(forest, f)
 
 
 @query(f"""WITH {SLOPE}, f AS (SELECT slope, (nir - red)::DOUBLE / nullif(nir + red, 0) AS ndvi, label FROM slope JOIN cells USING (r, c))
