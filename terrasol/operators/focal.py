@@ -1,5 +1,7 @@
 """Neighbourhood operators as two-dimensional frames.
 
+A table may hold several rasters (column `grid_id`): every frame, block and extent is then a grid's own, and results keep the column.
+
 Square windows are separable: a range frame along each row, then one along each column, so the
 cost does not depend on the window's size and missing cells are told by their index, not by
 their place in the frame.  Circles and exact distances use the block helper.
@@ -11,17 +13,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrasol.operators.blocks import by_block
+from terrasol.operators.blocks import by_block, extents, grids, place
+from terrasol.operators.grid import beside
 
 
-def along():
-    """Frame order of one row."""
-    return Window.partitionBy("row").orderBy("col")
+def along(cells: DataFrame):
+    """Frame order of one row of a grid."""
+    return Window.partitionBy(*grids(cells), "row").orderBy("col")
 
 
-def down():
-    """Frame order of one column."""
-    return Window.partitionBy("col").orderBy("row")
+def down(cells: DataFrame):
+    """Frame order of one column of a grid."""
+    return Window.partitionBy(*grids(cells), "col").orderBy("row")
 
 
 def _at(value, window, step: int) -> Column:
@@ -31,10 +34,11 @@ def _at(value, window, step: int) -> Column:
 
 def neighbours(cells: DataFrame, band: str) -> DataFrame:
     """The eight neighbours of each cell: nw n ne w e sw s se (and z itself), with two shuffles."""
-    z = cells.select("row", "col", F.col(band).cast("double").alias("z"))
-    line = z.select("row", "col", "z", _at("z", along(), -1).alias("w"), _at("z", along(), 1).alias("e"))
-    both = line.select("*", _at(F.struct("w", "z", "e"), down(), -1).alias("u"), _at(F.struct("w", "z", "e"), down(), 1).alias("d"))
-    return both.select("row", "col", "z", "w", "e", F.col("u.w").alias("nw"), F.col("u.z").alias("n"), F.col("u.e").alias("ne"), F.col("d.w").alias("sw"), F.col("d.z").alias("s"), F.col("d.e").alias("se"))
+    k, a, d = place(cells), along(cells), down(cells)
+    z = cells.select(*k, F.col(band).cast("double").alias("z"))
+    line = z.select(*k, "z", _at("z", a, -1).alias("w"), _at("z", a, 1).alias("e"))
+    both = line.select("*", _at(F.struct("w", "z", "e"), d, -1).alias("u"), _at(F.struct("w", "z", "e"), d, 1).alias("d"))
+    return both.select(*k, "z", "w", "e", F.col("u.w").alias("nw"), F.col("u.z").alias("n"), F.col("u.e").alias("ne"), F.col("d.w").alias("sw"), F.col("d.z").alias("s"), F.col("d.e").alias("se"))
 
 
 def gradients(res: float) -> tuple[Column, Column]:
@@ -49,7 +53,7 @@ def slope(cells: DataFrame, band: str = "elev", res: float = 1.0, keep: bool = T
     """Slope in degrees; NULL if one of the eight neighbours or the cell is missing."""
     gx, gy = gradients(res)
     s = F.degrees(F.atan(F.sqrt(gx * gx + gy * gy)))
-    return neighbours(cells, band).select("row", "col", F.when(F.col("z").isNotNull(), s).alias("slope"))
+    return neighbours(cells, band).select(*place(cells), F.when(F.col("z").isNotNull(), s).alias("slope"))
 
 
 #: neighbours by their step, and their names back
@@ -60,17 +64,16 @@ NAMES = {v: k for k, v in STEPS.items()} | {(0, 0): "z"}
 def slope_with_edges(cells: DataFrame, band: str = "elev", res: float = 1.0) -> DataFrame:
     """Slope with edges: a neighbour beyond the grid goes on straight from the two cells before it (across the
     missing edge; at a corner through the cell itself), a NoData neighbour is the cell itself."""
-    size = F.broadcast(cells.agg(F.min("row").alias("_r0"), F.max("row").alias("_r1"), F.min("col").alias("_c0"), F.max("col").alias("_c1")))
-    n = neighbours(cells, band).crossJoin(size)
+    n = beside(neighbours(cells, band), extents(cells))
     filled = []
     for k, (dr, dc) in STEPS.items():
-        over_row = {-1: F.col("row") == F.col("_r0"), 0: F.lit(False), 1: F.col("row") == F.col("_r1")}[dr]
-        over_col = {-1: F.col("col") == F.col("_c0"), 0: F.lit(False), 1: F.col("col") == F.col("_c1")}[dc]
+        over_row = {-1: F.col("row") == F.col("r0"), 0: F.lit(False), 1: F.col("row") == F.col("r1")}[dr]
+        over_col = {-1: F.col("col") == F.col("c0"), 0: F.lit(False), 1: F.col("col") == F.col("c1")}[dc]
         straight = lambda near, far: 2 * F.col(NAMES[near]) - F.col(NAMES[far])
         beyond = F.when(over_row & over_col, straight((0, 0), (-dr, -dc))).when(over_row, straight((0, dc), (-dr, dc))).when(over_col, straight((dr, 0), (dr, -dc)))
         filled.append(F.coalesce(F.col(k), beyond, F.col("z")).alias(k))
     gx, gy = gradients(res)
-    return n.select("row", "col", "z", *filled).select("row", "col", F.when(F.col("z").isNotNull(), F.degrees(F.atan(F.sqrt(gx * gx + gy * gy)))).alias("slope"))
+    return n.select(*place(cells), "z", *filled).select(*place(cells), F.when(F.col("z").isNotNull(), F.degrees(F.atan(F.sqrt(gx * gx + gy * gy)))).alias("slope"))
 
 
 def aspect(cells: DataFrame, band: str = "elev", res: float = 1.0) -> DataFrame:
@@ -78,41 +81,43 @@ def aspect(cells: DataFrame, band: str = "elev", res: float = 1.0) -> DataFrame:
     gx, gy = gradients(res)
     a = F.degrees(F.atan2(-gx, gy))
     a = F.when(a < 0, a + 360).otherwise(a + 0.0)
-    return neighbours(cells, band).select("row", "col", F.when(F.col("z").isNotNull() & ((gx != 0) | (gy != 0)), a).alias("aspect"))
+    return neighbours(cells, band).select(*place(cells), F.when(F.col("z").isNotNull() & ((gx != 0) | (gy != 0)), a).alias("aspect"))
 
 
 def box(cells: DataFrame, band: str, half: int) -> DataFrame:
     """Sum and count of the present values in the square around each cell."""
-    line = cells.select("row", "col", F.col(band).alias("z"), F.sum(band).over(along().rangeBetween(-half, half)).alias("_s"), F.count(band).over(along().rangeBetween(-half, half)).alias("_n"))
-    d = down().rangeBetween(-half, half)
-    return line.select("row", "col", "z", F.sum("_s").over(d).alias("total"), F.coalesce(F.sum("_n").over(d), F.lit(0)).alias("n"))
+    k, a = place(cells), along(cells).rangeBetween(-half, half)
+    line = cells.select(*k, F.col(band).alias("z"), F.sum(band).over(a).alias("_s"), F.count(band).over(a).alias("_n"))
+    d = down(cells).rangeBetween(-half, half)
+    return line.select(*k, "z", F.sum("_s").over(d).alias("total"), F.coalesce(F.sum("_n").over(d), F.lit(0)).alias("n"))
 
 
 def focal_mean(cells: DataFrame, band: str, half: int = 4, strict: bool = True) -> DataFrame:
     """Mean of the square: strict is NULL unless every cell is there, lenient takes what is there
     (and so fills NULL centres)."""
     mean = F.try_divide(F.col("total").cast("double"), F.col("n").cast("double"))
-    return box(cells, band, half).select("row", "col", "z", (F.when(F.col("n") == (2 * half + 1) ** 2, mean) if strict else mean).alias("mean"))
+    return box(cells, band, half).select(*place(cells), "z", (F.when(F.col("n") == (2 * half + 1) ** 2, mean) if strict else mean).alias("mean"))
 
 
 def tpi(cells: DataFrame, band: str = "elev", half: int = 4) -> DataFrame:
     """Elevation above the strict mean of its square."""
-    return focal_mean(cells, band, half).select("row", "col", (F.col("z") - F.col("mean")).alias("tpi"))
+    return focal_mean(cells, band, half).select(*place(cells), (F.col("z") - F.col("mean")).alias("tpi"))
 
 
 def majority_filter(cells: DataFrame, band: str, half: int = 2) -> DataFrame:
     """Most frequent of 0 and 1 in the square, NULLs left out; 0 on ties, NULL where nothing is there."""
-    return box(cells, band, half).select("row", "col", F.when(F.col("n") > 0, F.when(2 * F.col("total") > F.col("n"), 1).otherwise(0)).alias("mode"))
+    return box(cells, band, half).select(*place(cells), F.when(F.col("n") > 0, F.when(2 * F.col("total") > F.col("n"), 1).otherwise(0)).alias("mode"))
 
 
 def mode_filter(cells: DataFrame, band: str, half: int = 2) -> DataFrame:
     """Most frequent value of any kind in the square, the lowest of equals: values are counted by
     offset, with partial sums."""
     reach = lambda c: F.explode(F.sequence(F.col(c) - half, F.col(c) + half)).alias(c)
-    spread = cells.where(F.col(band).isNotNull()).select(reach("row"), "col", band).select("row", reach("col"), band)
-    counted = spread.groupBy("row", "col", band).agg(F.count("*").alias("n"))
-    best = counted.groupBy("row", "col").agg(F.min_by(band, F.struct(-F.col("n"), F.col(band))).alias("mode"))
-    return cells.select("row", "col").join(best, ["row", "col"], "left")
+    g = grids(cells)
+    spread = cells.where(F.col(band).isNotNull()).select(*g, reach("row"), "col", band).select(*g, "row", reach("col"), band)
+    counted = spread.groupBy(*place(cells), band).agg(F.count("*").alias("n"))
+    best = counted.groupBy(*place(cells)).agg(F.min_by(band, F.struct(-F.col("n"), F.col(band))).alias("mode"))
+    return cells.select(*place(cells)).join(best, place(cells), "left")
 
 
 def density_half(radius: float = 10.0, res: float = 0.5) -> int:
@@ -123,7 +128,7 @@ def density_half(radius: float = 10.0, res: float = 0.5) -> int:
 
 def local_density(cells: DataFrame, band: str, radius: float = 10.0, res: float = 0.5, half: int | None = None) -> DataFrame:
     """Share of steep cells in the square around each cell."""
-    return focal_mean(cells, band, density_half(radius, res) if half is None else half, strict=False).select("row", "col", F.col("mean").alias("density"))
+    return focal_mean(cells, band, density_half(radius, res) if half is None else half, strict=False).select(*place(cells), F.col("mean").alias("density"))
 
 
 def circle(radius: float, res: float = 1.0) -> list[tuple[int, int]]:
@@ -200,15 +205,56 @@ def terrain_features(cells: DataFrame, elev: str = "elev", nir: str = "nir", red
     return by_block(cells, [elev, nir, red], int(max(radii) / res) + 1, made, size)
 
 
-def distance_zone(cells: DataFrame, source: Column, reach: float = 150.0, res: float = 1.0) -> DataFrame:
+def envelope(has: np.ndarray) -> np.ndarray:
+    """Squared distance, in cells, of every cell to the nearest one that has the property; infinite without any.
+
+    Nearest along each row first, then the lower envelope of one parabola per row in every column: a stack of parabolas with the
+    places from which each is the lowest, all columns side by side, so the work is linear in the cells whatever the reach."""
+    height, width = has.shape
+    at = np.arange(width)
+    before = np.maximum.accumulate(np.where(has, at, -np.inf), axis=1)
+    after = np.minimum.accumulate(np.where(has, at, np.inf)[:, ::-1], axis=1)[:, ::-1]
+    f = np.minimum(at - before, after - at) ** 2
+    stack = np.zeros((height, width), np.int64)
+    start = np.full((height + 1, width), np.inf)
+    top = np.full(width, -1)
+    for q in range(height):
+        todo = np.flatnonzero(np.isfinite(f[q]))
+        while len(todo):
+            last = stack[top[todo], todo]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                meet = (f[q, todo] + q * q - f[last, todo] - last * last) / (2.0 * (q - last))
+            meet = np.where(top[todo] < 0, -np.inf, meet)
+            lower = (top[todo] >= 0) & (meet <= start[np.maximum(top[todo], 0), todo])
+            put = todo[~lower]
+            top[put] += 1
+            stack[top[put], put] = q
+            start[top[put], put] = meet[~lower]
+            todo = todo[lower]
+            top[todo] -= 1
+    some = np.flatnonzero(top >= 0)
+    start[top[some] + 1, some] = np.inf
+    out = np.full((height, width), np.inf)
+    now = np.zeros(width, np.int64)
+    for q in range(height):
+        while True:
+            behind = some[start[now[some] + 1, some] < q]
+            if not len(behind):
+                break
+            now[behind] += 1
+        r = stack[now[some], some]
+        out[q, some] = (q - r) ** 2 + f[r, some]
+    return out
+
+
+def distance_zone(cells: DataFrame, source: Column, reach: float = 150.0, res: float = 1.0, size: int = 512) -> DataFrame:
     """(row, col, distance, zone): distance to the nearest source cell if it is nearer than `reach`, and 1 where it is.
 
-    Two exact passes: nearest source along the row, then the least of dr^2 + d^2 over
-    the rows in reach; each cell sees 2 reach / res + 1 rows, whatever the number of sources."""
-    k = int(reach / res)
-    there = cells.select("row", "col", F.when(source, F.col("col")).alias("_c"))
-    line = there.select("row", "col", F.least(F.col("col") - F.max("_c").over(along().rangeBetween(-k, 0)), F.min("_c").over(along().rangeBetween(0, k)) - F.col("col")).alias("_d"))
-    near = F.collect_list(F.when(F.col("_d").isNotNull(), F.struct("row", "_d"))).over(down().rangeBetween(-k, k))
-    squares = F.transform("_near", lambda x: F.pow(x["row"] - F.col("row"), F.lit(2)) + F.pow(x["_d"], F.lit(2)))
-    d = F.sqrt(F.array_min(squares)) * res
-    return line.select("row", "col", near.alias("_near")).select("row", "col", d.alias("d")).select("row", "col", F.when(F.col("d") < reach, F.col("d")).alias("distance"), F.when(F.col("d") < reach, 1).otherwise(0).alias("zone"))
+    Exact distances in blocks with a halo of the reach, linear in the cells of a block."""
+
+    def near(g: dict) -> np.ndarray:
+        return np.sqrt(envelope(~np.isnan(g["_source"]))) * res
+
+    marked = cells.select(*place(cells), F.when(source, 1.0).alias("_source"))
+    found = by_block(marked, ["_source"], int(reach / res), {"d": near}, size)
+    return found.select(*place(cells), F.when(F.col("d") < reach, F.col("d")).alias("distance"), F.when(F.col("d") < reach, 1).otherwise(0).alias("zone"))

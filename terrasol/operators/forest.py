@@ -128,14 +128,15 @@ def bag_limits(table: DataFrame, label: str = "label") -> dict[int, list[int]]:
     return {k: poisson_limits(n / (len(counts) * c)) for k, c in counts.items()}
 
 
-def times_drawn(key: Column, label: Column, tree: int, limits: dict[int, list[int]], seed: int = 42) -> Column:
+def times_drawn(key: Column, label: Column, tree: int | Column, limits: dict[int, list[int]], seed: int = 42) -> Column:
     """How often a tree's bag holds a row: a hash of seed, tree and key as a Poisson count, the same at any partitioning."""
-    text = F.concat_ws(":", F.lit(seed), F.lit(tree), key.cast("string"))
+    text = F.concat_ws(":", F.lit(seed), F.lit(tree) if isinstance(tree, int) else tree.cast("string"), key.cast("string"))
     u = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
-    out = F.lit(0)
-    for k, bounds in limits.items():
-        out = F.when(label == k, F.size(F.filter(F.array(*(F.lit(b).cast("bigint") for b in bounds)), lambda b: u >= b))).otherwise(out)
-    return out
+    bounds = F.expr("cast(array() as array<bigint>)")
+    for k, some in limits.items():
+        bounds = F.when(label == k, F.array(*(F.lit(b).cast("bigint") for b in some))).otherwise(bounds)
+    # the hash is an array of one, so that it is made once and not for every bound
+    return F.get(F.transform(F.array(u), lambda x: F.size(F.filter(bounds, lambda b: x >= b))), F.lit(0))
 
 
 def _vectors(table: DataFrame, features: list[str], *also: str) -> DataFrame:
@@ -143,15 +144,17 @@ def _vectors(table: DataFrame, features: list[str], *also: str) -> DataFrame:
     return rows.select(*also, array_to_vector(F.array(*features)).alias("features"))
 
 
-def train_bagged(table: DataFrame, features: list[str], label: str = "label", key: str = "key", trees: int = 30, depth: int = 10, seed: int = 42, parallel: int = 4) -> BaggedForest:
+def train_bagged(table: DataFrame, features: list[str], label: str = "label", key: str = "key", trees: int = 30, depth: int = 10, seed: int = 42, parallel: int = 8) -> BaggedForest:
     """A balanced forest whose bags are known: every tree is grown on its own draw of the rows, a few trees at a time.
 
     Rows with a missing feature or label take no part.  `key` names a row; rows of one key share their draws."""
     rows = cut(_vectors(table, features, key, label))
     limits = bag_limits(rows, label)
+    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: times_drawn(F.col(key), F.col(label), t, limits, seed).cast("smallint"))
+    rows = cut(rows.withColumn("_draws", draws))
 
     def grow(t: int) -> RandomForestClassificationModel:
-        bag = rows.withColumn("_times", times_drawn(F.col(key), F.col(label), t, limits, seed).cast("double")).where("_times > 0")
+        bag = rows.select("features", label, F.get("_draws", F.lit(t)).cast("double").alias("_times")).where("_times > 0")
         one = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="_times", numTrees=1, bootstrap=False, subsamplingRate=1.0, maxDepth=depth, seed=seed + t, featureSubsetStrategy="sqrt")
         return one.fit(bag).setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"_t{t}")
 
@@ -162,11 +165,12 @@ def train_bagged(table: DataFrame, features: list[str], label: str = "label", ke
 
 def _tree_votes(forest: BaggedForest, rows: DataFrame, label: str, key: str) -> tuple[DataFrame, list[Column], list[Column]]:
     """(rows with every tree's answer, probability of class 1 by tree, whether the tree did not see the row); one narrow pass."""
+    every = F.sequence(F.lit(0), F.lit(len(forest.trees) - 1))
+    rows = rows.withColumn("_unseen", F.transform(every, lambda t: times_drawn(F.col(key), F.col(label), t, forest.limits, forest.seed) == 0))
     for tree in forest.trees:
         rows = tree.transform(rows)
     p = [F.get(vector_to_array(F.col(f"_t{t}")), F.lit(1)) for t in range(len(forest.trees))]
-    out = [times_drawn(F.col(key), F.col(label), t, forest.limits, forest.seed) == 0 for t in range(len(forest.trees))]
-    return rows, p, out
+    return rows, p, [F.get("_unseen", F.lit(t)) for t in range(len(forest.trees))]
 
 
 def oob_votes(forest: BaggedForest, table: DataFrame, label: str = "label", key: str = "key") -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrasol.operators.blocks import grids, place
+
 #: rows up to which a table of boxes or grids is sent whole to every task
 SMALL = 10_000
 
@@ -18,6 +20,12 @@ def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def beside(cells: DataFrame, table: DataFrame) -> DataFrame:
+    """Every cell with the row of its grid in a table of one row per grid (or one row in all)."""
+    by = list(grids(cells))
+    return cells.join(small(table), by) if by else cells.crossJoin(F.broadcast(table))
+
+
 def crop(cells: DataFrame, row0: int, row1: int, col0: int, col1: int) -> DataFrame:
     """Cells inside an extent (ends included); the ranges reach the scan."""
     return cells.where(F.col("row").between(row0, row1) & F.col("col").between(col0, col1))
@@ -27,19 +35,23 @@ def centre(res: float = 1.0, x_min: float = 0.0, y_max: float = 0.0) -> tuple[Co
     return F.lit(x_min) + (F.col("col") + 0.5) * res, F.lit(y_max) - (F.col("row") + 0.5) * res
 
 
-def assign_tiles(cells: DataFrame, tiles: DataFrame, res: float = 1.0, x_min: float = 0.0, y_max: float = 0.0, bin_size: float = 256.0) -> DataFrame:
+def assign_tiles(cells: DataFrame, tiles: DataFrame, res: float = 1.0, x_min: float = 0.0, y_max: float = 0.0, bin_size: float = 256.0, geometry: DataFrame | None = None) -> DataFrame:
     """Every cell with each tile box that holds its centre.
 
-    Few boxes are broadcast; many meet the cells by the bins they cover, so the join is an equi-join
-    with the exact test behind it."""
-    x, y = centre(res, x_min, y_max)
-    if tiles.limit(SMALL + 1).count() <= SMALL:
-        return cells.join(F.broadcast(tiles), (x >= F.col("xmin")) & (x < F.col("xmax")) & (y > F.col("ymin")) & (y <= F.col("ymax"))).select(F.col("name").alias("tile"), *cells.columns)
+    Boxes meet the cells by the bins they cover, an equi-join with the exact test behind it.  With several
+    grids, `geometry` (grid_id, x_min, y_max, res_x, res_y) says where each one lies."""
+    if geometry is None:
+        x, y = centre(res, x_min, y_max)
+        placed = cells.select("*", x.alias("_x"), y.alias("_y"))
+    else:
+        lie = geometry.select("grid_id", F.struct("x_min", "y_max", "res_x", "res_y").alias("_g"))
+        placed = cells.join(small(lie), "grid_id").select(*cells.columns, (F.col("_g.x_min") + (F.col("col") + 0.5) * F.col("_g.res_x")).alias("_x"), (F.col("_g.y_max") - (F.col("row") + 0.5) * F.col("_g.res_y")).alias("_y"))
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / bin_size), F.floor(F.col(hi) / bin_size))
-    binned = tiles.withColumn("_bx", F.explode(span("xmin", "xmax"))).withColumn("_by", F.explode(span("ymin", "ymax")))
-    placed = cells.withColumn("_bx", F.floor(x / bin_size)).withColumn("_by", F.floor(y / bin_size))
-    met = placed.join(binned, ["_bx", "_by"]).where((x >= F.col("xmin")) & (x < F.col("xmax")) & (y > F.col("ymin")) & (y <= F.col("ymax")))
-    return met.select(F.col("name").alias("tile"), *cells.columns)
+    binned = tiles.select(F.col("name").alias("_tile"), *(F.col(c).alias(f"_{c}") for c in ("xmin", "ymin", "xmax", "ymax")), F.explode(span("xmin", "xmax")).alias("_bx"), span("ymin", "ymax").alias("_bys"))
+    binned = binned.withColumn("_by", F.explode("_bys")).drop("_bys")
+    asked = placed.withColumn("_bx", F.floor(F.col("_x") / bin_size)).withColumn("_by", F.floor(F.col("_y") / bin_size))
+    met = asked.join(small(binned), ["_bx", "_by"]).where((F.col("_x") >= F.col("_xmin")) & (F.col("_x") < F.col("_xmax")) & (F.col("_y") > F.col("_ymin")) & (F.col("_y") <= F.col("_ymax")))
+    return met.select(F.col("_tile").alias("tile"), *cells.columns)
 
 
 def _scan(rings: list, res: float, x_min: float, y_max: float):
@@ -161,8 +173,8 @@ def split_strips(cells: DataFrame, width: int, height: int, count: int = 5, over
 
 def mosaic_mean(tiles: list[DataFrame], bands: list[str]) -> DataFrame:
     """Tiles laid together; cells that several hold are averaged."""
-    every = reduce(DataFrame.unionByName, (t.select("row", "col", *bands) for t in tiles))
-    return every.groupBy("row", "col").agg(*(F.avg(b).alias(b) for b in bands))
+    every = reduce(DataFrame.unionByName, (t.select(*place(t), *bands) for t in tiles))
+    return every.groupBy(*place(every)).agg(*(F.avg(b).alias(b) for b in bands))
 
 
 def mosaic_extent(tiles: DataFrame, res: float = 1.0) -> DataFrame:

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrasol.operators.blocks import grids
 from terrasol.operators.components import components
 from terrasol.operators.grid import burn, small
 
@@ -38,10 +39,12 @@ def run_edges(runs_: DataFrame, reach: int, by: tuple[str, ...] = ()) -> DataFra
 
 
 def label_runs(cells: DataFrame, band: str, ncols: int, neighbours: int = 8, by: tuple[str, ...] = ()) -> DataFrame:
-    """Runs with patch_id: the least linear cell number of the patch (within `by`, patches stay apart).
+    """Runs with patch_id: the least linear cell number of the patch (within `by`, patches stay apart; several rasters
+    in one table, told by grid_id, always do).
 
     With `by`, node numbers carry the group's number in their high digits, so all groups go through
     one labelling."""
+    by = tuple(dict.fromkeys((*grids(cells), *by)))
     r = runs(cells, band, ncols, by)
     edges = run_edges(r, 1 if neighbours == 8 else 0, by)
     if not by:
@@ -65,7 +68,7 @@ def run_cells(labelled: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def label_patches(cells: DataFrame, band: str, ncols: int, neighbours: int = 8, by: tuple[str, ...] = ()) -> DataFrame:
     """Cells of value 1 with their patch: (by..., patch_id, row, col)."""
-    return run_cells(label_runs(cells, band, ncols, neighbours, by), by)
+    return run_cells(label_runs(cells, band, ncols, neighbours, by), tuple(dict.fromkeys((*grids(cells), *by))))
 
 
 def patch_area(labelled: DataFrame, res: float = 1.0, by: tuple[str, ...] = (), digits: int | None = None) -> DataFrame:

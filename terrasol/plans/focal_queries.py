@@ -117,6 +117,13 @@ def distance_zone(spark, sf_dir):
     return N.distance_zone(D.cells(spark, sf_dir), F.col("nir") > 250, 5.0).withColumn("distance", F.round("distance", 6))
 
 
+@query(f"""WITH {CELLS}, src AS (SELECT r, c FROM cells WHERE nir > 290), d AS (SELECT a.r, a.c, min((a.r - s.r) * (a.r - s.r) + (a.c - s.c) * (a.c - s.c)) AS d FROM cells a LEFT JOIN src s ON s.r BETWEEN a.r - 150 AND a.r + 150 GROUP BY a.r, a.c)
+SELECT {RC}, CASE WHEN d < 22500 THEN round(sqrt(d), 6) END AS distance, CASE WHEN d < 22500 THEN 1 ELSE 0 END AS zone FROM d""")
+def distance_zone_far(spark, sf_dir):
+    """The default reach of 150 m, from few sources."""
+    return N.distance_zone(D.cells(spark, sf_dir), F.col("nir") > 290).withColumn("distance", F.round("distance", 6))
+
+
 @query(f"WITH {CELLS} SELECT zone_id, avg(nir) AS nir, avg(red) AS red, avg(elev_cm) AS elev_cm FROM cells GROUP BY zone_id")
 def zonal_mean(spark, sf_dir):
     return Z.zonal_mean(D.cells(spark, sf_dir), "zone_id", ["nir", "red", "elev_cm"])

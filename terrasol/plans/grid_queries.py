@@ -157,21 +157,28 @@ def stack_bands(spark, sf_dir):
     return G.stack_bands([D.cells(spark, sf_dir).where("col < 60").select("row", "col", "nir"), D.probabilities(spark, sf_dir).where("col > 40").select("row", "col", "p1")])
 
 
-# 100 columns, 3 strips, overlap 4, patches of 4: width (100 - 16) // 5 // 4 * 4 = 16, offsets 0, 12, 24
-@query(f'WITH {CELLS} SELECT s AS strip, r AS "row", c - 12 * s AS "col", nir FROM cells, (SELECT unnest([0, 1, 2]) AS s) WHERE c >= 12 * s AND c < 12 * s + 16 AND r < 12')
-def split_strips(spark, sf_dir):
-    return G.split_strips(D.cells(spark, sf_dir).select("row", "col", "nir"), 100, 15, 3, 4, 4)
+def strips_sql(count: int, overlap: int) -> str:
+    """Strips in whole patches of 4 over the table's own extent."""
+    return f"""WITH {CELLS}, e AS (SELECT max(c) + 1 AS w, max(r) + 1 AS h FROM cells),
+k AS (SELECT w, h // 4 * 4 AS high, (w - {overlap * (count + 1)}) // {count + 2} // 4 * 4 AS wide FROM e),
+st AS (SELECT s, greatest(0, least(s * (wide - {overlap}), w - wide)) AS o, wide, high FROM k, (SELECT unnest(range(0, {count})) AS s))
+SELECT CAST(s AS INT) AS strip, r AS "row", CAST(c - o AS INT) AS "col", nir FROM cells, st WHERE c >= o AND c < o + wide AND r < high"""
 
 
-# the same strips over the table's own extent: all whole patches of its rows
-@query(f"""WITH {CELLS}, e AS (SELECT max(c) + 1 AS w, max(r) + 1 AS h FROM cells),
-k AS (SELECT w, h // 4 * 4 AS high, (w - 16) // 5 // 4 * 4 AS wide FROM e),
-st AS (SELECT s, greatest(0, least(s * (wide - 4), w - wide)) AS o, wide, high FROM k, (SELECT unnest([0, 1, 2]) AS s))
-SELECT s AS strip, r AS "row", c - o AS "col", nir FROM cells, st WHERE c >= o AND c < o + wide AND r < high""")
-def split_strips_extent(spark, sf_dir):
+def _strips(spark, sf_dir, count, overlap):
     c = D.cells(spark, sf_dir).select("row", "col", "nir")
     size = c.agg((F.max("col") + 1).alias("width"), (F.max("row") + 1).alias("height")).first()
-    return G.split_strips(c, size.width or 0, size.height or 0, 3, 4, 4)
+    return G.split_strips(c, size.width or 0, size.height or 0, count, overlap, 4)
+
+
+@query(strips_sql(5, 2))
+def split_strips(spark, sf_dir):
+    return _strips(spark, sf_dir, 5, 2)
+
+
+@query(strips_sql(3, 4))
+def split_strips_extent(spark, sf_dir):
+    return _strips(spark, sf_dir, 3, 4)
 
 
 @query(f'WITH {CELLS} SELECT r AS "row", c AS "col", avg(v) AS v FROM (SELECT r, c, nir AS v FROM cells WHERE c < 60 UNION ALL SELECT r, c, red AS v FROM cells WHERE c >= 40) GROUP BY r, c')

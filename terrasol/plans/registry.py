@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrasol.plans import focal_queries, grid_queries, patch_queries, window_queries  # noqa: F401  (they register their queries)
+from terrasol.plans import focal_queries, grid_queries, patch_queries, several_grids, window_queries  # noqa: F401  (they register their queries)
 from terrasol.plans.register import QUERIES, SQL
 
 

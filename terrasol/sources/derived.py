@@ -33,6 +33,17 @@ cells AS (SELECT CAST(o_orderkey // 100 AS INT) AS r, CAST(o_orderkey % 100 AS I
           FROM orders LEFT JOIN li ON l_orderkey = o_orderkey)"""
 
 
+def two_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rasters in one table with the same cell numbers: the grid (a), and its mirror image on a slope with every eleventh row missing (b)."""
+    a = cells(spark, sf_dir)
+    b = a.where("row % 11 <> 5").withColumn("elev_cm", F.col("elev_cm") + F.col("col") * 10).withColumn("col", F.lit(WIDTH - 1) - F.col("col"))
+    return a.withColumn("grid_id", F.lit("a")).unionByName(b.withColumn("grid_id", F.lit("b")))
+
+
+#: the second grid, under the name of the first
+CELLS_B_SQL = CELLS_SQL.replace("cells AS (", "cells0 AS (") + ", cells AS (SELECT r, 99 - c AS c, elev_cm + c * 10 AS elev_cm, nir, red, label, zone_id FROM cells0 WHERE r % 11 <> 5)"
+
+
 def probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row, col, p0, p1 on the same cells."""
     k = F.col("o_orderkey")
