@@ -8,7 +8,6 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +15,9 @@ from pyspark.sql import functions as F
 from terrasol.operators.blocks import grids
 from terrasol.operators.components import components
 from terrasol.operators.grid import burn, small
+from terrasol.operators.hulls import hull_area
+from terrasol.operators.outlines import outline
+from terrasol.sources.store import cut
 
 #: columns of a bucket in which runs of adjacent rows meet
 BUCKET = 64
@@ -95,47 +97,10 @@ def patch_perimeter(patch_cells: DataFrame, res: float = 1.0) -> DataFrame:
     return exposed_edges(patch_cells).groupBy("patch_id").agg((F.count("*") * res).alias("perimeter"))
 
 
-def _walk(rows: np.ndarray, cols: np.ndarray, sides: list[str]) -> list[list[tuple[int, int]]]:
-    """Closed rings of directed cell sides (patch on the right), in corner coordinates (x = col, y = row);
-    at a corner where two patch cells touch diagonally the walk turns right, which keeps rings simple."""
-    # fixed values: each side runs clockwise around its cell
-    ends = {"n": ((0, 0), (1, 0)), "e": ((1, 0), (1, 1)), "s": ((1, 1), (0, 1)), "w": ((0, 1), (0, 0))}
-    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for r, c, s in zip(rows.tolist(), cols.tolist(), sides):
-        (x1, y1), (x2, y2) = ends[s]
-        out.setdefault((c + x1, r + y1), []).append((c + x2, r + y2))
-    rings = []
-    for start in sorted(out, key=lambda p: (p[1], p[0])):
-        while out.get(start):
-            here, ring = start, []
-            step = None
-            while True:
-                choices = out[here]
-                if len(choices) > 1 and step is not None:
-                    turn = (-step[1], step[0])
-                    choices.sort(key=lambda p: (p[0] - here[0], p[1] - here[1]) != turn)
-                to = choices.pop(0)
-                now = (to[0] - here[0], to[1] - here[1])
-                if now != step:
-                    ring.append(here)
-                here, step = to, now
-                if here == start:
-                    break
-            if len(ring) > 2 and (ring[0][0] - ring[-1][0]) * (ring[1][1] - ring[0][1]) == (ring[0][1] - ring[-1][1]) * (ring[1][0] - ring[0][0]) and step == (np.sign(ring[1][0] - ring[0][0]), np.sign(ring[1][1] - ring[0][1])):
-                ring.pop(0)
-            rings.append(ring)
-    return rings
-
-
-def patch_outline(patch_cells: DataFrame, res: float = 1.0, x_min: float = 0.0, y_max: float = 0.0) -> DataFrame:
-    """(patch_id, ring, idx, x, y): corner points of each patch's rings in walking order."""
-
-    def run(data: pa.Table) -> pa.Table:
-        rings = _walk(data["row"].to_numpy(), data["col"].to_numpy(), data["side"].to_pylist())
-        flat = [(k, i, x_min + x * res, y_max - y * res) for k, ring in enumerate(rings) for i, (x, y) in enumerate(ring)]
-        return pa.table({"patch_id": pa.array([data["patch_id"][0].as_py()] * len(flat), pa.int64()), "ring": pa.array([f[0] for f in flat], pa.int32()), "idx": pa.array([f[1] for f in flat], pa.int32()), "x": pa.array([f[2] for f in flat], pa.float64()), "y": pa.array([f[3] for f in flat], pa.float64())})
-
-    return exposed_edges(patch_cells).groupBy("patch_id").applyInArrow(run, "patch_id bigint, ring int, idx int, x double, y double")
+def patch_outline(patch_cells: DataFrame, res: float = 1.0, x_min: float = 0.0, y_max: float = 0.0, size: int = 512, every: bool = False) -> DataFrame:
+    """(patch_id, ring, idx, x, y): corner points of each patch's rings in walking order (all cell corners on them with
+    `every`); patches may be of any size."""
+    return outline(exposed_edges(patch_cells), res, x_min, y_max, size, every)
 
 
 def _next(column: str) -> Column:
@@ -159,46 +124,19 @@ def chaikin_rings(points: DataFrame) -> DataFrame:
     return each.select("patch_id", "ring", (F.col("idx") * 2 + F.col("q.k")).alias("idx"), "q.x", "q.y")
 
 
-def _hull_area(x: np.ndarray, y: np.ndarray) -> float:
-    """Area of the convex hull by a monotone chain."""
-    points = sorted(set(zip(x.tolist(), y.tolist())))
-    if len(points) < 3:
-        return 0.0
-
-    def chain(ps):
-        out = []
-        for p in ps:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
-                out.pop()
-            out.append(p)
-        return out[:-1]
-
-    hull = chain(points) + chain(points[::-1])
-    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(hull, hull[1:] + hull[:1]))) / 2
-
-
-def patch_convexity(labelled: DataFrame, res: float = 1.0) -> DataFrame:
+def patch_convexity(labelled: DataFrame, res: float = 1.0, band: int = 1024) -> DataFrame:
     """Area over the area of the convex hull; NULL if the hull has none.  Only each row's first and last
-    cell reach the hull."""
+    cell reach the hull; hulls of row bands are merged."""
     ends = labelled.groupBy("patch_id", "row").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.sum(F.col("c1") - F.col("c0") + 1).alias("n"))
+    ends = cut(ends)
+    corners = ends.select("patch_id", F.explode(F.array(*(F.struct(x.alias("x"), y.alias("y")) for x in (F.col("c0"), F.col("c1") + 1) for y in (F.col("row"), F.col("row") + 1)))).alias("p")).select("patch_id", "p.x", "p.y")
+    hulls = hull_area(corners, "patch_id", 1.0, band)
+    return ends.groupBy("patch_id").agg(F.sum("n").alias("n")).join(hulls, "patch_id").select("patch_id", F.try_divide(F.col("n").cast("double"), "hull").alias("convexity"))
 
-    def run(data: pa.Table) -> pa.Table:
-        r, a, b = data["row"].to_numpy(), data["c0"].to_numpy(), data["c1"].to_numpy() + 1
-        hull = _hull_area(np.concatenate([a, b, a, b]), np.concatenate([r, r, r + 1, r + 1]))
-        n = int(data["n"].to_numpy().sum())
-        return pa.table({"patch_id": data["patch_id"].slice(0, 1), "convexity": pa.array([n / hull if hull else None], pa.float64())})
-
-    return ends.groupBy("patch_id").applyInArrow(run, "patch_id bigint, convexity double")
 
-
-def ring_convexity(points: DataFrame) -> DataFrame:
+def ring_convexity(points: DataFrame, res: float = 1.0) -> DataFrame:
     """Convexity of smoothed rings."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hull = _hull_area(pdf["x"].to_numpy(), pdf["y"].to_numpy())
-        return pd.DataFrame({"patch_id": pdf["patch_id"].iloc[:1], "hull": [hull]})
-
-    hulls = points.groupBy("patch_id").applyInPandas(run, "patch_id bigint, hull double")
+    hulls = hull_area(points.select("patch_id", "x", "y"), "patch_id", res)
     return ring_measures(points).join(hulls, "patch_id").select("patch_id", F.try_divide("superficie", "hull").alias("convexite"))
 
 
