@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,42 +52,29 @@ def assign_tiles(cells: DataFrame, tiles: DataFrame, res: float = 1.0, x_min: fl
     return met.select(F.col("_tile").alias("tile"), *cells.columns)
 
 
-def _scan(rings: list, res: float, x_min: float, y_max: float):
-    """(row, first col, end col) of the cells whose centre is inside rings (even-odd), row by row."""
-    edges = []
-    for ring in rings:
-        p = np.array([(q["x"], q["y"]) for q in ring], float).reshape(-1, 2)
-        edges.append(np.hstack([p, np.roll(p, -1, axis=0)]))
-    e = np.concatenate(edges) if edges else np.empty((0, 4))
-    e = e[e[:, 1] != e[:, 3]]
-    if not len(e):
-        return
-    top, bottom = int(np.floor((y_max - e[:, [1, 3]].max()) / res)), int(np.ceil((y_max - e[:, [1, 3]].min()) / res))
-    for row in range(top, bottom):
-        y = y_max - (row + 0.5) * res
-        c = e[(e[:, 1] > y) != (e[:, 3] > y)]
-        x = np.sort((c[:, 2] - c[:, 0]) * (y - c[:, 1]) / (c[:, 3] - c[:, 1]) + c[:, 0])
-        cols = np.ceil((x - x_min) / res - 0.5).astype(int)
-        for a, b in zip(cols[::2], cols[1::2]):
-            if a < b:
-                yield row, int(a), int(b)
+def burn_sides(sides: DataFrame, key: str, res: float = 1.0, x_min: float = 0.0, y_max: float = 0.0) -> DataFrame:
+    """(key, row, col) of the cells whose centre is inside polygons given by their sides (key, x, y, x2, y2), even-odd.
+
+    Every side gives a crossing with each row of centres it passes; the crossings of a polygon's row are put in order
+    and taken by pairs, so a polygon of any size is dealt to tasks by rows."""
+    row_of = lambda y: (F.lit(y_max) - y) / res - 0.5
+    low, high = F.least("y", "y2"), F.greatest("y", "y2")
+    passed = sides.where("y <> y2").select(key, "x", "y", "x2", "y2", F.explode(F.sequence(F.floor(row_of(high)), F.ceil(row_of(low)))).alias("row"))
+    at = F.lit(y_max) - (F.col("row") + 0.5) * res
+    crossed = passed.where((F.col("y") > at) != (F.col("y2") > at)).select(key, "row", ((F.col("x2") - F.col("x")) * (at - F.col("y")) / (F.col("y2") - F.col("y")) + F.col("x")).alias("_x"))
+    order = Window.partitionBy(key, "row").orderBy("_x")
+    pairs = crossed.select(key, "row", "_x", F.lead("_x").over(order).alias("_end"), F.row_number().over(order).alias("_n")).where("_n % 2 = 1")
+    cell = lambda c: F.ceil((F.col(c) - x_min) / res - 0.5).cast("int")
+    spans = pairs.select(key, F.col("row").cast("int").alias("row"), cell("_x").alias("a"), cell("_end").alias("b")).where("a < b")
+    return spans.select(key, "row", F.explode(F.sequence("a", F.col("b") - 1)).alias("col"))
 
 
 def burn(polygons: DataFrame, key: str, res: float = 1.0, x_min: float = 0.0, y_max: float = 0.0) -> DataFrame:
-    """(key, row, col) of the cells inside each polygon (column rings: array<array<struct<x, y>>>).  Polygons are scanned
-    where they are; only stretches of cells leave Python, and Spark spreads them."""
-    kind = polygons.schema[key].dataType.simpleString()
-
-    def run(batches):
-        for batch in batches:
-            for k, rings in enumerate(batch.column(1).to_pylist()):
-                spans = list(_scan(rings or [], res, x_min, y_max))
-                for i in range(0, len(spans), 100_000):
-                    part = spans[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(part), batch.schema.field(0).type), *(pa.array([p[j] for p in part], pa.int32()) for j in range(3))], [key, "row", "a", "b"])
-
-    spans = polygons.select(key, "rings").mapInArrow(run, f"{key} {kind}, row int, a int, b int")
-    return spans.select(key, "row", F.explode(F.sequence("a", F.col("b") - 1)).alias("col"))
+    """(key, row, col) of the cells inside each polygon (column rings: array<array<struct<x, y>>>)."""
+    ring = polygons.select(key, F.explode("rings").alias("p"))
+    after = F.concat(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), F.slice("p", 1, 1))
+    each = ring.select(key, F.explode(F.zip_with("p", after, lambda a, b: F.struct(a["x"].cast("double").alias("x"), a["y"].cast("double").alias("y"), b["x"].cast("double").alias("x2"), b["y"].cast("double").alias("y2")))).alias("s"))
+    return burn_sides(each.select(key, "s.x", "s.y", "s.x2", "s.y2"), key, res, x_min, y_max)
 
 
 def mask_by_polygon(cells: DataFrame, polygons: DataFrame, bands: list[str], key: str = "name", res: float = 1.0, x_min: float = 0.0, y_max: float = 0.0) -> DataFrame:

@@ -8,15 +8,15 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasol.operators.blocks import grids
 from terrasol.operators.components import components
-from terrasol.operators.grid import burn, small
+from terrasol.operators.grid import burn, burn_sides, small
 from terrasol.operators.hulls import hull_area
 from terrasol.operators.outlines import outline
+from terrasol.operators.topology import following, simplify
 from terrasol.sources.store import cut
 
 #: columns of a bucket in which runs of adjacent rows meet
@@ -140,49 +140,10 @@ def ring_convexity(points: DataFrame, res: float = 1.0) -> DataFrame:
     return ring_measures(points).join(hulls, "patch_id").select("patch_id", F.try_divide("superficie", "hull").alias("convexite"))
 
 
-def _effective_areas(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Area at which each vertex goes when the least triangle is cut first; the last three stay (infinity)."""
-    n = len(x)
-    out = np.full(n, np.inf)
-    left, right, alive = np.roll(np.arange(n), 1), np.roll(np.arange(n), -1), n
-    area = lambda i: abs((x[left[i]] - x[i]) * (y[right[i]] - y[i]) - (x[right[i]] - x[i]) * (y[left[i]] - y[i])) / 2
-    import heapq
-
-    heap = [(area(i), i) for i in range(n)]
-    heapq.heapify(heap)
-    now = np.array([a for a, _ in sorted(heap, key=lambda h: h[1])]) if n else np.empty(0)
-    floor = 0.0
-    while alive > 3 and heap:
-        a, i = heapq.heappop(heap)
-        if out[i] != np.inf or a != now[i]:
-            continue
-        floor = max(floor, a)
-        out[i] = floor
-        alive -= 1
-        l, r = left[i], right[i]
-        right[l], left[r] = r, l
-        for j in (l, r):
-            now[j] = area(j)
-            heapq.heappush(heap, (now[j], int(j)))
-    return out
-
-
 def simplify_rings(points: DataFrame, keep: float = 0.4, by: str | None = None) -> DataFrame:
-    """Keeps a share of the removable vertices of a layer (or of each tile `by`), those that carry most area; three
-    vertices of every ring always stay, so no shape is lost."""
-    extra = [by] if by else []
-
-    def run(data: pa.Table) -> pa.Table:
-        data = data.sort_by("idx")
-        return data.append_column("weight", pa.array(_effective_areas(data["x"].to_numpy(), data["y"].to_numpy())))
-
-    weighed = points.select(*extra, "patch_id", "ring", "idx", "x", "y").groupBy("patch_id", "ring").applyInArrow(run, f"{f'{by} string, ' if by else ''}patch_id bigint, ring int, idx int, x double, y double, weight double")
-    removable = F.when(F.col("weight") < float("inf"), F.col("weight"))
-    limits = weighed.groupBy(*extra).agg(F.percentile(removable, F.lit(1 - keep)).alias("_limit"))
-    joined = weighed.join(small(limits), extra) if by else weighed.crossJoin(F.broadcast(limits))
-    kept = joined.where(F.col("_limit").isNull() | (F.col("weight") > F.col("_limit")) | (F.col("weight") == float("inf")))
-    again = F.row_number().over(Window.partitionBy("patch_id", "ring").orderBy("idx")) - 1
-    return kept.select(*extra, "patch_id", "ring", again.alias("idx"), "x", "y")
+    """Keeps a share of the removable corners of a layer (or of each tile `by`), those that carry most area; borders
+    that patches share stay shared, and three corners of every ring stay, so no shape is lost."""
+    return simplify(points, keep, by)
 
 
 def rings_of(points: DataFrame) -> DataFrame:
@@ -197,6 +158,12 @@ def rasterize_patches(polygons: DataFrame, res: float = 1.0, x_min: float = 0.0,
     return burn(polygons, "patch_id", res, x_min, y_max).groupBy("row", "col").agg(F.max("patch_id").alias("patch_id"))
 
 
+def rasterize_rings(points: DataFrame, res: float = 1.0, x_min: float = 0.0, y_max: float = 0.0) -> DataFrame:
+    """As rasterize_patches, from ring points: no polygon is ever in one row or task."""
+    sides = following(points.select("patch_id", "ring", "idx", "x", "y"), ["patch_id", "ring"])
+    return burn_sides(sides, "patch_id", res, x_min, y_max).groupBy("row", "col").agg(F.max("patch_id").alias("patch_id"))
+
+
 def near_patches(low: DataFrame, steep: DataFrame, distance: float, res: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., patch_id) of the low patches with a cell within `distance` of a steep cell (box to box, touching counts).
 

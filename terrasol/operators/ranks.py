@@ -20,18 +20,18 @@ def ranked(df: DataFrame, order: list[str], name: str = "rank", by: tuple[str, .
     whole = cut(df)
     parts = max(1, -(-whole.count() // RANGE_ROWS))
     one = F.col(weight) if weight else F.lit(1).cast("bigint")
-    dealt = cut(whole.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id()))
-    keys = [*by, "_part"]
-    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy(*keys).agg(F.sum(one).alias("_c"))
-    counts = counts.select(*keys, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy(*by)).alias("n"))
-    renamed = counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_before", "n")
+    dealt = cut(whole.repartitionByRange(parts, *by, *order).withColumn("_rank_part", F.spark_partition_id()))
+    keys = [*by, "_rank_part"]
+    before = Window.partitionBy(*by).orderBy("_rank_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*keys).agg(F.sum(one).alias("_rank_c"))
+    counts = counts.select(*keys, F.coalesce(F.sum("_rank_c").over(before), F.lit(0)).alias("_rank_before"), F.sum("_rank_c").over(Window.partitionBy(*by)).alias("n"))
+    renamed = counts.select(*(F.col(k).alias(f"_rank_k{i}") for i, k in enumerate(keys)), "_rank_before", "n")
     same = F.lit(True)
     for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        same = same & F.col(k).eqNullSafe(F.col(f"_rank_k{i}"))
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    place = (F.col("_before") + F.coalesce(F.sum(one).over(inside), F.lit(0))).cast("bigint")
-    return dealt.join(renamed, same).withColumn(name, place).drop("_part", "_before", *(f"_k{i}" for i in range(len(keys))))
+    place = (F.col("_rank_before") + F.coalesce(F.sum(one).over(inside), F.lit(0))).cast("bigint")
+    return dealt.join(renamed, same).withColumn(name, place).drop("_rank_part", "_rank_before", *(f"_rank_k{i}" for i in range(len(keys))))
 
 
 def permuted(df: DataFrame, columns: list[str], key: str, seed: int = 42, prefix: str = "_p_") -> DataFrame:

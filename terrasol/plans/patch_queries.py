@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from terrasol.functions import algebra as A
 from terrasol.operators import focal as N
 from terrasol.operators import landscape as L
 from terrasol.operators import patches as P
+from terrasol.operators.topology import edges_of, following
 from terrasol.plans import pipelines as W
-from terrasol.plans.focal_queries import EDGE_SLOPE, elevation
+from terrasol.plans.focal_queries import EDGE_SLOPE, SLOPE, box_sql, elevation
 from terrasol.plans.register import query
 from terrasol.sources import derived as D
 from terrasol.sources.store import cut
@@ -80,15 +82,73 @@ def patch_outline(spark, sf_dir):
     return P.ring_measures(rings).select("patch_id", "perimetre", "superficie")
 
 
-@query()
+# patches of gentle slope: hundreds, many of them not convex, some with holes
+LOW = f"WITH RECURSIVE {SLOPE}, ones AS (SELECT r, c FROM slope WHERE slope <= 15)"
+
+
+def _low(spark, sf_dir, neighbours):
+    low = cut(N.slope(elevation(spark, sf_dir)).select("row", "col", (F.col("slope") <= 15).cast("int").alias("low")))
+    return cut(P.label_runs(low, "low", D.WIDTH, neighbours))
+
+
+@query(f"{LOW}, {LAB8}, {CELL_ROWS} SELECT a.patch_id, {PERIMETER} AS perimetre, CAST(count(*) AS DOUBLE) AS superficie FROM pc a GROUP BY a.patch_id")
+def slope_outlines(spark, sf_dir):
+    """Outlines of all patches of gentle slope, in blocks of 16 cells that most rings cross."""
+    rings = P.patch_outline(P.run_cells(_low(spark, sf_dir, 8)), size=16)
+    return P.ring_measures(rings).select("patch_id", "perimetre", "superficie")
+
+
+@query(f"{LOW}, {LAB4}, {CELL_ROWS} SELECT patch_id, r AS \"row\", c AS \"col\" FROM pc")
+def burn_patches(spark, sf_dir):
+    """Outlines of patches, holes and all, burnt back to cells."""
+    return P.rasterize_rings(P.patch_outline(P.run_cells(_low(spark, sf_dir, 4))))
+
+
+# a hull's side has all points on its right or between its ends
+@query(f"""{LOW}, {LAB8}, rw AS (SELECT patch_id, r, min(c0) AS c0, max(c1) + 1 AS c1, sum(c1 - c0 + 1) AS n FROM lab GROUP BY patch_id, r),
+pt AS (SELECT DISTINCT patch_id, unnest([c0, c1, c0, c1])::BIGINT AS x, unnest([r, r, r + 1, r + 1])::BIGINT AS y FROM rw),
+hs AS (SELECT a.patch_id, a.x * b.y - b.x * a.y AS w FROM pt a JOIN pt b ON a.patch_id = b.patch_id AND (a.x <> b.x OR a.y <> b.y)
+ WHERE NOT EXISTS (SELECT 1 FROM pt s WHERE s.patch_id = a.patch_id AND ((b.x - a.x) * (s.y - a.y) - (b.y - a.y) * (s.x - a.x) > 0
+  OR ((b.x - a.x) * (s.y - a.y) = (b.y - a.y) * (s.x - a.x) AND (s.x - a.x) * (s.x - b.x) + (s.y - a.y) * (s.y - b.y) > 0)))),
+ha AS (SELECT patch_id, abs(sum(w)) / 2.0::DOUBLE AS hull FROM hs GROUP BY patch_id)
+SELECT patch_id, round(n / hull, 9) AS convexity FROM ha JOIN (SELECT patch_id, sum(n)::DOUBLE AS n FROM rw GROUP BY patch_id) USING (patch_id)""")
 def patch_convexity(spark, sf_dir):
-    return P.patch_convexity(_labelled(spark, sf_dir))
+    return P.patch_convexity(_low(spark, sf_dir, 8), band=4).withColumn("convexity", F.round("convexity", 9))
 
 
 @query()
 def simplify_rings(spark, sf_dir):
-    rings = P.patch_outline(P.run_cells(_labelled(spark, sf_dir)))
-    return P.ring_measures(P.simplify_rings(rings)).join(P.simplify_rings(rings).groupBy("patch_id").agg(F.count("*").alias("points")), "patch_id")
+    rings = cut(P.simplify_rings(P.patch_outline(P.run_cells(_low(spark, sf_dir, 4)))))
+    return P.ring_measures(rings).join(rings.groupBy("patch_id").agg(F.count("*").alias("points")), "patch_id")
+
+
+# zones tile the grid: junctions (other than two sides) stay, and four in ten of the other corners
+@query(f"""WITH {CELLS}, n AS (SELECT r, c, zone_id AS z FROM cells),
+e AS (SELECT DISTINCT * FROM (
+ SELECT a.c AS x, a.r AS y, a.c + 1 AS x2, a.r AS y2 FROM n a LEFT JOIN n b ON b.r = a.r - 1 AND b.c = a.c WHERE b.z IS DISTINCT FROM a.z
+ UNION ALL SELECT a.c, a.r + 1, a.c + 1, a.r + 1 FROM n a LEFT JOIN n b ON b.r = a.r + 1 AND b.c = a.c WHERE b.z IS DISTINCT FROM a.z
+ UNION ALL SELECT a.c, a.r, a.c, a.r + 1 FROM n a LEFT JOIN n b ON b.r = a.r AND b.c = a.c - 1 WHERE b.z IS DISTINCT FROM a.z
+ UNION ALL SELECT a.c + 1, a.r, a.c + 1, a.r + 1 FROM n a LEFT JOIN n b ON b.r = a.r AND b.c = a.c + 1 WHERE b.z IS DISTINCT FROM a.z)),
+v AS (SELECT x, y, count(*) AS d FROM (SELECT x, y FROM e UNION ALL SELECT x2, y2 FROM e) GROUP BY x, y)
+SELECT (SELECT count(DISTINCT z) FROM n) AS zones, count(*) AS corners, count(*) FILTER (WHERE d <> 2) AS junctions, CAST(count(*) - floor(count(*) FILTER (WHERE d = 2) * 0.6::DOUBLE) AS BIGINT) AS kept, CAST(0 AS BIGINT) AS gaps FROM v""")
+def simplify_zones(spark, sf_dir):
+    """Borders of all zones simplified together: corners before and after, and sides inside the grid's frame that only one zone has."""
+    cells = D.cells(spark, sf_dir).select(F.col("zone_id").alias("patch_id"), "row", "col")
+    points = cut(P.patch_outline(cells, every=True))
+    kept = cut(P.simplify_rings(points))
+    sides = following(kept, ["patch_id", "ring"])
+    here, there = F.struct("x", "y"), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
+    count = sides.groupBy(F.least(here, there).alias("a"), F.greatest(here, there).alias("b")).agg(F.count("*").alias("n"))
+    # sides of one zone only make the outer ring: where it is closed, every corner of it has two of them
+    alone = count.where("n = 1").select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("d"))
+    before = edges_of(points).select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("d"))
+    return (
+        before.agg(F.count("*").alias("corners"), F.count_if(F.col("d") != 2).alias("junctions"))
+        .crossJoin(F.broadcast(kept.agg(F.countDistinct("patch_id").alias("zones"))))
+        .crossJoin(F.broadcast(kept.select("x", "y").distinct().agg(F.count("*").alias("kept"))))
+        .crossJoin(F.broadcast(count.where("n > 2").agg(F.count("*").alias("over")).crossJoin(alone.agg(F.count_if(F.col("d") != 2).alias("open")))))
+        .select("zones", "corners", "junctions", "kept", (F.col("over") + F.col("open")).alias("gaps"))
+    )
 
 
 BOXRING = "bx AS (SELECT zone_id AS patch_id, min(c)::DOUBLE AS x0, max(c) + 1.0::DOUBLE AS x1, (0 - min(r))::DOUBLE AS y1, 0 - (max(r) + 1.0::DOUBLE) AS y0 FROM cells GROUP BY zone_id)"
@@ -199,7 +259,15 @@ def jaccard_pairs(spark, sf_dir):
     return L.jaccard_pairs(_selected(spark, sf_dir), SCENARIOS)
 
 
+@query(f"""WITH RECURSIVE {D.TERRACE_SQL}, o AS (SELECT r, c, CAST(p >= 250 AS INT) AS one FROM terr), {box_sql('o', 'one', 2)}, ones AS (SELECT r, c FROM box WHERE 2 * s > n),
+{LAB8} SELECT patch_id, CAST(sum(c1 - c0 + 1) AS DOUBLE) AS area FROM lab GROUP BY patch_id HAVING sum(c1 - c0 + 1) >= 10""")
+def terrace_areas(spark, sf_dir):
+    """The forest workflow up to the areas: threshold, majority, patches of ten square metres or more."""
+    one = D.terrace_probabilities(spark, sf_dir).select("row", "col", A.binarize(F.col("p1"), 0.25).alias("one"))
+    return P.min_area_filter(P.patch_area(P.label_runs(N.majority_filter(one, "one"), "mode", D.WIDTH)))
+
+
 @query()
 def terrace_map(spark, sf_dir):
     """The forest workflow from probabilities to selected patches."""
-    return W.terrace_patches(elevation(spark, sf_dir).join(D.probabilities(spark, sf_dir), ["row", "col"]), D.WIDTH)
+    return W.terrace_patches(elevation(spark, sf_dir).join(D.terrace_probabilities(spark, sf_dir), ["row", "col"]), D.WIDTH)

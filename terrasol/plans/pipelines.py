@@ -15,6 +15,7 @@ from terrasol.operators import grid as G
 from terrasol.operators import patches as P
 from terrasol.operators import windows as V
 from terrasol.operators import zonal as Z
+from terrasol.operators.topology import transformed
 from terrasol.sources.store import cut
 
 
@@ -38,10 +39,11 @@ def geobia(cells: DataFrame) -> DataFrame:
     return Z.mask_zones(cells, "zone_id", geobia_zones(cells))
 
 
-def terrace_patches(cells: DataFrame, ncols: int, threshold: float = 0.25, least: float = 10.0, largest: float = 1000.0, res: float = 1.0, partition_by_tile: bool = False) -> DataFrame:
+def terrace_patches(cells: DataFrame, ncols: int, threshold: float = 0.25, least: float = 10.0, largest: float = 1000.0, res: float = 1.0, partition_by_tile: bool = False, x_min: float = 700_000.0, y_max: float = 6_600_000.0) -> DataFrame:
     """From class probabilities (p1) and elevations to flagged patches: threshold, 5x5 majority, patches of eight
     neighbours, area, outline, simplified and smoothed rings, shape, statistics of the smoothed slope on the burnt
-    polygons, flags, selection.  Rings are simplified in the units of the grid.  With tiles (column `tile`), patches are cut at their borders."""
+    polygons, flags, selection.  Rings are simplified and smoothed in degrees, and measured in Lambert-93 metres; the grid's north-west
+    corner lies at (x_min, y_max) there.  With tiles (column `tile`), patches are cut at their borders."""
     by = ("tile",) if partition_by_tile else ()
     filtered = N.majority_filter(cells.select("row", "col", A.binarize(F.col("p1"), threshold).alias("one")), "one")
     if by:
@@ -50,11 +52,12 @@ def terrace_patches(cells: DataFrame, ncols: int, threshold: float = 0.25, least
     if by:  # one number for patch and tile
         labelled = labelled.withColumn("patch_id", F.xxhash64("tile", "patch_id")).drop("tile")
     labelled = cut(labelled.join(P.min_area_filter(P.patch_area(labelled, res), least).select("patch_id"), "patch_id"))
-    rings = P.chaikin_rings(P.simplify_rings(P.patch_outline(P.run_cells(labelled), res)))
-    rings = cut(rings)
-    shape = P.ring_measures(rings).join(P.ring_convexity(rings), "patch_id")
+    outlines = P.patch_outline(P.run_cells(labelled), res, x_min, y_max)
+    rings = P.chaikin_rings(P.simplify_rings(transformed(outlines, A.to_wgs84)))
+    rings = cut(transformed(rings, A.to_lambert93))
+    shape = P.ring_measures(rings).join(P.ring_convexity(rings, res), "patch_id")
     smooth = N.focal_mean(N.slope(cells, "elev", res), "slope", 4, strict=False).select("row", "col", F.col("mean").alias("pente"))
-    burnt = P.rasterize_patches(P.rings_of(rings), res).join(smooth, ["row", "col"])
+    burnt = P.rasterize_rings(rings, res, x_min, y_max).join(smooth, ["row", "col"])
     means = Z.zonal_mean(burnt, "patch_id", ["pente"]).withColumnRenamed("pente", "pente_moyenne")
     tenths = Z.zonal_quantile(burnt, "patch_id", "pente").withColumnRenamed("quantile", "pente_decile10")
     full = Z.merge_zone_stats([shape, means, tenths], "patch_id", "left")

@@ -55,6 +55,21 @@ PROB_SQL = """prob AS (SELECT CAST(o_orderkey // 100 AS INT) AS r, CAST(o_orderk
              (CAST(ROUND(o_totalprice * 100) AS BIGINT) % 1001) / 1000.0::DOUBLE AS p1 FROM orders)"""
 
 
+def terrace_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """row, col, p1: high in L-shaped terraces of 8 by 15 cells on a pattern of 12 by 20, low between them, with noise."""
+    k = F.col("o_orderkey")
+    row, col = F.floor(k / WIDTH).cast("int"), (k % WIDTH).cast("int")
+    r, c = row % 12, col % 20
+    inside = (r < 8) & (c < 15) & ~((r < 4) & (c >= 8))
+    noise = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    p1 = F.when(inside, (noise % 801 + 200) / F.lit(1000.0)).otherwise(noise % 301 / F.lit(1000.0))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(row.alias("row"), col.alias("col"), p1.alias("p1"))
+
+
+TERRACE_SQL = """terr AS (SELECT r, c, CASE WHEN r % 12 < 8 AND c % 20 < 15 AND NOT (r % 12 < 4 AND c % 20 >= 8) THEN m % 801 + 200 ELSE m % 301 END AS p
+             FROM (SELECT CAST(o_orderkey // 100 AS INT) AS r, CAST(o_orderkey % 100 AS INT) AS c, CAST(ROUND(o_totalprice * 100) AS BIGINT) AS m FROM orders))"""
+
+
 def embedding_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row = vec_id, col = position, v, cls = label."""
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")

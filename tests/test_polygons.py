@@ -9,6 +9,7 @@ from terrasol.operators import hulls as H
 from terrasol.operators import outlines as O
 from terrasol.operators import patches as P
 from terrasol.operators import ranks as R
+from terrasol.operators import topology as T
 
 TURN = {(1, 0): 0, (0, 1): 1, (-1, 0): 2, (0, -1): 3}
 
@@ -110,3 +111,109 @@ def test_merged_hulls(spark, band, fan):
     df = spark.createDataFrame([(k, float(x), float(y)) for k, ps in sets.items() for x, y in ps], "patch_id long, x double, y double")
     got = {r.patch_id: r.hull for r in H.hull_area(df, "patch_id", 1.0, band, fan).collect()}
     assert got == {1: area(H.hull(*zip(*sets[1]))), 2: 0.0, 3: 0.0, 4: 121.0}
+
+
+def patches_of(points):
+    rings = {}
+    for r in points.collect():
+        rings.setdefault((r.patch_id, r.ring), {})[r.idx] = (r.x, r.y)
+    return {k: [v[i] for i in range(len(v))] for k, v in rings.items()}
+
+
+def sides(rings):
+    out = {}
+    for ring in rings.values():
+        for a, b in zip(ring, ring[1:] + ring[:1]):
+            out.setdefault((min(a, b), max(a, b)), []).append(a < b)
+    return out
+
+
+@pytest.mark.parametrize("keep,piece", [(0.4, 1 << 16), (1.0, 1 << 16), (0.0, 5)])
+def test_shared_borders_stay_shared(spark, keep, piece, monkeypatch):
+    """Zones that tile a square, with an island and a ring-shaped zone: afterwards every side inside has a zone on both hands."""
+    monkeypatch.setattr(T, "PIECE", piece)
+    monkeypatch.setattr(R, "RANGE_ROWS", 64)
+    rng, side = random.Random(8), 24
+    seeds = [(rng.randrange(side), rng.randrange(side)) for _ in range(9)]
+    zone = {(r, c): min(range(9), key=lambda k: (abs(r - seeds[k][0]) + abs(c - seeds[k][1]), k)) for r in range(side) for c in range(side)}
+    zone |= {(r, c): 20 for r in range(8, 16) for c in range(8, 16)} | {(r, c): 21 for r in range(10, 14) for c in range(10, 14)}
+    cells = spark.createDataFrame([(z, r, c) for (r, c), z in zone.items()], "patch_id long, row int, col int")
+    points = P.patch_outline(cells, every=True)
+    rows = points.collect()
+    points = spark.createDataFrame(rows, points.schema)
+    before, after = patches_of(points), patches_of(P.simplify_rings(points, keep))
+    assert before.keys() == after.keys() and all(len(r) >= 3 for r in after.values())
+    degree = {}
+    for a, b in sides(before):
+        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+    junctions = {p for p, d in degree.items() if d != 2}
+    left = {p for r in after.values() for p in r}
+    assert junctions <= left <= set(degree)
+    for hands in sides(after).values():
+        assert hands in ([True], [False], [True, False], [False, True])
+    # the zones' signed areas add up to that of the outer ring, so there is neither gap nor overlap
+    once = {}
+    for (a, b), hands in sides(after).items():
+        if len(hands) == 1:
+            once[a if hands[0] else b] = b if hands[0] else a
+    start = min(once)
+    outer, p = [start], once[start]
+    while p != start:
+        outer.append(p)
+        p = once[p]
+    signed = lambda ring: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1])) / 2
+    assert len(outer) == len(once) and abs(sum(map(signed, after.values())) - signed(outer)) < 1e-9
+    if keep == 1.0:
+        assert {k: set(v) for k, v in after.items()} == {k: set(v) for k, v in before.items()}
+    if keep == 0.4 and piece > 5:
+        assert len(left) == len(degree) - int((len(degree) - len(junctions) - 3) * 0.6)  # the one closed arc keeps three corners
+
+
+def test_simplified_rings_alone_and_by_tile(spark):
+    """Rings without neighbours: the corners that stay are those of the heaviest triangles, over the layer or each tile."""
+    rng = np.random.default_rng(4)
+    rings = []
+    for k in range(6):
+        angle = np.sort(rng.uniform(0, 6.28, 30))
+        rings += [(k, "ab"[k % 2], 0, i, float(100 * k + 20 * np.cos(a) * rng.uniform(0.7, 1)), float(20 * np.sin(a) * rng.uniform(0.7, 1))) for i, a in enumerate(angle)]
+    df = spark.createDataFrame(rings, "patch_id long, tile string, ring int, idx int, x double, y double")
+    weights = []
+    for k in range(6):
+        ps = [(r[4], r[5]) for r in rings if r[0] == k]
+        w = T.effective_areas(np.array([p[0] for p in ps + ps[:1]]), np.array([p[1] for p in ps + ps[:1]]), 2)
+        weights += [(float(v), k, p) for v, p in zip(w, ps)]
+    for tile, mine in ((None, range(6)), ("a", (0, 2, 4)), ("b", (1, 3, 5))):
+        some = sorted(w for w in weights if w[1] in mine and w[0] < float("inf"))
+        want = {(k, p) for _, k, p in some[int(len(some) * 0.6) :]} | {(k, p) for v, k, p in weights if k in mine and v == float("inf")}
+        got = P.simplify_rings(df, 0.4, "tile" if tile else None).where(f"tile = '{tile}'" if tile else "true").collect()
+        assert {(r.patch_id, (r.x, r.y)) for r in got} == want
+    assert P.simplify_rings(df.limit(0)).count() == 0
+
+
+def test_burnt_polygons(spark):
+    """Slanted, non-convex polygons with holes against a crossing count for every cell."""
+    rng = random.Random(11)
+    shapes = {
+        1: [[(2.3, -1.2), (17.8, -4.4), (11.1, -9.7), (19.6, -18.3), (4.2, -15.1), (8.8, -8.9)], [(9.1, -5.2), (11.9, -5.9), (10.2, -7.7)]],
+        2: [[(rng.uniform(0, 40), -rng.uniform(0, 40)) for _ in range(25)]],
+        3: [[(30.0, -30.0), (34.0, -30.0), (34.0, -33.0), (30.0, -33.0)]],
+        4: [[(1.2, -1.2), (1.3, -1.3), (1.2, -1.3)]],
+    }
+    polygons = spark.createDataFrame([(k, [[{"x": x, "y": y} for x, y in r] for r in rings]) for k, rings in shapes.items()], "patch_id long, rings array<array<struct<x:double,y:double>>>")
+    want = set()
+    for k, rings in shapes.items():
+        edges = [(a, b) for r in rings for a, b in zip(r, r[1:] + r[:1])]
+        for row in range(42):
+            for col in range(42):
+                x, y = col + 0.5, -(row + 0.5)
+                hits = sum((a[1] > y) != (b[1] > y) and x >= (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in edges)
+                if hits % 2:
+                    want.add((k, row, col))
+    from terrasol.operators.grid import burn
+
+    assert {tuple(r) for r in burn(polygons, "patch_id").collect()} == want
+    points = spark.createDataFrame([(k, i, j, x, y) for k, rings in shapes.items() for i, r in enumerate(rings) for j, (x, y) in enumerate(r)], "patch_id long, ring int, idx int, x double, y double")
+    best = {}
+    for k, r, c in want:
+        best[r, c] = max(k, best.get((r, c), 0))
+    assert {(r.row, r.col): r.patch_id for r in P.rasterize_rings(points).collect()} == best
