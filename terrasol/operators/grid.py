@@ -96,10 +96,17 @@ def mask_by_raster(cells: DataFrame, mask: DataFrame, zone: str, bands: list[str
 
 
 def match_tile_image(tiles: DataFrame, images: DataFrame) -> DataFrame:
-    """(name, path): the first image by path that contains the tile's name literally; NULL if none."""
-    met = small(tiles.select("name")).join(images.select("path"), F.contains(F.col("path"), F.col("name")))
-    first = met.groupBy("name").agg(F.min("path").alias("path"))
-    return tiles.select("name").join(first, "name", "left")
+    """(name, path): the first image by path that contains the tile's name literally; NULL if none.
+
+    Paths are entered in an inverted index under all their parts that are as long as some name, so that names meet them by
+    equality, whatever the number of either; the lengths of names are few.  An empty name is in every path."""
+    lengths = [r[0] for r in tiles.select(F.char_length("name").alias("n")).where("n > 0").distinct().collect()]
+    starts = lambda n: F.when(F.char_length("path") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("path") - (n - 1), F.lit(1))), lambda i: F.substr(F.col("path"), i, F.lit(n))))
+    parts = F.flatten(F.array_compact(F.array(*(starts(n) for n in lengths)))) if lengths else F.expr("cast(array() as array<string>)")
+    index = images.select("path").distinct().select("path", F.explode(F.array_distinct(parts)).alias("name")).groupBy("name").agg(F.min("path").alias("path"))
+    anything = images.agg(F.min("path").alias("_least"))
+    found = tiles.select("name").join(index, "name", "left").crossJoin(F.broadcast(anything))
+    return found.select("name", F.when(F.col("name") == "", F.col("_least")).otherwise(F.col("path")).alias("path"))
 
 
 def select_bands(cells: DataFrame, bands: dict[str, str]) -> DataFrame:

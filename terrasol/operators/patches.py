@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrasol.functions.geodesy import side_area
 from terrasol.operators.blocks import grids
 from terrasol.operators.components import components
 from terrasol.operators.grid import burn, burn_sides, small
@@ -116,6 +117,12 @@ def ring_measures(points: DataFrame) -> DataFrame:
     return each
 
 
+def ellipsoid_area(points: DataFrame, by: tuple[str, ...] = ("patch_id",)) -> DataFrame:
+    """(by..., area): square metres on the ellipsoid of rings in degrees (x longitude, y latitude); holes subtract."""
+    sides = following(points.select(*by, "ring", "idx", "x", "y"), [*by, "ring"])
+    return sides.groupBy(*by).agg(F.abs(F.sum(side_area(F.col("x"), F.col("y"), F.col("x2"), F.col("y2")))).alias("area"))
+
+
 def chaikin_rings(points: DataFrame) -> DataFrame:
     """One corner-cutting refinement: each side gives its points at a quarter and three quarters."""
     p = points.select("patch_id", "ring", "idx", "x", "y", _next("x").alias("x2"), _next("y").alias("y2"))

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrasol.operators.selection import FEW, group_quantile
+
 
 def zonal_mean(cells: DataFrame, zone: str, bands: list[str]) -> DataFrame:
     """Mean of each band per zone in one aggregation; NULLs and the NULL zone are left out."""
     return cells.where(F.col(zone).isNotNull()).groupBy(zone).agg(*(F.avg(b).alias(b) for b in bands))
 
 
-def zonal_quantile(cells: DataFrame, zone: str, band: str, p: float = 0.1) -> DataFrame:
-    """Quantile with linear interpolation between the two nearest values."""
-    return cells.where(F.col(zone).isNotNull()).groupBy(zone).agg(F.percentile(band, F.lit(p)).alias("quantile"))
+def zonal_quantile(cells: DataFrame, zone: str, band: str, p: float = 0.1, few: int = FEW) -> DataFrame:
+    """Quantile with linear interpolation between the two nearest values; zones of any size."""
+    return group_quantile(cells.where(F.col(zone).isNotNull()), zone, band, p, few)
 
 
 def zonal_stats(cells: DataFrame, zone: str, band: str, prefix: str = "dens_") -> DataFrame:

@@ -10,6 +10,7 @@ from terrasol.operators import zonal as Z
 from terrasol.plans.pipelines import geobia_zones
 from terrasol.plans.register import query
 from terrasol.sources import derived as D
+from terrasol.sources.store import cut
 
 CELLS = D.CELLS_SQL
 RC = 'r AS "row", c AS "col"'
@@ -134,6 +135,13 @@ def zonal_quantile(spark, sf_dir):
     return Z.zonal_quantile(D.cells(spark, sf_dir), "zone_id", "nir").withColumn("quantile", F.round("quantile", 6))
 
 
+@query(f"WITH {CELLS} SELECT r % 2 AS zone, round(quantile_cont(CASE WHEN r % 2 = 0 THEN nir ELSE red * 1000000 + nir END::DOUBLE, 0.37), 6) AS quantile FROM cells GROUP BY 1")
+def quantile_of_huge_zones(spark, sf_dir):
+    """Two zones that hold half of the grid each, narrowed down to ranges of a hundred values."""
+    c = D.cells(spark, sf_dir).select((F.col("row") % 2).alias("zone"), F.when(F.col("row") % 2 == 0, F.col("nir")).otherwise(F.col("red") * 1_000_000 + F.col("nir")).alias("v"))
+    return Z.zonal_quantile(cut(c), "zone", "v", 0.37, few=100).withColumn("quantile", F.round("quantile", 6))
+
+
 @query(f"WITH {CELLS} SELECT zone_id, count(nir) AS dens_count, CAST(sum(nir) AS BIGINT) AS dens_sum, avg(nir) AS dens_mean FROM cells GROUP BY zone_id")
 def zonal_stats(spark, sf_dir):
     return Z.zonal_stats(D.cells(spark, sf_dir), "zone_id", "nir")

@@ -127,6 +127,31 @@ def match_tile_image(spark, sf_dir):
     return G.match_tile_image(D.tiles(spark, sf_dir), _paths(spark, sf_dir))
 
 
+@query("""WITH t AS (SELECT 'D' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS name, o_orderkey AS k FROM orders),
+p AS (SELECT '/images/' || name || '/' || (k % 5) || '.tif' AS path, name FROM t WHERE k % 3 <> 0 UNION ALL SELECT '/archive/x' || name || 'y.tif', name FROM t WHERE k % 4 = 0)
+SELECT t.name, (SELECT min(path) FROM p WHERE p.name = t.name AND contains(path, t.name)) AS path FROM t""")
+def match_many_tiles(spark, sf_dir):
+    """A tile name for every order, most of them in one or two paths."""
+    k = F.col("o_orderkey")
+    t = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("D"), F.lpad(k.cast("string"), 7, "0")).alias("name"), k.alias("k"))
+    first = t.where("k % 3 <> 0").select(F.concat(F.lit("/images/"), "name", F.lit("/"), (F.col("k") % 5).cast("string"), F.lit(".tif")).alias("path"))
+    second = t.where("k % 4 = 0").select(F.concat(F.lit("/archive/x"), "name", F.lit("y.tif")).alias("path"))
+    return G.match_tile_image(t, first.unionByName(second))
+
+
+@query(f"""WITH {CELLS}, {TILES} SELECT 'tile=' || name AS tile, 'OK' AS status, count(*) AS n FROM cells JOIN tiles ON c + 0.5 >= xmin AND c + 0.5 < xmax AND -(r + 0.5) > ymin AND -(r + 0.5) <= ymax GROUP BY name
+UNION ALL SELECT 'tile=broken', 'ERREUR', NULL UNION ALL SELECT 'tile=none', 'MANQUANT', NULL""")
+def file_outcomes(spark, sf_dir):
+    """Tiles written as files and found again in their folders; one folder holds a file that is no Parquet, one no tile."""
+    folder = new_path(spark)
+    tiled = G.assign_tiles(D.cells(spark, sf_dir).select("row", "col", "nir"), D.tiles(spark, sf_dir))
+    tiled.repartition("tile").write.partitionBy("tile").parquet(folder)
+    note = spark.range(1).select(F.lit("cut off").alias("value"))
+    note.write.text(f"{folder}/tile=broken")
+    note.write.json(f"{folder}/tile=none")
+    return C.file_outcomes(spark, folder, r"^part-.*(parquet|txt)$").select("tile", "status", "n")
+
+
 @query(f'WITH {CELLS} SELECT {RC}, nir AS b1, red AS b2, elev_cm AS b4 FROM cells')
 def select_bands(spark, sf_dir):
     return G.select_bands(D.cells(spark, sf_dir), {"nir": "b1", "red": "b2", "elev_cm": "b4"})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrasol.functions import algebra as A
+from terrasol.functions.geodesy import side_area_sql
 from terrasol.operators import focal as N
 from terrasol.operators import landscape as L
 from terrasol.operators import patches as P
@@ -167,6 +168,14 @@ def chaikin_rings(spark, sf_dir):
     return P.chaikin_rings(_zone_rings(spark, sf_dir))
 
 
+@query(f"""WITH {CELLS}, {BOXRING}, p AS (SELECT patch_id, unnest([0, 1, 2, 3]) AS idx, 5 + unnest([x0, x1, x1, x0]) / 100 AS x, 44 + unnest([y1, y1, y0, y0]) / 2000 AS y FROM bx)
+SELECT a.patch_id, round(abs(sum({side_area_sql("a.x", "a.y", "b.x", "b.y")})), 3) AS area FROM p a JOIN p b ON a.patch_id = b.patch_id AND b.idx = (a.idx + 1) % 4 GROUP BY a.patch_id""")
+def ellipsoid_area(spark, sf_dir):
+    """Areas of the zones, laid out in degrees, on the ellipsoid."""
+    rings = _zone_rings(spark, sf_dir).withColumns({"x": 5 + F.col("x") / 100, "y": 44 + F.col("y") / 2000})
+    return P.ellipsoid_area(rings).withColumn("area", F.round("area", 3))
+
+
 @query(f'WITH {CELLS} SELECT r AS "row", c AS "col", zone_id AS patch_id FROM cells')
 def rasterize_patches(spark, sf_dir):
     """Zone boxes burnt back to cells give the zones."""

@@ -57,7 +57,7 @@ def terrace_patches(cells: DataFrame, ncols: int, threshold: float = 0.25, least
     rings = cut(transformed(rings, A.to_lambert93))
     shape = P.ring_measures(rings).join(P.ring_convexity(rings, res), "patch_id")
     smooth = N.focal_mean(N.slope(cells, "elev", res), "slope", 4, strict=False).select("row", "col", F.col("mean").alias("pente"))
-    burnt = P.rasterize_rings(rings, res, x_min, y_max).join(smooth, ["row", "col"])
+    burnt = cut(P.rasterize_rings(rings, res, x_min, y_max).join(smooth, ["row", "col"]))
     means = Z.zonal_mean(burnt, "patch_id", ["pente"]).withColumnRenamed("pente", "pente_moyenne")
     tenths = Z.zonal_quantile(burnt, "patch_id", "pente").withColumnRenamed("quantile", "pente_decile10")
     full = Z.merge_zone_stats([shape, means, tenths], "patch_id", "left")

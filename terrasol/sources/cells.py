@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrasol.sources.store import cut
+
 KEY = ("row", "col")
+OUTCOME = "tile string, path string, status string, n bigint, message string"
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -89,7 +92,38 @@ def per_tile(cells: DataFrame, tile_col: str, work, out_band: str = "v") -> Data
         try:
             row = (name, "OK", int(work(data)), None)
         except Exception as error:  # the report is the point: one bad tile must not stop the rest
-            row = (name, "ERREUR", None, str(error)[:200])
+            row = (name, "ERREUR", None, str(error))
         return pa.table({"tile": [row[0]], "status": [row[1]], "n": pa.array([row[2]], pa.int64()), "message": pa.array([row[3]], pa.string())})
 
     return cells.groupBy(tile_col).applyInArrow(run, "tile string, status string, n bigint, message string")
+
+
+def file_outcomes(spark: SparkSession, folder: str, pattern: str, work=None) -> DataFrame:
+    """(tile, path, status, n, message) of every folder below `folder`: the first file whose name matches is read as a Parquet
+    tile inside a task and handed to `work` (a function of an Arrow table to a count; the rows by default).
+
+    A file that cannot be read, or on which the work fails, is reported as ERREUR with the whole message and stops no other
+    tile; a folder without a matching file is reported as MANQUANT.  A task holds one tile's file at a time."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    paths = cut(file_catalog(spark, folder))
+    chosen = discover_tiles(paths, pattern)
+    # a file that the file system itself cannot give is left out here and missed below
+    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(folder).select("path", "content")
+
+    def run(batches):
+        for batch in batches:
+            for tile, path, data in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                try:
+                    if data is None:
+                        raise OSError(f"{path} could not be read")
+                    table = pq.read_table(pa.BufferReader(data))
+                    row = (tile, path, "OK", int(work(table) if work else table.num_rows), None)
+                except Exception as error:  # the report is the point: one bad tile must not stop the rest
+                    row = (tile, path, "ERREUR", None, f"{type(error).__name__}: {error}")
+                yield pa.RecordBatch.from_pydict({"tile": [row[0]], "path": [row[1]], "status": [row[2]], "n": pa.array([row[3]], pa.int64()), "message": pa.array([row[4]], pa.string())})
+
+    opened = chosen.join(content, "path", "left").select("tile", "path", "content").mapInArrow(run, OUTCOME)
+    missing = tiles_without(paths, pattern)
+    return opened.unionByName(missing.select("tile", F.lit(None).cast("string").alias("path"), F.lit("MANQUANT").alias("status"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("string").alias("message")))
