@@ -20,6 +20,8 @@ from terrasol.llm.common import cut, table
 LEAST_LENGTH = 20
 #: false-discovery rate of the rejections of randomness
 RATE = 0.05
+#: matches whose places are added up together
+STRETCH = 128
 #: p-values are counted in so many classes per decade
 STEPS = 50
 
@@ -47,20 +49,35 @@ SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 EMPTY = f"cast(array() as {SPAN})"
 
 
+def _once(value: Column, use) -> Column:
+    """`use` of a value that is computed once, and not for every element it meets."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _place(matches: Column, gaps: Column, values: Column, least: int, kind: int) -> Column:
     """Code-point spans of a rule's matches: the texts between matches and the matches
-    themselves alternate, so running lengths give the positions."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr(EMPTY).alias("out"))
+    themselves alternate, so running lengths give the positions.  Lengths are added up over stretches of STRETCH
+    matches first and then inside each, so the work grows with the matches and not with their square."""
+    size = lambda x: (F.length(x["gaps"]) + F.coalesce(F.length(x["matches"]), F.lit(0))).cast("bigint")
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gaps"])
-        end = begin + F.coalesce(F.length(x["matches"]), F.lit(0))
+        end = acc["at"] + size(x)
         one = F.array(F.struct(begin.cast("bigint").alias("start"), F.lit(kind).alias("kind"), end.cast("bigint").alias("end")))
         good = F.coalesce(F.length(x["values"]) >= least, F.lit(False))
-        return F.struct(end.cast("bigint").alias("at"), F.when(good, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    def inside(stretch: Column, at: Column) -> Column:
+        return F.aggregate(stretch, F.struct(at.alias("at"), F.expr(EMPTY).alias("out")), step, lambda acc: acc["out"])
+
+    def spans(stretches: Column) -> Column:
+        lengths = F.transform(stretches, lambda z: F.aggregate(z, F.lit(0).cast("bigint"), lambda acc, x: acc + size(x)))
+        starts = F.aggregate(lengths, F.array(F.lit(0).cast("bigint")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return F.flatten(F.zip_with(stretches, F.slice(starts, F.lit(1), F.size(stretches)), inside))
 
     zipped = F.arrays_zip(matches.alias("matches"), gaps.alias("gaps"), values.alias("values"))
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    cut_up = lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / STRETCH).cast("int")), lambda i: F.slice(z, i * STRETCH + 1, F.lit(STRETCH)))
+    return _once(zipped, lambda z: _once(cut_up(z), spans))
 
 
 def _found(text: Column, rule: str, group: int, least: int, kind: int, hint: str) -> Column:

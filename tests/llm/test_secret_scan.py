@@ -1,7 +1,9 @@
 import hashlib
+import random
 import re
+import time
 
-from terrasol.llm.secret_scan import joined, op9_secret_scan, scan
+from terrasol.llm.secret_scan import counted, joined, op9_secret_scan, scan
 from tests.conftest import DATA
 
 RULES = (
@@ -55,3 +57,27 @@ def test_query_matches_brute_force(spark):
         want = base_spans(d.text)
         assert got[d.doc_id].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
         assert [got[d.doc_id][f"n_{k}"] for k in ORDER[:3]] == [want.count(f"{k}:") for k in ORDER[:3]]
+
+
+def test_many_spans_take_linear_time(spark):
+    """16,000 assignments in one text, and the places of all of them."""
+    text = " ".join(f"é token=ab{i:06d} x" for i in range(16_000))
+    began = time.time()
+    got = scan(frame(spark, [(1, text, 5)])).select(joined("base").alias("base")).first().base
+    assert got == base_spans(text) and time.time() - began < 60
+
+
+def test_random_keys_are_told_from_prose_codes(spark):
+    """Planted keys and decoys: what share of random keys is reported, and of codes that people write."""
+    rng = random.Random(7)
+    digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["".join(rng.choice(alphabet) for _ in range(rng.choice((32, 40, 64)))) for alphabet in (digits + lower + upper, digits + upper, digits + lower) for _ in range(60)]
+    keys = [k for k in keys if any(c in digits for c in k) and not re.fullmatch("[0-9a-f]+", k)]
+    words = ["invoice", "region", "update", "customer", "report", "archive", "monthly", "north", "delivery", "summary"]
+    decoys = [rng.choice(("_", "-")).join([*rng.sample(words, 4), str(2000 + i % 25)]) for i in range(90)] + [f"{i:024d}abc" for i in range(60)] + ["ab12" * rng.randrange(8, 14) for _ in range(40)]
+    rows = [(i, f"We saw {k} in the file.", 1) for i, k in enumerate(keys + decoys)]
+    got = {r.doc_id: r.n for r in scan(frame(spark, rows)).select("doc_id", counted("spans", 3).alias("n")).collect()}
+    recall = sum(got[i] > 0 for i in range(len(keys))) / len(keys)
+    false = sum(got[i] > 0 for i in range(len(keys), len(rows))) / len(decoys)
+    print(f"random keys reported {recall:.3f}, decoys reported {false:.3f}")
+    assert recall >= 0.9 and false <= 0.1
