@@ -4,8 +4,10 @@ Elements (named by their path of tags and classes) of all pages of a host get an
 occurrence vector: how often each stands on every page.  Spark folds the vectors to sums of
 hashes, so elements with equal vectors form an equivalence class by equal sums.  Frequent classes
 of elements that stand once on their pages are the template; they nest by their paths.
-What lies between are its slots, and the slots whose text varies between pages hold the
-article: title, lead and body alike.  Tags and class names only take parts out (a class name if all its words
+What lies between are its slots.  Those whose text varies between pages are judged by their place: the deepest template
+element that holds nearly all varying, unlinked text is the article's region, and the slots below it stay.  A
+slot beside it stays if its text is each page's own, as a title's is (an advert's or a footer's comes back
+on other pages), or if it is inside an article element.  Tags and class names (`tags`) take parts out (a class name if all its words
 say so), and decide where pages are too few to tell.  A page of which no slot is left is its own template.
 """
 
@@ -25,6 +27,10 @@ from terrasol.llm.common import cut, small_batches, table
 
 #: share of a host's different pages on which a template class stands
 SUPPORT = 0.5
+#: share of a host's varying, unlinked characters that the article's region holds
+REGION = 0.8
+#: share of different texts from which on a slot's text is each page's own
+OWN = 0.95
 #: slots of all hosts that are broadcast (17 bytes each); beyond, pages are joined by host
 SLOTS = 1_000_000
 #: the same text on fewer pages does not take a slot out of an article element
@@ -95,14 +101,16 @@ def _name(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def _open(parent: Element, tag: str, attributes: str) -> Element:
+def _open(parent: Element, tag: str, attributes: str, tags: bool) -> Element:
     names = _attributes(attributes) if attributes and not attributes.isspace() else {}
     classes = names.get("class", "").lower().split()
     path = _name(f"{(parent if parent.depth < DEPTH else parent.at(DEPTH)).path}>{tag}" + "".join(f".{w}" for w in sorted(set(classes))))
     role = names.get("role", "").lower()
-    inside = parent.inside or tag in ("article", "main") or role == "main"
+    inside = tags and (parent.inside or tag in ("article", "main") or role == "main")
     out = parent.out
-    if tag in HEADINGS and parent.tag == "header" and parent.inside:
+    if not tags:
+        pass
+    elif tag in HEADINGS and parent.tag == "header" and parent.inside:
         out = False  # an article's own title
     elif tag in NOT_TEXT or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog"):
         out = True
@@ -113,8 +121,9 @@ def _open(parent: Element, tag: str, attributes: str) -> Element:
     return Element(tag, path, out, parent.linked or tag == "a", inside, parent)
 
 
-def blocks(html: str):
-    """Text blocks in page order, (text, element, linked characters), and how often each path opens."""
+def blocks(html: str, tags: bool = True):
+    """Text blocks in page order, (text, element, linked characters), and how often each path opens.  Without `tags`
+    no tag, role or class name says what is the article or not."""
     root = Element("", 0, False, False, False, None)
     stack, counts, found = [root], {}, []
     open_: dict[str, int] = {}
@@ -180,7 +189,7 @@ def blocks(html: str):
                     break
                 if stack[k].tag in BLOCK:
                     break
-        new = _open(stack[-1], tag, m[3])
+        new = _open(stack[-1], tag, m[3], tags)
         stack.append(new)
         open_[tag] = open_.get(tag, 0) + 1
         if tag in BLOCK:
@@ -194,37 +203,41 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
-def _occurrences(batches):
+def _occurrences(tags: bool):
     """(host, page, path, n, chars, linked, inside, text, above) of every page: how often a path opens, the
     unlinked and linked characters of the texts right in it, and their hash.  Path 0 is the page."""
-    for batch in batches:
-        rows = []
-        for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if not html:
-                continue
-            found, counts = blocks(html)
-            page = _name(html)
-            text: dict[int, list] = {}
-            for t, e, linked in found:
-                if not e.out:
-                    text.setdefault(e.path, []).append((t, e, min(linked, len(t))))
-            for path in {0} | counts.keys() | text.keys():
-                own = text.get(path, ())
-                links = sum(k for _, _, k in own)
-                rows.append((host, page, path, counts.get(path, 1), sum(len(t) for t, _, _ in own) - links, links, any(e.inside for _, e, _ in own), _name("\n".join(t for t, _, _ in own)) if own else 0, [0, *own[0][1].above()] if own else []))
-        columns = list(zip(*rows)) or [()] * 9
-        types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["host", "page", "path", "n", "chars", "linked", "inside", "text", "above"])
-
-
-def main_slots(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not html:
+                    continue
+                found, counts = blocks(html, tags)
+                page = _name(html)
+                text: dict[int, list] = {}
+                for t, e, linked in found:
+                    if not e.out:
+                        text.setdefault(e.path, []).append((t, e, min(linked, len(t))))
+                for path in {0} | counts.keys() | text.keys():
+                    own = text.get(path, ())
+                    links = sum(k for _, _, k in own)
+                    rows.append((host, page, path, counts.get(path, 1), sum(len(t) for t, _, _ in own) - links, links, any(e.inside for _, e, _ in own), _name("\n".join(t for t, _, _ in own)) if own else 0, [0, *own[0][1].above()] if own else []))
+            columns = list(zip(*rows)) or [()] * 9
+            types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["host", "page", "path", "n", "chars", "linked", "inside", "text", "above"])
+
+    return run
+
+
+def main_slots(pages: DataFrame, support: float = SUPPORT, tags: bool = True) -> DataFrame:
     """(host, slots, keeps): the template elements of a host that have text right in them, and whether that is
     of the article.
 
     pages: host, html.  Equal pages of a host count once.  All aggregations over pages have partial sums: a host with
     very many pages is no task of its own.
     """
-    seen = pages.mapInArrow(_occurrences, "host string, page bigint, path bigint, n int, chars bigint, linked bigint, inside boolean, text bigint, above array<bigint>")
+    seen = pages.mapInArrow(_occurrences(tags), "host string, page bigint, path bigint, n int, chars bigint, linked bigint, inside boolean, text bigint, above array<bigint>")
     once = seen.groupBy("host", "page", "path").agg(*(F.first(c).alias(c) for c in ("n", "chars", "linked", "inside", "text", "above")))
     # the occurrence vector of a path, folded to a sum of hashes over pages
     vectors = cut(
@@ -237,6 +250,7 @@ def main_slots(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
             F.max("inside").alias("inside"),
             F.min("text").alias("low"),
             F.max("text").alias("high"),
+            F.count_distinct("text").alias("different"),
             F.max("above").alias("above"),
         )
     )
@@ -244,27 +258,44 @@ def main_slots(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     pages_of = vectors.where("path = 0").select("host", F.col("support").alias("pages"))
     # an element's opening and closing make two tokens, so every class of a path is large enough
     template = classes.join(pages_of, "host").where((F.col("most") == 1) & (F.col("stands") >= support * F.col("pages"))).select("host", "pages", "stands", F.explode("paths").alias("slot"))
-    texts = vectors.where("chars + linked > 0").select("host", "path", "support", "chars", "linked", "inside", "low", "high", F.posexplode("above").alias("depth", "slot"))
-    values = ("slot", "pages", "stands", "support", "chars", "linked", "inside", "low", "high")
-    inner = texts.join(template, ["host", "slot"]).groupBy("host", "path").agg(F.max_by(F.struct(*values), "depth").alias("t")).select("host", "t.*")
+    texts = vectors.where("chars + linked > 0").select("host", "path", "support", "chars", "linked", "inside", "low", "high", "different", "above", F.posexplode("above").alias("depth", "slot"))
+    around = cut(texts.join(template, ["host", "slot"]))
+    values = ("slot", "pages", "stands", "support", "chars", "linked", "inside", "low", "high", "different", "above")
+    inner = around.groupBy("host", "path").agg(F.max_by(F.struct(*values), "depth").alias("t")).select("host", "path", "t.*")
     # a text that all pages of its slot share belongs to the template
     varies = (F.col("stands") == 1) | (F.col("support") < F.col("stands")) | (F.col("low") != F.col("high")) | (F.col("inside") & (F.col("stands") < FEW))
-    slots = inner.groupBy("host", "slot").agg(F.max("pages").alias("pages"), F.max(varies).alias("varies"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.max("inside").alias("inside"))
+    inner = inner.withColumn("varies", varies).withColumn("own", F.col("different") >= OWN * F.col("support"))
+    # the region: the deepest template element that holds nearly all of what varies and is not linked
+    plain = inner.where(F.col("varies") & (F.col("linked") <= F.col("chars"))).select("host", "path")
+    held = around.join(plain, ["host", "path"]).groupBy("host", "slot").agg(F.sum("chars").alias("held"), F.min("depth").alias("depth"))
+    total = held.where("slot = 0").select("host", F.col("held").alias("total"))
+    region = held.join(total, "host").where(F.col("held") >= REGION * F.col("total")).groupBy("host").agg(F.max_by("slot", "depth").alias("region"))
+    placed = inner.join(region, "host", "left").withColumn("below", F.coalesce(F.array_contains("above", F.col("region")), F.lit(True)))
+    slots = placed.groupBy("host", "slot").agg(
+        F.max("pages").alias("pages"),
+        F.max("varies").alias("varies"),
+        F.sum("chars").alias("chars"),
+        F.sum("linked").alias("linked"),
+        F.max("inside").alias("inside"),
+        F.max("below").alias("below"),
+        F.min(F.when(F.col("varies"), F.col("own"))).alias("own"),
+    )
+    stays = F.col("varies") & (F.col("inside") | ((F.col("below") | F.col("own")) & (F.col("linked") <= F.col("chars"))))
     of_host = slots.groupBy("host").agg(
         F.max("pages").alias("pages"),
         F.sum(F.when(F.col("inside"), F.col("chars")).otherwise(0)).alias("within"),
         F.sum(F.when(F.col("inside"), 0).otherwise(F.col("chars"))).alias("around"),
-        F.collect_list(F.struct("slot", "inside", (F.col("varies") & (F.col("inside") | (F.col("linked") <= F.col("chars")))).alias("keep"))).alias("s"),
+        F.collect_list(F.struct("slot", "inside", F.coalesce(stays, F.lit(False)).alias("keep"))).alias("s"),
     )
     # on a single page nothing can vary: an article element decides
-    tags = (F.col("pages") == 1) & (F.col("within") > 0) & (F.col("within") * 4 >= F.col("around"))
-    return of_host.select("host", F.col("s.slot").alias("slots"), F.when(tags, F.col("s.inside")).otherwise(F.col("s.keep")).alias("keeps"))
+    alone = (F.col("pages") == 1) & (F.col("within") > 0) & (F.col("within") * 4 >= F.col("around"))
+    return of_host.select("host", F.col("s.slot").alias("slots"), F.when(alone, F.col("s.inside")).otherwise(F.col("s.keep")).alias("keeps"))
 
 
-def _article(html: str | None, slots: dict[int, bool]) -> str:
+def _article(html: str | None, slots: dict[int, bool], tags: bool = True) -> str:
     if not html:
         return ""
-    texts = [(t, e, k) for t, e, k in blocks(html)[0] if not e.out]
+    texts = [(t, e, k) for t, e, k in blocks(html, tags)[0] if not e.out]
     chosen = [x for x in texts if slots.get(next((p for p in reversed(x[1].above()) if p in slots), 0), False)]
     if chosen:
         return "\n\n".join(t for t, _, _ in chosen)
@@ -276,7 +307,7 @@ def _article(html: str | None, slots: dict[int, bool]) -> str:
     return "\n\n".join(t for t, e, k in chosen if k * 2 <= len(t) or e.inside or e.tag in HEADINGS or e.tag == "p")
 
 
-def _extract(slots):
+def _extract(slots, tags):
     def run(batches):
         names, bounds, paths, keeps = slots.value if slots is not None else (None,) * 4
         for batch in batches:
@@ -289,33 +320,34 @@ def _extract(slots):
                     j = int(np.searchsorted(names, h))
                     a, b = (bounds[j], bounds[j + 1]) if j < len(names) and names[j] == h else (0, 0)
                     given.append(dict(zip(paths[a:b].tolist(), keeps[a:b].tolist())))
-            texts = [_article(h, s) for h, s in zip(batch.column("_html").to_pylist(), given)]
+            texts = [_article(h, s, tags) for h, s in zip(batch.column("_html").to_pylist(), given)]
             yield pa.RecordBatch.from_arrays([batch.column("_rest"), pa.array(texts, pa.string())], ["_rest", "text"])
 
     return run
 
 
-def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", support: float = SUPPORT, to: str = "text") -> DataFrame:
+def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", support: float = SUPPORT, to: str = "text", tags: bool = True) -> DataFrame:
     """The input's rows without the html, and `text` (or another name, `to`): the article's blocks joined by two \\n.
-    An input column of that name gives way to it.
+    An input column of that name gives way to it.  Without `tags` the templates alone decide.
 
     A null html is empty and has no text; a null url belongs to the empty host; repeated rows
-    stay; equal pages do not vote twice; an empty table gives an empty result.
+    stay; equal pages do not vote twice; ties of depth cannot be (a path has one); a very long page is
+    handled whole in one task; an empty table gives an empty result.
     """
     spark = pages.sparkSession
     small_batches(spark)
     rest = [c for c in pages.columns if c not in (html_col, to)]
     rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_rest"), host_of(F.col(url_col)).alias("_host"), F.col(html_col).alias("_html"))
-    slots = cut(main_slots(rows.select(F.col("_host").alias("host"), F.col("_html").alias("html")), support))
+    slots = cut(main_slots(rows.select(F.col("_host").alias("host"), F.col("_html").alias("html")), support, tags))
     schema = T.StructType([rows.schema["_rest"], T.StructField("text", T.StringType())])
     if (slots.agg(F.sum(F.size("slots"))).first()[0] or 0) <= SLOTS:
         got = slots.collect()
         got = sorted(((_name(r["host"]), r["slots"], r["keeps"]) for r in got), key=lambda x: x[0])
         bounds = np.cumsum([0] + [len(x[1]) for x in got])
         shared = spark.sparkContext.broadcast((np.array([x[0] for x in got], np.int64), bounds, np.array([p for x in got for p in x[1]], np.int64), np.array([k for x in got for k in x[2]], bool)))
-        out = rows.mapInArrow(_extract(shared), schema)
+        out = rows.mapInArrow(_extract(shared, tags), schema)
     else:
-        out = rows.join(slots.select(F.col("host").alias("_host"), F.col("slots").alias("_slots"), F.col("keeps").alias("_keeps")), "_host", "left").mapInArrow(_extract(None), schema)
+        out = rows.join(slots.select(F.col("host").alias("_host"), F.col("slots").alias("_slots"), F.col("keeps").alias("_keeps")), "_host", "left").mapInArrow(_extract(None, tags), schema)
     return out.select(*(F.col(f"_rest.`{c}`").alias(c) for c in rest), F.col("text").alias(to))
 
 

@@ -1,4 +1,7 @@
-from terrasol.llm.html_text import blocks, extract, op4_html_text
+from collections import Counter, defaultdict
+
+from terrasol.llm import html_text as H
+from terrasol.llm.html_text import blocks, extract, main_slots, op4_html_text
 from tests.conftest import DATA
 
 PAGE = """<!DOCTYPE html><html><head><title>T{n}</title><script>var t="</p>";</script><style>p{{}}</style></head><body class="has-sidebar">
@@ -80,3 +83,77 @@ def test_a_column_called_as_the_result_gives_way(spark):
     rows = spark.createDataFrame([(1, "http://h/", "<p>one", "old")], "page_id long, url string, html string, text string")
     assert [tuple(r) for r in extract(rows).select("page_id", "text").collect()] == [(1, "one")]
     assert [tuple(r) for r in extract(rows, to="article").select("text", "article").collect()] == [("old", "one")]
+
+
+def slots_of(pages, tags=True):
+    """Classes, slots and region of one host's different pages by their definition, on whole occurrence vectors."""
+    pages = sorted({p for p in pages if p})
+    vector, own, above = defaultdict(lambda: [0] * len(pages)), defaultdict(dict), {}
+    for k, html in enumerate(pages):
+        found, counts = blocks(html, tags)
+        vector[0][k] = 1
+        for path, n in counts.items():
+            vector[path][k] = n
+        for text, e, linked in found:
+            if not e.out:
+                vector[e.path][k] = vector[e.path][k] or 1
+                own[e.path].setdefault(k, []).append((text, min(linked, len(text)), e.inside))
+                above[e.path] = [0, *e.above()]
+    stands = {p: sum(n > 0 for n in v) for p, v in vector.items()}
+    template = {p for p, v in vector.items() if max(v) == 1 and stands[p] >= H.SUPPORT * len(pages)}
+    facts = {}
+    for path, texts in own.items():
+        slot = next(p for p in reversed(above[path]) if p in template)
+        joined = [tuple(t for t, _, _ in texts[k]) if k in texts else () for k in range(len(pages)) if vector[path][k]]
+        inside = any(i for x in texts.values() for _, _, i in x)
+        linked = sum(k for x in texts.values() for _, k, _ in x)
+        chars = sum(len(t) for x in texts.values() for t, _, _ in x) - linked
+        varies = stands[slot] == 1 or stands[path] < stands[slot] or len(set(joined)) > 1 or inside and stands[slot] < H.FEW
+        facts[path] = (slot, chars, linked, inside, varies, len(set(joined)) >= H.OWN * stands[path])
+    held = Counter()
+    for path, (_, chars, linked, _, varies, _) in facts.items():
+        if varies and linked <= chars:
+            held.update({p: chars for p in above[path] if p in template})
+    depth = {p: d for a in above.values() for d, p in enumerate(a)}
+    region = max((p for p in held if held[p] >= H.REGION * held[0]), key=depth.get, default=0)
+    keep = {}
+    for slot in {f[0] for f in facts.values()}:
+        of = [(p, f) for p, f in facts.items() if f[0] == slot]
+        moves = [f[5] for _, f in of if f[4]]
+        placed = any(region in above[p] for p, _ in of) or bool(moves) and all(moves)
+        few_links = sum(f[2] for _, f in of) <= sum(f[1] for _, f in of)
+        keep[slot] = bool(moves) and (any(f[3] for _, f in of) or placed and few_links)
+    return keep
+
+
+def test_slots_equal_the_definition_on_whole_vectors(spark):
+    rows = spark.read.parquet(f"{DATA}/sf0.01/pages.parquet").select(H.host_of("url").alias("host"), "html").collect()
+    hosts = defaultdict(list)
+    for r in rows:
+        hosts[r.host].append(r.html)
+    chosen = sorted((h for h in hosts if len(hosts[h]) > 3), key=lambda h: (-len(hosts[h]), h))[:12]
+    extra = '<html><body><div class="strip">Skip</div><div class="g{g}"><h1>Title {n}</h1><div class="lead">Lead {n}</div><div class="body"><p>First {n} and more of it here<p>Second {n}</div></div><div class="foot">{m} of us</div></body></html>'
+    hosts["extra"] = [extra.format(n=n, m=n % 3, g=n % 8 == 0) for n in range(40)] + [""]
+    data = spark.createDataFrame([(h, p) for h in (*chosen, "extra") for p in hosts[h] * 2], "host string, html string").repartition(3)
+    for tags in (True, False):
+        got = {r["host"]: dict(zip(r["slots"], r["keeps"])) for r in main_slots(data, tags=tags).collect()}
+        want = {h: slots_of(hosts[h], tags) for h in (*chosen, "extra")}
+        assert got == want and any(k for s in want.values() for k in s.values()) and not all(k for s in want.values() for k in s.values())
+
+
+def test_templates_alone(spark):
+    """Without tags, roles, class names and article elements: 2,457 of 2,500 pages equal, 0.09 % of characters too many."""
+    pages = spark.read.parquet(f"{DATA}/sf0.1/pages.parquet")
+    want = {r.page_id: r.text for r in op4_html_text(spark, f"{DATA}/sf0.1").collect()}
+    got = {r.page_id: r.text for r in extract(pages, tags=False).select("page_id", "text").collect()}
+    assert sum(got[k] == t for k, t in want.items()) > 0.95 * len(want)
+    assert sum(max(0, len(got[k]) - len(t)) for k, t in want.items()) < 0.002 * sum(map(len, want.values()))
+    assert all(len(got[k]) >= len(t) for k, t in want.items())
+
+
+def test_notices_beside_an_article_of_plain_elements(spark):
+    first, more = "Text {n} of this page, " + "long enough to weigh much more than all that stands around it, " * 3 + "and on", "More {n} of it, and some words"
+    page = '<html><body><div class="q1">Buy {m} now, cheap</div><div class="q2"><h2>Title {n}</h2><div class="q3"><p>' + first + "</p><p>" + more + '</p></div></div><div class="q4">Printed in {m} towns</div></body></html>'
+    rows = [(i, "https://h.example/a", page.format(n=i, m=i % 4)) for i in range(24)]
+    got = {r.page_id: r.text for r in extract(frame(spark, rows)).collect()}
+    assert got == {i: f"Title {i}\n\n{first.format(n=i)}\n\n{more.format(n=i)}" for i in range(24)}
