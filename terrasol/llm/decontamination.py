@@ -20,7 +20,8 @@ from terrasol.llm.common import cut, small_batches, table
 
 #: words of a window; an item of fewer words is one window
 WINDOW = 13
-#: pairs of a document's positions and items' windows looked at together
+#: pairs of a document's positions and items' windows looked at one by one; where there are more, as in repeats, the
+#: longest match comes from a full suffix array of the document and the items found
 PAIRS = 1 << 18
 #: text bytes of the benchmark that go to the tasks at once
 BLOCK_BYTES = 4 << 20
@@ -143,11 +144,61 @@ def _shard(raw: np.ndarray, offsets: np.ndarray, tests: TestSuffixes) -> list[di
     return out
 
 
+def _longest_ranked(ids: np.ndarray, found: np.ndarray, tests: TestSuffixes) -> dict:
+    """The longest match of a document's word numbers with the items `found`, from the full suffix array of both: the match
+    of a suffix is longest with the item suffix next before or after it, so repeats cost no pairs."""
+    parts, origin, n_doc = [ids], [np.full(len(ids) + 1, -1)], len(ids)
+    for i in found:
+        first, end = int(tests.item_first[i]), int(tests.item_end[i])
+        parts.append(tests.ids[first:end])
+        origin.append(np.append(np.arange(first, end), -1))
+    # a mark of its own ends each part, so no match runs across
+    top = int(max(len(tests.words), ids.max(initial=0))) + 1
+    text = np.concatenate([np.append(p, top + k) for k, p in enumerate(parts)])
+    origin, n = np.concatenate(origin), len(text)
+    # ranks of the first 2^k words, until all suffixes differ
+    rank = np.unique(text, return_inverse=True)[1]
+    ranks = [rank.astype(np.int32)]
+    while ranks[-1].max() + 1 < n:
+        step = 1 << len(ranks) - 1
+        after = np.zeros(n, np.int64)
+        after[: n - step] = ranks[-1][step:] + 1
+        ranks.append(np.unique(ranks[-1] * np.int64(n + 1) + after, return_inverse=True)[1].astype(np.int32))
+
+    def common(a, b):
+        size, a, b = np.zeros(len(a), np.int64), a.copy(), b.copy()
+        for k in range(len(ranks) - 1, -1, -1):
+            inside = np.flatnonzero((a < n) & (b < n))
+            same = inside[ranks[k][a[inside]] == ranks[k][b[inside]]]
+            for v in (size, a, b):
+                v[same] += 1 << k
+        return size
+
+    order = np.argsort(ranks[-1])
+    ours, theirs = np.flatnonzero(order < n_doc), np.flatnonzero(origin[order] >= 0)
+    next_ = np.searchsorted(theirs, ours)
+    size = np.zeros(n_doc, np.int64)
+    for near, there in ((next_ - 1, next_ > 0), (next_, next_ < len(theirs))):
+        x = order[ours[there]]
+        size[x] = np.maximum(size[x], common(x, order[theirs[near[there]]]))
+    at = int(size.argmax())  # the first of the longest
+    places = np.flatnonzero(origin >= 0)
+    same = origin[places[common(np.full(len(places), at), places) >= size[at]]]
+    item = np.searchsorted(tests.item_end[found], same, "right")
+    some = min((tests.item_ids[found[i]], int(y - tests.item_first[found[i]])) for i, y in zip(item.tolist(), same.tolist()))
+    return {"longest": int(size[at]), "longest_at": at, "longest_item": some[0], "item_at": some[1]}
+
+
 def _longest(ids, begin, stop, pos, key, tests) -> dict:
     """The longest verbatim match of a document (from `begin` to `stop`) over all items that hold a found window; ties go
     to the first place in the document, then to the least item and its first place."""
     best = None
     held = tests.key_at[key + 1] - tests.key_at[key]
+    if held.sum() > PAIRS and (tests.key_length[key] == tests.window).any():
+        windows = np.unique(key)
+        n = tests.key_at[windows + 1] - tests.key_at[windows]
+        w = tests.by_key[np.repeat(tests.key_at[windows] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        return _longest_ranked(ids[begin:stop], np.unique(tests.item[w]), tests)
     k = 0
     while k < len(pos):  # pairs of a position and an item's window, a bounded number at a time
         upto = max(k + 1, int(np.searchsorted(np.cumsum(held[k:]), PAIRS, "right")) + k)

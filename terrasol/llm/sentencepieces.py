@@ -390,7 +390,7 @@ class _Shared:
     """A broadcast model with a name of its own."""
 
     def __init__(self, spark, model: dict):
-        self.id, self.sent = hash((len(model["pieces"]), tuple(model["pieces"][-50:]), tuple(model["scores"][-50:]))), spark.sparkContext.broadcast(model)
+        self.id, self.sent = hash(tuple(map(tuple, (model["pieces"], model["scores"], model["kinds"])))), spark.sparkContext.broadcast(model)
 
     @property
     def value(self):

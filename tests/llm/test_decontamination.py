@@ -2,7 +2,10 @@ import random
 import re
 
 import duckdb
+import pyarrow as pa
 
+from terrasol.llm import decontamination as D
+from terrasol.llm import words as W
 from terrasol.llm.decontamination import OP2_SQL, judged, match, op2_decontamination
 from tests.conftest import DATA
 
@@ -89,3 +92,24 @@ def test_query_equals_its_sql(spark):
     names = sorted(got.columns)
     want = duck.sql(f"select {', '.join(names)} from ({OP2_SQL})").fetchall()
     assert sorted(map(tuple, got.select(*names).collect()), key=str) == sorted(want, key=str)
+
+
+def longest(items, texts):
+    raw, offsets = W.utf8(pa.array(texts))
+    return [tuple(r[k] for k in ("longest", "longest_at", "longest_item", "item_at")) for r in D._shard(raw, offsets, D.TestSuffixes(items, D.WINDOW))]
+
+
+def test_ranked_longest_match_equals_the_pairs(monkeypatch):
+    rng = random.Random(5)
+    items = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(14, 60)))) for i in (7, 3, 11, 5)] + [(1, "a a a a"), (2, " ".join("ab" * 12)), (4, " ".join("ab" * 12))]
+    texts = [" ".join(rng.choice("aaabbb.") for _ in range(rng.randrange(1, 200))) + " end " + rng.choice(items)[1] for _ in range(80)]
+    texts += ["a " * 50, "a a a a", "b", ""]
+    pairs = longest(items, texts)
+    monkeypatch.setattr(D, "PAIRS", 0)
+    assert longest(items, texts) == pairs and len({p[0] for p in pairs}) > 10
+
+
+def test_a_word_repeated_on_both_sides():
+    """40,000 times the same word in item and document: 1.6 billion pairs, none of which is looked at."""
+    items = [(1, "the " * 30_000 + "end"), (2, "so " + "the " * 40_000)]
+    assert longest(items, ["x " + "the " * 40_000, "the " * 30_000 + "end"]) == [(40_000, 1, 2, 1), (30_001, 0, 1, 0)]
