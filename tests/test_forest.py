@@ -3,6 +3,7 @@
 import hashlib
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +64,31 @@ def test_bags_votes_and_importance(spark, points):
     assert importance["x"] > 0.2 and abs(importance["noise"]) < 0.05
     again = T.train_bagged(points.repartition(5), ["x", "noise"], trees=12, depth=4)
     assert {(r.key, r.votes) for r in T.oob_votes(again, points).collect()} == {(r.key, r.votes) for r in votes}
+
+
+def test_all_trees_share_their_passes(spark, points):
+    def jobs(trees):
+        spark.sparkContext.setJobGroup(f"trees{trees}", "")
+        T.train_bagged(points, ["x", "noise"], trees=trees, depth=3)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"trees{trees}"))
+
+    few, many = jobs(2), jobs(10)
+    spark.sparkContext._jsc.clearJobGroup()
+    assert many <= few + 6  # a tree may have a level more, never jobs of its own
+
+
+def test_bagged_trees_split_where_the_gain_is_greatest(spark):
+    rows = [(i, int(i * 37 % 60 > 40) if i % 9 else 1, float(i * 37 % 60 // 6)) for i in range(300)]
+    forest = T.train_bagged(spark.createDataFrame(rows, "key int, label int, x double"), ["x"], trees=5, depth=1)
+    draws = T.bag_draws([str(r[0]) for r in rows], np.array([r[1] for r in rows]), 5, forest.limits, 42)
+    df = spark.createDataFrame(rows, "key int, label int, x double")
+    asked = df.select("key", F.array(*(T.times_drawn(F.col("key"), F.col("label"), t, forest.limits) for t in range(5))).alias("d")).orderBy("key").collect()
+    assert [list(r.d) for r in asked] == draws.tolist()
+    gini = lambda some: 2 * sum(w for w, y in some if y) * sum(w for w, y in some if not y) / max(sum(w for w, _ in some), 1)
+    for t in range(5):
+        bag = [(int(d[t]), r[1], r[2]) for d, r in zip(draws, rows)]
+        loss = {b: gini([(w, y) for w, y, x in bag if x <= b]) + gini([(w, y) for w, y, x in bag if x > b]) for b in range(9)}
+        best = min(loss, key=loss.get)
+        assert forest.split[t, 0] == 0 and forest.bounds[0][forest.upto[t, 0]] == best
+        left = [(w, y) for w, y, x in bag if x <= best]
+        assert abs(forest.p[t, 1] - sum(w for w, y in left if y) / sum(w for w, _ in left)) < 1e-12
