@@ -15,7 +15,7 @@ JOINED = 1 << 20
 
 
 def _stars(batches):
-    """(a, b): for each component of a task's edges its smallest node a, with every other node b."""
+    """(a, b): for each component of a task's edges its smallest node a, with every node b, itself included."""
     parts = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
     if not parts:
         return
@@ -30,23 +30,44 @@ def _stars(batches):
         np.minimum.at(label, high[apart], low[apart])
         while (label[label] != label).any():
             label = label[label]
-    inner = np.flatnonzero(label != np.arange(len(nodes)))
-    yield pa.RecordBatch.from_arrays([pa.array(nodes[label[inner]]), pa.array(nodes[inner])], ["a", "b"])
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[label]), pa.array(nodes)], ["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) with the smallest node of each component, for the nodes of edges (a, b).
 
-    Tasks of about JOINED edges replace these by the stars of what they join; for a small graph that is all.  In a larger one
-    every round hooks each node's label onto the least label around it and then jumps the pointers
-    (label of the label), so the number of rounds grows with the logarithm of a component's
-    diameter.  A round is cut to the shared folder; sums of labels tell when nothing moves."""
-    edges = cut(edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).where("a <> b"))
-    tasks = -(-edges.count() // JOINED)
-    edges = cut(edges.coalesce(max(1, tasks)).mapInArrow(_stars, "a bigint, b bigint"))
+    Edges are dealt by ranges of their lesser node to tasks of about JOINED edges, which replace them by the stars of what they
+    join; for a small graph that is all.  Where numbers are places, as those of cells are, few nodes are in the stars of
+    several tasks.  Such a node ties the stars' centres together, and the graph of these ties, where it is much smaller, is
+    joined the same way; else by rounds that hook each node's label onto the least label around it and jump the pointers."""
+    edges = cut(edges.select(F.least("a", "b").cast("bigint").alias("a"), F.greatest("a", "b").cast("bigint").alias("b")).where("a <> b"))
+    return _joined(edges, edges.count())
+
+
+def _joined(edges: DataFrame, count: int) -> DataFrame:
+    tasks = -(-count // JOINED)
     if tasks <= 1:
-        return edges.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+        return edges.coalesce(1).mapInArrow(_stars, "a bigint, b bigint").select(F.col("b").alias("node"), F.col("a").alias("label"))
+    stars = cut(edges.repartitionByRange(tasks, "a", "b").mapInArrow(_stars, "a bigint, b bigint"))
+    ends = stars.groupBy("b").agg(F.min("a").alias("low"), F.max("a").alias("high"), F.count("*").alias("_n"))
+    ends = cut(ends)
+    # of a node in three tasks or more, all centres are tied to the least one
+    several = ends.where("_n > 2").select("b", "low")
+    ties = ends.where("_n = 2 AND low <> high").select(F.col("low").alias("a"), F.col("high").alias("b"))
+    ties = cut(ties.unionByName(stars.join(several.hint("merge"), "b").where("a <> low").select(F.col("low").alias("a"), F.col("a").alias("b"))).distinct())
+    left = ties.count()
+    named = ends.select(F.col("b").alias("node"), F.col("low").alias("centre"))
+    if not left:
+        return named.withColumnRenamed("centre", "label")
+    met = cut(_joined(ties, left) if left <= max(JOINED, count // 4) else _rounds(ties))
+    found = named.join(met.select(F.col("node").alias("centre"), "label").hint("merge"), "centre", "left")
+    return found.select("node", F.coalesce("label", "centre").alias("label"))
+
+
+def _rounds(edges: DataFrame) -> DataFrame:
+    """components() by hooking and pointer jumping (label of the label), for graphs of any kind: the number of rounds grows with the
+    logarithm of a component's diameter.  A round is cut to the shared folder; sums of labels tell when nothing moves."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = cut(both)
     labels = cut(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
     total = None

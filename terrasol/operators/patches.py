@@ -48,7 +48,7 @@ def label_runs(cells: DataFrame, band: str, ncols: int, neighbours: int = 8, by:
     With `by`, node numbers carry the group's number in their high digits, so all groups go through
     one labelling."""
     by = tuple(dict.fromkeys((*grids(cells), *by)))
-    r = runs(cells, band, ncols, by)
+    r = cut(runs(cells, band, ncols, by))
     edges = run_edges(r, 1 if neighbours == 8 else 0, by)
     if not by:
         found = components(edges)

@@ -14,6 +14,7 @@ from terrasol.operators import landscape as L
 from terrasol.operators import patches as P
 from terrasol.operators import windows as V
 from terrasol.operators import zonal as Z
+from terrasol.operators import components as components_module
 from terrasol.operators.components import components
 from terrasol.sources import cells as C
 
@@ -101,6 +102,23 @@ def test_labels_match_flood_fill(spark):
         assert got == label
 
 
+@pytest.mark.parametrize("local", [True, False])
+def test_components_over_many_tasks(spark, monkeypatch, local):
+    monkeypatch.setattr(components_module, "JOINED", 16)
+    rounds = []
+    monkeypatch.setattr(components_module, "_rounds", lambda edges, f=components_module._rounds: rounds.append(1) or f(edges))
+    pairs = [(i, i + 1) for i in range(600) if i % 20] if local else [(i * 7919 % 601, (i + 1) * 7919 % 601) for i in range(600) if i % 50]
+    got = {r.node: r.label for r in components(spark.createDataFrame(pairs, "a int, b int").repartition(5)).collect()}
+    want = {n: n for p in pairs for n in p}
+    for _ in want:
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+        if all(want[a] == want[b] for a, b in pairs):
+            break
+    assert got == want
+    assert bool(rounds) != local  # numbers that are places need no rounds
+
+
 def test_chain_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
     got = {r.node: r.label for r in components(edges).collect()}
