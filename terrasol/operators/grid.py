@@ -95,15 +95,28 @@ def mask_by_raster(cells: DataFrame, mask: DataFrame, zone: str, bands: list[str
     return joined.select(*(F.when(F.col("_zone").isNull() | (F.col("_zone") != value), F.col(c)).alias(c) if c in bands else F.col(c) for c in cells.columns))
 
 
+#: names of tiles up to which a bit map (2 bytes a name) is sent to the tasks
+NAMES = 1 << 20
+
+
 def match_tile_image(tiles: DataFrame, images: DataFrame) -> DataFrame:
     """(name, path): the first image by path that contains the tile's name literally; NULL if none.
 
     Paths are entered in an inverted index under all their parts that are as long as some name, so that names meet them by
-    equality, whatever the number of either; the lengths of names are few.  An empty name is in every path."""
+    equality, whatever the number of either; the lengths of names are few.  Parts whose hash no name has (told by a bit map of
+    16 bits for each name, up to NAMES names) are left out before the shuffle.  An empty name is in every path."""
     lengths = [r[0] for r in tiles.select(F.char_length("name").alias("n")).where("n > 0").distinct().collect()]
     starts = lambda n: F.when(F.char_length("path") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("path") - (n - 1), F.lit(1))), lambda i: F.substr(F.col("path"), i, F.lit(n))))
     parts = F.flatten(F.array_compact(F.array(*(starts(n) for n in lengths)))) if lengths else F.expr("cast(array() as array<string>)")
-    index = images.select("path").distinct().select("path", F.explode(F.array_distinct(parts)).alias("name")).groupBy("name").agg(F.min("path").alias("path"))
+    entered = images.select("path").distinct().select("path", F.explode(F.array_distinct(parts)).alias("name"))
+    names = tiles.select("name").distinct()
+    n = names.count()
+    if n <= NAMES:
+        hashed = f"pmod(xxhash64(name), {max(64, 16 * n)}L)"
+        word, bit = F.expr(f"shiftright({hashed}, 6)"), F.expr(f"shiftleft(1L, cast({hashed} % 64 as int))")
+        bits = names.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+        entered = entered.withColumn("_word", word).join(F.broadcast(bits), "_word").where(F.col("_bits").bitwiseAND(bit) != 0).select("path", "name")
+    index = entered.groupBy("name").agg(F.min("path").alias("path"))
     anything = images.agg(F.min("path").alias("_least"))
     found = tiles.select("name").join(index, "name", "left").crossJoin(F.broadcast(anything))
     return found.select("name", F.when(F.col("name") == "", F.col("_least")).otherwise(F.col("path")).alias("path"))

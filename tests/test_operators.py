@@ -262,3 +262,27 @@ def test_empty_tables(spark):
     e = raster(spark, [[1.0]]).limit(0)
     for out in (N.slope(e, "z"), N.focal_mean(e, "z"), N.focal_sd(e, "z"), N.slope_with_edges(e, "z"), P.label_patches(e, "z", 10), G.mosaic_mean([e, e], ["z"]), V.overlap_windows(e, 4, 2), Z.zone_sizes(e, "z"), A.minmax_scale(e, ["z"])):
         assert out.count() == 0
+
+
+def test_mode_of_any_values_against_loops(spark):
+    draw = random.Random(4)
+    rows = [(r, c, draw.choice([None, "b", "é", "a", "aa"])) for r in range(9) for c in range(7) if (r, c) != (4, 4)]
+    known = {(r, c): v for r, c, v in rows}
+    df = spark.createDataFrame(rows, "row int, col int, v string")
+    got = {(r.row, r.col): r["mode"] for r in N.mode_filter(df, "v", 1, size=4).collect()}
+    for (r, c), mode in got.items():
+        near = [known.get((r + a, c + b)) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+        near = [v for v in near if v is not None]
+        assert mode == (min(set(near), key=lambda v: (-near.count(v), v.encode())) if near else None)
+    assert got.keys() == known.keys()
+    # no cell is copied to each of its neighbours
+    plan = N.mode_filter(df, "v", 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+
+
+def test_only_parts_that_may_be_names_are_shuffled(spark):
+    tiles = spark.createDataFrame([("T01",), ("T02",), ("",), ("none",)], "name string")
+    images = spark.createDataFrame([(f"/data/T{i % 3:02d}/image_{i:05d}.tif",) for i in range(300)], "path string")
+    found = G.match_tile_image(tiles, images)
+    assert {r.name: r.path for r in found.collect()} == {"T01": "/data/T01/image_00001.tif", "T02": "/data/T02/image_00002.tif", "": "/data/T00/image_00000.tif", "none": None}
+    assert "_bits" in found._jdf.queryExecution().optimizedPlan().toString()
