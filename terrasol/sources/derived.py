@@ -22,7 +22,8 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     elev = F.lit(100000) - 400 * F.floor(k / 800) - 5 * (F.floor(k / 100) % 8) - F.when(k % WIDTH % 17 == 0, 300).otherwise(0) + F.round(F.col("o_totalprice") * 100).cast("bigint") % 161
     zone = F.floor((F.floor(k / 100) + 2) / 4) * 1000 + F.floor(k % 100 / 4)
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
-    return orders.join(li, F.col("l_orderkey") == k, "left").select(row.alias("row"), col.alias("col"), elev.cast("bigint").alias("elev_cm"), "nir", "red", "label", zone.cast("bigint").alias("zone_id"))
+    # both sides grow with the input: none is sent to all tasks by way of the driver
+    return orders.join(li.hint("merge"), F.col("l_orderkey") == k, "left").select(row.alias("row"), col.alias("col"), elev.cast("bigint").alias("elev_cm"), "nir", "red", "label", zone.cast("bigint").alias("zone_id"))
 
 
 CELLS_SQL = """li AS (SELECT l_orderkey, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS nir, CAST(SUM(CAST(ROUND(l_discount * 100) AS BIGINT)) AS BIGINT) AS red,
