@@ -44,17 +44,18 @@ def by_block(cells: DataFrame, bands: list[str], halo: int, made: dict[str, Call
     def run(data: pa.Table) -> pa.Table:
         r0, c0 = data["block_row"][0].as_py() * size - halo, data["block_col"][0].as_py() * size - halo
         row, col = data["row"].to_numpy() - r0, data["col"].to_numpy() - c0
-        side = size + 2 * halo
+        # only the rectangle that holds the block's cells: a narrow grid fills a small part of its blocks
+        up, left = row.min(), col.min()
         grids: dict = {}
         for b in bands:
-            grids[b] = np.full((side, side), np.nan)
-            grids[b][row, col] = data[b].combine_chunks().cast(pa.float64()).to_numpy(zero_copy_only=False)
+            grids[b] = np.full((row.max() - up + 1, col.max() - left + 1), np.nan)
+            grids[b][row - up, col - left] = data[b].combine_chunks().cast(pa.float64()).to_numpy(zero_copy_only=False)
         core = (row >= halo) & (row < halo + size) & (col >= halo) & (col < halo + size)
         row, col = row[core], col[core]
         out = {c: pa.chunked_array([data[c].combine_chunks().filter(pa.array(core))]) for c in by}
         out |= {"row": pa.array(row + r0, pa.int32()), "col": pa.array(col + c0, pa.int32())}
         for name, f in made.items():
-            out[name] = pa.array(f(grids)[row, col], pa.float64(), from_pandas=True)
+            out[name] = pa.array(f(grids)[row - up, col - left], pa.float64(), from_pandas=True)
         return pa.table(out)
 
     blocks = to_blocks(cells.select(*place(cells), *bands), size, halo)

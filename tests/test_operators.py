@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from terrasol.operators import patches as P
 from terrasol.operators import windows as V
 from terrasol.operators import zonal as Z
 from terrasol.operators import components as components_module
+from terrasol.operators.blocks import by_block
 from terrasol.operators.components import components
 from terrasol.sources import cells as C
 
@@ -286,3 +288,9 @@ def test_only_parts_that_may_be_names_are_shuffled(spark):
     found = G.match_tile_image(tiles, images)
     assert {r.name: r.path for r in found.collect()} == {"T01": "/data/T01/image_00001.tif", "T02": "/data/T02/image_00002.tif", "": "/data/T00/image_00000.tif", "none": None}
     assert "_bits" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_hold_no_more_than_their_cells(spark):
+    narrow = spark.createDataFrame([(r, c, 1.0) for r in range(30) for c in range(3)], "row int, col int, v double")
+    got = by_block(narrow, ["v"], 2, {"area": lambda g: np.full(g["v"].shape, float(g["v"].size))}, size=512)
+    assert {r.area for r in got.collect()} == {90.0}
