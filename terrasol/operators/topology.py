@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from terrasol.sources.store import cut
 
 #: corners of an arc that one task weighs; a longer arc is cut there, and the cuts stay
 PIECE = 1 << 16
+#: corners of lines that are weighed many at a time, and about so many corners go to one task
+SHORT, TOGETHER = 64, 1 << 17
 
 
 def following(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,6 +67,43 @@ def effective_areas(x: np.ndarray, y: np.ndarray, floor: int = 0) -> np.ndarray:
     return out
 
 
+def many_areas(x: np.ndarray, y: np.ndarray, first: np.ndarray, floor: np.ndarray) -> np.ndarray:
+    """effective_areas() of many open lines, which begin at the places `first`, each with its floor.  Short lines of the same size and
+    floor go together, one corner of each at a time."""
+    size = np.diff(np.append(first, len(x)))
+    out = np.full(len(x), np.inf)
+    for i in np.flatnonzero(size > SHORT):
+        own = slice(first[i], first[i] + size[i])
+        out[own] = effective_areas(x[own], y[own], floor[i])
+    kinds, kind = np.unique(np.stack([size, floor]), axis=1, return_inverse=True)
+    kind = kind.ravel()
+    for j, (n, least) in enumerate(kinds.T.tolist()):
+        if n < 3 or n > SHORT:
+            continue
+        at = first[kind == j][:, None] + np.arange(n)
+        px, py, all_ = x[at], y[at], np.arange(len(at))
+        left, right = np.tile(np.arange(-1, n - 1), (len(at), 1)), np.tile(np.arange(1, n + 1), (len(at), 1))
+        now, weight = np.full(at.shape, np.inf), np.full(at.shape, np.inf)
+        lx, ly, rx, ry, cx, cy = px[:, :-2], py[:, :-2], px[:, 2:], py[:, 2:], px[:, 1:-1], py[:, 1:-1]
+        now[:, 1:-1] = np.abs((lx - cx) * (ry - cy) - (rx - cx) * (ly - cy)) / 2
+        so_far = np.zeros(len(at))
+        for _ in range(n - 2 - least):
+            i = now.argmin(1)
+            so_far = np.maximum(so_far, now[all_, i])
+            weight[all_, i] = so_far
+            now[all_, i] = np.inf
+            l, r = left[all_, i], right[all_, i]
+            right[all_, l], left[all_, r] = r, l
+            for k in (l, r):
+                inner = np.flatnonzero((k > 0) & (k < n - 1))
+                m = k[inner]
+                a, b = left[inner, m], right[inner, m]
+                mx, my = px[inner, m], py[inner, m]
+                now[inner, m] = np.abs((px[inner, a] - mx) * (py[inner, b] - my) - (px[inner, b] - mx) * (py[inner, a] - my)) / 2
+        out[at] = weight
+    return out
+
+
 def arcs(points: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """(instances, corners): every ring's arcs in order (by..., patch_id, ring, arc, name, forward, rings' arcs `parts`), and the corners
     of each differently named arc once (by..., name, k, x, y, closed ends repeated)."""
@@ -114,14 +154,23 @@ def simplify(points: DataFrame, keep: float = 0.4, by: str | None = None) -> Dat
     fields = [*(f"{by} {points.schema[by].dataType.simpleString()}" for _ in tile), "name struct<x:double,y:double,x2:double,y2:double>", "k bigint", "last bigint", "piece bigint", "x double", "y double", "weight double"]
 
     def run(data: pa.Table) -> pa.Table:
-        data = data.sort_by("k")
-        floor = data["floor"][0].as_py() if data["last"][0].as_py() <= PIECE else 0
-        weight = effective_areas(data["x"].to_numpy(), data["y"].to_numpy(), floor)
+        keys = [data[c].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in tile]
+        keys += [pc.struct_field(data["name"].combine_chunks(), c).to_numpy(zero_copy_only=False) for c in ("x", "y", "x2", "y2")] + [data["piece"].to_numpy()]
+        order = np.lexsort([data["k"].to_numpy(), *keys[::-1]])
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+        first = np.flatnonzero(new)
+        data = data.combine_chunks().take(pa.array(order))
+        floor = np.where(data["last"].to_numpy()[first] <= PIECE, data["floor"].to_numpy()[first], 0)
+        weight = many_areas(data["x"].to_numpy(), data["y"].to_numpy(), first, floor)
         return data.select([*tile, "name", "k", "last", "piece", "x", "y"]).append_column("weight", pa.array(weight))
 
-    weighed = pieces.groupBy(*tile, "name", "piece").applyInArrow(run, ", ".join(fields))
+    # lines are short and many: a task weighs all of a bunch
+    bunch = F.pmod(F.xxhash64(*tile, *(F.col(f"name.{c}") + 0.0 for c in ("x", "y", "x2", "y2")), "piece"), F.lit(max(1, -(-pieces.count() // TOGETHER)))).alias("_bunch")
+    weighed = cut(pieces.groupBy(bunch).applyInArrow(run, ", ".join(fields)))
     # where two pieces meet the corner is there twice, and stays
-    weighed = cut(weighed.groupBy(*tile, "name", "k").agg(F.first("last").alias("last"), F.first("x").alias("x"), F.first("y").alias("y"), F.max("weight").alias("weight")))
+    parted = weighed.where(F.col("last") > PIECE).groupBy(*tile, "name", "k").agg(F.first("last").alias("last"), F.first("x").alias("x"), F.first("y").alias("y"), F.max("weight").alias("weight"))
+    weighed = weighed.where(F.col("last") <= PIECE).drop("piece").unionByName(parted)
     removable = weighed.where(F.col("weight") < float("inf"))
     placed = ranked(removable, ["weight", "name", "k"], "_place", by=tuple(tile))
     heavy = placed.where(F.col("_place") >= F.floor(F.col("n") * F.lit(1 - keep))).drop("_place", "n")

@@ -217,3 +217,55 @@ def test_burnt_polygons(spark):
     for k, r, c in want:
         best[r, c] = max(k, best.get((r, c), 0))
     assert {(r.row, r.col): r.patch_id for r in P.rasterize_rings(points).collect()} == best
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_exposed_sides_without_a_join(spark):
+    """One shuffle of the cells to blocks, no four rows a cell; patches may share cells, repeated cells repeat their sides."""
+    rng = random.Random(5)
+    cells = [(k, rng.randrange(-6, 12), rng.randrange(-6, 12)) for k in (3, 8, None) for _ in range(120)]
+    df = spark.createDataFrame(cells, "patch_id long, row int, col int")
+    have = {c for c in cells if c[0] is not None}
+    want = sorted(((k, r, c, s) for k, r, c in cells for s, dr, dc in (("n", -1, 0), ("e", 0, 1), ("s", 1, 0), ("w", 0, -1)) if (k, r + dr, c + dc) not in have), key=repr)
+    for size in (4, 512):
+        assert sorted(map(tuple, P.exposed_edges(df, size).collect()), key=repr) == want
+    assert "Join" not in plan_of(P.exposed_edges(df))
+    assert P.exposed_edges(df.limit(0)).count() == 0
+
+
+def test_outlines_send_no_table_to_all_tasks(spark):
+    """Corners take their places from their chain's, not from a ranking of all corners."""
+    assert "Broadcast" not in plan_of(P.patch_outline(cells_of(spark, SHAPES), size=7))
+
+
+def test_small_groups_are_ranked_in_one_shuffle(spark, monkeypatch):
+    """Large groups go through ranges, the rest of the table does not; both give the same places."""
+    monkeypatch.setattr(R, "RANGE_ROWS", 20)
+    rows = [(g, i * 7 % 50, i % 3) for g, n in ((None, 5), (1, 50), (2, 20), (3, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g long, v long, w long")
+    got = {(r.g, r.v): (r["rank"], r.n) for r in R.ranked(df, ["v"], by=("g",)).collect()}
+    weighed = {(r.g, r.v): (r["rank"], r.n) for r in R.ranked(df, ["v"], by=("g",), weight="w").collect()}
+    for g in (None, 1, 2, 3):
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: r[1])
+        for i, r in enumerate(mine):
+            assert got[g, r[1]] == (i, len(mine))
+            assert weighed[g, r[1]] == (sum(x[2] for x in mine[:i]), sum(x[2] for x in mine))
+    ranges = []
+    before = R._in_ranges
+    monkeypatch.setattr(R, "_in_ranges", lambda whole, *a: (ranges.append(whole.count()), before(whole, *a))[1])
+    R.ranked(df, ["v"], by=("g",)).count()
+    assert ranges == [50]
+
+
+def test_many_lines_are_weighed_together():
+    """Short and long lines, equal weights and closed ones among them: as one by one."""
+    rng = np.random.default_rng(6)
+    lines = [rng.integers(0, 9, (n, 2)).astype(float) for n in [*rng.integers(1, 12, 300), 64, 65, 200, 64, 0 + 2]]
+    first = np.cumsum([0, *map(len, lines)])[:-1]
+    floor = rng.integers(0, 3, len(lines))
+    whole = np.concatenate(lines)
+    got = T.many_areas(whole[:, 0], whole[:, 1], first, floor)
+    assert np.array_equal(got, np.concatenate([T.effective_areas(p[:, 0], p[:, 1], f) for p, f in zip(lines, floor)]))
