@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from terrasol.sources.store import cut
 #: distinct heights of a band, and bands merged at a time
 BAND = 1024
 FAN = 16
+#: points that go to one task, about
+TOGETHER = 1 << 17
 
 
 def _chain(points: list[tuple]) -> list[tuple]:
@@ -31,22 +34,43 @@ def hull(x: list, y: list) -> list[tuple]:
 def hull_points(points: DataFrame, key: str, height: float, least: float, most: float, band: int = BAND, fan: int = FAN) -> DataFrame:
     """(key, x, y) of each key's hull corners, of points (key, x, y) with y from `least` to `most`.
 
-    Points go to bands of `band` heights; a task makes the hull of one band of one key, then of `fan` neighbouring bands' hulls, until one band spans
+    Points go to bands of `band` heights; tasks make the hulls of each band of each key, then of `fan` neighbouring bands' hulls, until one band spans
     all.  A hull of whole-numbered corners in a band has few corners, so tasks stay small whatever the key holds."""
     kind = points.schema[key].dataType.simpleString()
 
-    def run(data: pa.Table) -> pa.Table:
-        corners = hull(data["x"].to_pylist(), data["y"].to_pylist())
-        same = data[key].combine_chunks()
-        return pa.table({key: same.take(pa.array([0] * len(corners))), "band": data["band"].combine_chunks().take(pa.array([0] * len(corners))), "x": pa.array([c[0] for c in corners], pa.float64()), "y": pa.array([c[1] for c in corners], pa.float64())})
+    def run(width: int):
+        def merged(data: pa.Table) -> pa.Table:
+            data = data.combine_chunks()
+            code = data[key].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            old = data["band"].to_numpy()
+            band = old // width
+            order = np.lexsort([old, band, code])
+            code, old, band = code[order], old[order], band[order]
+            x, y = data["x"].to_numpy()[order].tolist(), data["y"].to_numpy()[order].tolist()
+            new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (band[1:] != band[:-1])]))
+            at, corners = [], []
+            for i, j in zip(new.tolist(), [*new[1:].tolist(), len(x)]):
+                # the hull of one band is one already
+                some = list(zip(x[i:j], y[i:j])) if width > 1 and old[i] == old[j - 1] else hull(x[i:j], y[i:j])
+                corners += some
+                at += [i] * len(some)
+            at = np.array(at, np.int64)
+            return pa.table({key: data[key].combine_chunks().take(pa.array(order[at])), "band": pa.array(band[at], pa.int64()), "x": pa.array([c[0] for c in corners], pa.float64()), "y": pa.array([c[1] for c in corners], pa.float64())})
+
+        return merged
+
+    def dealt(df: DataFrame, width: int) -> DataFrame:
+        """Bands are small and many: a task merges all of a bunch."""
+        bunches = max(1, -(-df.count() // TOGETHER))
+        bunch = F.pmod(F.xxhash64(key, F.floor(F.col("band") / width)), F.lit(bunches)).alias("_bunch")
+        return df.groupBy(bunch).applyInArrow(run(width), f"{key} {kind}, band bigint, x double, y double")
 
-    schema = f"{key} {kind}, band bigint, x double, y double"
     now = points.select(key, F.floor((F.col("y") - least) / (height * band)).cast("bigint").alias("band"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    now = now.groupBy(key, "band").applyInArrow(run, schema)
+    now = dealt(now, 1)
     bands = int((most - least) / (height * band)) + 1
     while bands > 1:
         bands = -(-bands // fan)
-        now = cut(now).withColumn("band", F.floor(F.col("band") / fan).cast("bigint")).groupBy(key, "band").applyInArrow(run, schema)
+        now = dealt(cut(now), fan)
     return now.select(key, "x", "y")
 
 
