@@ -21,9 +21,9 @@ def sensitivity_grid(low: tuple = (10, 15, 20), steep: tuple = (25, 30, 35), buf
 def scenario_areas(slopes: DataFrame, scenarios: list[tuple[str, float, float, float]], ncols: int, least: float = 5.0, density: tuple[float, float] = (0.3, 0.6), half: int = 20, res: float = 1.0) -> DataFrame:
     """(scenario_id, patch_id, row, col) of the patches each scenario selects.
 
-    The parts that scenarios share are made once: a low mask and its patches for each low bound, a steep mask and its
-    density for each steep bound; only proximity and selection are made per scenario.  Every stage carries its
-    bound as a key, so no stage loops over scenarios."""
+    The parts that scenarios share are made once: a low mask and its patches for each low bound, a steep mask for each steep
+    bound, the densities of all steep bounds side by side in one pass; patches of every low bound meet the cells of every steep
+    bound, so cells are not repeated for scenarios.  Only selection is made per scenario."""
     spark = slopes.sparkSession
     table = spark.createDataFrame(scenarios, "scenario_id string, low_max double, steep_min double, buffer double")
     lows, steeps = sorted({s[1] for s in scenarios}), sorted({s[2] for s in scenarios})
@@ -33,23 +33,20 @@ def scenario_areas(slopes: DataFrame, scenarios: list[tuple[str, float, float, f
     labelled = cut(P.label_runs(low, "one", ncols, 4, ("low_max",)))
     large = P.min_area_filter(P.patch_area(labelled, res, ("low_max",)), least).select("low_max", "patch_id")
     low_cells = cut(P.run_cells(labelled, ("low_max",)).join(large, ["low_max", "patch_id"]))
-    masks = known.select("row", "col", "slope", bound(steeps, "steep_min")).withColumn("steep", F.when(F.col("slope") >= F.col("steep_min"), 1).otherwise(0))
-    steep_cells = masks.where("steep = 1").select("steep_min", "row", "col")
-    pieces = None
-    for v in steeps:  # a handful of bounds: frames are per grid
-        one = N.local_density(masks.where(F.col("steep_min") == v), "steep", half=half).withColumn("steep_min", F.lit(v))
-        pieces = one if pieces is None else pieces.unionByName(one)
+    steep_cells = known.select("row", "col", "slope", bound(steeps, "steep_min")).where(F.col("slope") >= F.col("steep_min")).select("steep_min", "row", "col")
     near = None
     for d in sorted({s[3] for s in scenarios}):
-        mine = small(table.where(F.col("buffer") == d))
-        a = low_cells.join(mine.select("scenario_id", "low_max"), "low_max")
-        b = steep_cells.join(mine.select("scenario_id", "steep_min"), "steep_min")
-        got = P.near_patches(a.select("scenario_id", "patch_id", "row", "col"), b.select("scenario_id", "row", "col"), d, res, ("scenario_id",))
+        mine = small(table.where(F.col("buffer") == d).select("scenario_id", "low_max", "steep_min"))
+        got = P.near_patches(low_cells, steep_cells, d, res, low_by=("low_max",), steep_by=("steep_min",)).join(mine, ["low_max", "steep_min"])
         near = got if near is None else near.unionByName(got)
-    chosen = near.join(small(table), "scenario_id").join(low_cells, ["low_max", "patch_id"])
-    dense = chosen.join(pieces, ["steep_min", "row", "col"]).groupBy("scenario_id", "patch_id").agg(F.avg("density").alias("dens_mean"))
-    kept = P.density_select(dense, *density).select("scenario_id", "patch_id")
-    return chosen.join(kept, ["scenario_id", "patch_id"]).select("scenario_id", "patch_id", "row", "col")
+    near = cut(near)
+    # mean density of each patch under every steep bound, from one pass over the cells
+    masks = known.select("row", "col", *(F.when(F.col("slope") >= v, 1).otherwise(0).alias(f"steep{i}") for i, v in enumerate(steeps)))
+    found = low_cells.join(N.local_densities(masks, [f"steep{i}" for i in range(len(steeps))], half), ["row", "col"])
+    means = found.groupBy("low_max", "patch_id").agg(*(F.avg(f"steep{i}").alias(f"steep{i}") for i in range(len(steeps))))
+    means = means.select("low_max", "patch_id", F.inline(F.array(*(F.struct(F.lit(v).alias("steep_min"), F.col(f"steep{i}").alias("dens_mean")) for i, v in enumerate(steeps)))))
+    kept = P.density_select(near.join(means, ["low_max", "steep_min", "patch_id"]), *density).select("scenario_id", "low_max", "patch_id")
+    return kept.join(low_cells, ["low_max", "patch_id"]).select("scenario_id", "patch_id", "row", "col")
 
 
 def landscape_scenario(cells: DataFrame, band: str, ncols: int, low: float = 15, steep: float = 25, buffer: float = 20, res: float = 1.0, least: float = 5.0, density: tuple[float, float] = (0.3, 0.6), half: int = 20) -> DataFrame:

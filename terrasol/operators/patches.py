@@ -195,22 +195,23 @@ def rasterize_rings(points: DataFrame, res: float = 1.0, x_min: float = 0.0, y_m
     return burn_sides(sides, "patch_id", res, x_min, y_max).groupBy("row", "col").agg(F.max("patch_id").alias("patch_id"))
 
 
-def near_patches(low: DataFrame, steep: DataFrame, distance: float, res: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., patch_id) of the low patches with a cell within `distance` of a steep cell (box to box, touching counts).
+def near_patches(low: DataFrame, steep: DataFrame, distance: float, res: float = 1.0, by: tuple[str, ...] = (), low_by: tuple[str, ...] = (), steep_by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., low_by..., steep_by..., patch_id) of the low patches with a cell within `distance` of a steep cell (box to box, touching counts).
 
-    low: by..., patch_id, row, col.  steep: by..., row, col.  Steep cells are spread along their row as spans
+    low: by..., low_by..., patch_id, row, col.  steep: by..., steep_by..., row, col; the patches of every low_by meet the cells of every steep_by.  Steep cells are spread along their row as spans
     and each row in reach gets the span widened exactly, so the join is by row and column bucket;
     equal spans fold first."""
     k = int(distance / res) + 1
     # exact half width of the reach, for each difference of rows, in whole cells
     reach = [(d, int(np.floor(np.sqrt(max(distance**2 - (max(abs(d) - 1, 0) * res) ** 2, 0)) / res + 1e-9)) + 1) for d in range(-k, k + 1) if max(abs(d) - 1, 0) * res <= distance + 1e-9]
-    spans = runs(steep.withColumn("_one", F.lit(1)), "_one", 1, by)
+    mine = (*by, *steep_by)
+    spans = runs(steep.withColumn("_one", F.lit(1)), "_one", 1, mine)
     wide = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in reach))).alias("s")
-    zones = spans.select(*by, "row", "c0", "c1", wide).select(*by, (F.col("row") + F.col("s.d")).alias("row"), (F.col("c0") - F.col("s.w")).alias("c0"), (F.col("c1") + F.col("s.w")).alias("c1"))
-    buckets = zones.select(*by, "row", "c0", "c1", F.explode(F.sequence(F.floor(F.col("c0") / BUCKET), F.floor(F.col("c1") / BUCKET))).alias("_b"))
-    clipped = buckets.select(*by, "row", "_b", F.greatest("c0", F.col("_b") * BUCKET).alias("c0"), F.least("c1", F.col("_b") * BUCKET + BUCKET - 1).alias("c1")).distinct()
+    zones = spans.select(*mine, "row", "c0", "c1", wide).select(*mine, (F.col("row") + F.col("s.d")).alias("row"), (F.col("c0") - F.col("s.w")).alias("c0"), (F.col("c1") + F.col("s.w")).alias("c1"))
+    buckets = zones.select(*mine, "row", "c0", "c1", F.explode(F.sequence(F.floor(F.col("c0") / BUCKET), F.floor(F.col("c1") / BUCKET))).alias("_b"))
+    clipped = buckets.select(*mine, "row", "_b", F.greatest("c0", F.col("_b") * BUCKET).alias("c0"), F.least("c1", F.col("_b") * BUCKET + BUCKET - 1).alias("c1")).distinct()
     asked = low.withColumn("_b", F.floor(F.col("col") / BUCKET))
-    return asked.join(clipped, [*by, "row", "_b"]).where(F.col("col").between(F.col("c0"), F.col("c1"))).select(*by, "patch_id").distinct()
+    return asked.join(clipped, [*by, "row", "_b"]).where(F.col("col").between(F.col("c0"), F.col("c1"))).select(*by, *low_by, *steep_by, "patch_id").distinct()
 
 
 def density_select(patches: DataFrame, low: float = 0.3, high: float = 0.6, column: str = "dens_mean") -> DataFrame:

@@ -269,3 +269,29 @@ def test_many_lines_are_weighed_together():
     whole = np.concatenate(lines)
     got = T.many_areas(whole[:, 0], whole[:, 1], first, floor)
     assert np.array_equal(got, np.concatenate([T.effective_areas(p[:, 0], p[:, 1], f) for p, f in zip(lines, floor)]))
+
+
+def test_hulls_of_many_patches_share_tasks(spark, monkeypatch):
+    """Bands of all patches go to bunches, not to a group each; null is a key like any other."""
+    monkeypatch.setattr(H, "TOGETHER", 300)
+    rng = np.random.default_rng(7)
+    sets = {k: rng.integers(0, 40, (25, 2)).tolist() for k in [None, *range(40)]}
+    df = spark.createDataFrame([(k, float(x), float(y)) for k, ps in sets.items() for x, y in ps], "patch_id long, x double, y double")
+    corners = H.hull_points(df, "patch_id", 1.0, 0.0, 40.0, 4, 3)
+    assert "_bunch" in plan_of(corners)
+    got = {}
+    for r in corners.collect():
+        got.setdefault(r.patch_id, set()).add((r.x, r.y))
+    assert got == {k: set(H.hull(*zip(*ps))) for k, ps in sets.items()}
+
+
+def test_patches_of_every_bound_meet_cells_of_every_bound(spark):
+    """Proximity for several bounds of either side in one go, as one by one; no row is repeated for a scenario."""
+    rng = random.Random(9)
+    low = [(a, p, rng.randrange(40), rng.randrange(40)) for a in (10.0, 15.0) for p in range(12) for _ in range(4)]
+    steep = [(b, rng.randrange(40), rng.randrange(40)) for b in (25.0, 30.0) for _ in range(40)]
+    lows = spark.createDataFrame(low, "low_max double, patch_id long, row int, col int")
+    steeps = spark.createDataFrame(steep, "steep_min double, row int, col int")
+    got = {tuple(r) for r in P.near_patches(lows, steeps, 1.0, low_by=("low_max",), steep_by=("steep_min",)).select("low_max", "steep_min", "patch_id").collect()}
+    gap = lambda a, b: max(abs(a - b) - 1, 0)
+    assert got == {(a, b, p) for a, p, r, c in low for b, y, x in steep if gap(r, y) ** 2 + gap(c, x) ** 2 <= 1}
