@@ -65,18 +65,19 @@ def align_features(table: DataFrame, expected: list[str]) -> DataFrame:
     return table.select(*(c for c in ("row", "col", "label") if c in table.columns and c not in expected), *expected)
 
 
-def predict_cells(model: PipelineModel, cells: DataFrame) -> DataFrame:
-    """(row, col, p0, p1 ...): class probabilities, NULL where a feature is missing.  Rows stay in place: missing features
+def predict_cells(model: PipelineModel, cells: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """(row, col, also..., p0, p1 ...): class probabilities, NULL where a feature is missing.  Rows stay in place: missing features
     are filled for the model and its answer is dropped there, so no join is needed."""
     names = model_features(model)
-    ready = align_features(cells, names)
+    align_features(cells, names)
+    ready = cells.select("row", "col", *names, *(F.col(c).alias(f"_also_{c}") for c in also))
     whole = F.lit(True)
     for c in names:
         whole = whole & F.col(c).isNotNull()
-    filled = ready.select("row", "col", whole.alias("_whole"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names))
+    filled = ready.select("row", "col", *(f"_also_{c}" for c in also), whole.alias("_whole"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names))
     probs = vector_to_array(F.col("probability"))
     classes = model.stages[-1].numClasses
-    return model.transform(filled).select("row", "col", *(F.when(F.col("_whole"), F.get(probs, F.lit(k))).alias(f"p{k}") for k in range(classes)))
+    return model.transform(filled).select("row", "col", *(F.col(f"_also_{c}").alias(c) for c in also), *(F.when(F.col("_whole"), F.get(probs, F.lit(k))).alias(f"p{k}") for k in range(classes)))
 
 
 def held_out(key: Column, folds: int = 5) -> Column:

@@ -235,9 +235,10 @@ def train_forest(spark, sf_dir):
     path = new_path(spark)
     T.save_model(model, path)
     again = T.load_model(path)
-    first = T.predict_cells(model, cells).where("p1 IS NOT NULL")
-    second = T.predict_cells(again, cells).select("row", "col", F.col("p1").alias("again"))
-    counts = first.join(second, ["row", "col"]).agg(
+    # the second answer beside the first, in one pass: cells need not meet in a join
+    first = T.predict_cells(model, cells, ("pente", "ndvi")).withColumnsRenamed({"p0": "first_p0", "p1": "first_p1"})
+    both = T.predict_cells(again, first, ("first_p0", "first_p1")).select(F.col("first_p0").alias("p0"), F.col("first_p1").alias("p1"), F.col("p1").alias("again"))
+    counts = both.where("p1 IS NOT NULL").agg(
         F.lit(again.stages[-1].getNumTrees).cast("int").alias("n_trees"),
         F.count("*").alias("n_predicted"),
         F.count_if(F.col("p1") == F.col("again")).alias("n_same"),
