@@ -8,14 +8,13 @@ common weights on, and the weights are averaged by the tokens seen.
 
 The second factor is a softmax inside the class, over all its words and one event for
 what is unknown:  P(word | class, before) = q(word) * exp(weight(before, word)) / Z(before, class), where q is the
-smoothed share of the word in its class, from counts over all training texts, and a pair of neighbours has
-a weight if both words are frequent and the pair was seen often enough.  All other weights are zero, so
-Z = 1 + sum of q * (exp(weight) - 1) over the pairs with a weight, which is exact.  Its sufficient statistics are the
+smoothed share of the word in its class, from counts over all training texts, and every pair of neighbours seen in training has
+a weight.  Pairs not seen have none, so Z = 1 + sum of q * (exp(weight) - 1) over the pairs seen, which is exact.  Its sufficient statistics are the
 counts of pairs, gathered in the same pass as the gradients; a word's followers share no weight with those of another word, so the
-gradient updates of different words run in different tasks and nothing is averaged.
+gradient updates of different words (and classes) run in different tasks and nothing is averaged.
 
 Counts are exact for every word and pair.  The most frequent words and pairs, bounded numbers, are sent to the
-tasks; the rest of a text's words meet their counts in a join.
+tasks; the rest of a text's words meet their counts in a join, and the rest of its pairs their weights, by buckets of pairs.
 """
 
 from __future__ import annotations
@@ -46,12 +45,16 @@ BATCH = 4096
 HEAD = 1 << 18
 #: weight rows of one message
 PART = 256
-#: pairs with a weight: those with a count from which on there are at most so many (12 bytes each in the tasks)
+#: pairs sent to the tasks: those with a count from which on there are at most so many (12 bytes each)
 PAIRS = 1 << 21
-#: words that pairs are made of, the most frequent ones (128 bytes each in the tasks)
+#: words with a number in pairs, the most frequent ones (128 bytes each in the tasks); others go by their hash
 PAIR_WORDS = 1 << 17
 #: training tokens for each bucket of pairs, and the most buckets
-BUCKET_TOKENS, BUCKETS = 1 << 21, 4096
+BUCKET_TOKENS, BUCKETS = 1 << 20, 4096
+#: pairs that a task holds before it hands them on
+HELD = 1 << 20
+#: in place of a word: the normaliser of the group
+WHOLE = 1 << 62
 #: variance of the weights' prior, gradient updates of a pair's weight
 PRIOR, UPDATES = 6.0, 16
 
@@ -106,6 +109,16 @@ def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.n
     return z
 
 
+def log_chosen(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """log_softmax() of the given classes alone."""
+    z = weights[rows[0]] + bias
+    for r in rows[1:]:
+        z += weights[r]
+    z -= z.max(1, keepdims=True)
+    own = z[np.arange(len(cls)), cls]
+    return own - np.log(np.exp(z, out=z).sum(1))
+
+
 def update(weights, square, bias, rows, cls):
     """One gradient step of a batch; steps shrink with the squared gradients a row has had."""
     p = np.exp(log_softmax(weights, bias, rows))
@@ -120,45 +133,101 @@ def update(weights, square, bias, rows, cls):
         weights[u] -= STEP * g / np.sqrt(square[u] + 1e-6)[:, None]
 
 
-def ranks(word: np.ndarray, sizes: np.ndarray, head: np.ndarray, rank: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Place of each token in the head and whether it is there, and the ranks of the word before and of the word among
-    the `most` words of pairs (-1: none of them; `most` as the word before: the text begins)."""
-    if len(head):
-        at = np.minimum(np.searchsorted(head, word), len(head) - 1)
-        hit = head[at] == word
-        own = np.where(hit, rank[at], -1)
-    else:
-        at, hit, own = np.zeros(len(word), np.int64), np.zeros(len(word), bool), np.full(len(word), -1)
+def ranks(word: np.ndarray, head: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of each token in the head, whether it is there, and its rank among the words of pairs (-1: none of them)."""
+    if not len(head):
+        return np.zeros(len(word), np.int64), np.zeros(len(word), bool), np.full(len(word), -1)
+    at = np.minimum(np.searchsorted(head, word), len(head) - 1)
+    hit = head[at] == word
+    return at, hit, np.where(hit, rank[at], -1).astype(np.int64)
+
+
+def paired(word: np.ndarray, cls: np.ndarray, sizes: np.ndarray, own: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Group (word before and class) and name of the word, of every token's pair.  Words among the `most` ones of pairs go by their
+    ranks (`most` as the word before: the text begins), others by their hashes, with the highest bit set: those are negative."""
+    first = np.cumsum(sizes) - sizes
     before = np.empty(len(own), np.int64)
     before[1:] = own[:-1]
-    before[np.cumsum(sizes) - sizes] = most
-    return at, hit, before, own.astype(np.int64)
+    before[first] = most
+    far = np.empty(len(own), np.int64)
+    far[1:] = word[:-1]
+    group = np.where(before >= 0, before * CLASSES, (far & ~(CLASSES - 1)) | np.iinfo(np.int64).min) | cls
+    return group, np.where(own >= 0, own, word | np.iinfo(np.int64).min)
+
 
+def pair_hash(group: np.ndarray, name) -> np.ndarray:
+    return W.mix(group.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(name, np.int64).view(np.uint64))
 
-def pack(keys: np.ndarray, n: np.ndarray) -> bytes:
-    """Rising keys, as differences, and their counts."""
-    return np.diff(keys, prepend=0).tobytes() + n.astype(np.int64).tobytes()
 
+def bucket_of(group: np.ndarray, buckets: int) -> np.ndarray:
+    return (W.mix(group.view(np.uint64)) % np.uint64(buckets)).astype(np.uint16)
 
-def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    steps, n = np.frombuffer(packed, np.int64).reshape(2, -1)
-    return np.cumsum(steps), n
 
+def packed(values: np.ndarray) -> bytes:
+    """Compressed by bytes of the same weight."""
+    size = values.dtype.itemsize
+    raw = values.view(np.uint8).reshape(-1, size).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
-def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, rising, and the sums of their counts."""
-    keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+def unpacked(blob: bytes, kind) -> np.ndarray:
+    size = int.from_bytes(blob[:8], "little")
+    raw = np.frombuffer(pa.decompress(blob[8:], size, "zstd", asbytes=True) if size else b"", np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def pack(group: np.ndarray, name: np.ndarray, n: np.ndarray) -> bytes:
+    """Pairs and their counts, by group."""
+    order = np.argsort(group)
+    parts = [packed(np.diff(group[order], prepend=0)), packed(name[order]), packed(n[order].astype(np.int64))]
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    parts, at = [], 0
+    for _ in range(3):
+        size = int.from_bytes(blob[at : at + 8], "little")
+        parts.append(unpacked(blob[at + 8 : at + 8 + size], np.int64))
+        at += 8 + size
+    return np.cumsum(parts[0]), parts[1], parts[2]
+
+
+def added(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs and the sums of their counts."""
+    group, name, n = (np.concatenate(x) for x in zip(*parts))
+    key = pair_hash(group, name)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    at = order[first]
+    return group[at], name[at], np.add.reduceat(n[order], first) if len(first) else n
+
+
+def by_bucket(group: np.ndarray, buckets: int):
+    """(bucket, places) of the pairs of each bucket."""
+    bucket = bucket_of(group, buckets)
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(bounds)).tolist():
+        yield b, order[bounds[b] : bounds[b + 1]]
 
 
 def _train(shared):
     def run(batches):
         weights, bias, head, rank, most, buckets = shared.value
         weights, bias = weights.copy(), bias.copy()
-        square, seen, pairs = np.zeros(ROWS, np.float32), 0, []
+        square, seen, pairs, held = np.zeros(ROWS, np.float32), 0, [], 0
+
+        def sent(names, messages):
+            for i in range(0, len(names), 64):
+                some = names[i : i + 64]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([seen] * len(some), pa.int64()), pa.array(messages[i : i + 64], pa.binary())], ["part", "seen", "w"])
+
+        def counted():
+            found = [(-1 - b, pack(*(x[o] for x in pairs[0]))) for b, o in by_bucket(pairs[0][0], buckets)]
+            yield from sent([b for b, _ in found], [w for _, w in found])
+            pairs.clear()
+
         for batch in batches:
             raw, offsets = W.utf8(batch.column(0))
             for i, j in W.slices(offsets):
@@ -167,24 +236,21 @@ def _train(shared):
                 for a in range(0, len(cls), BATCH):
                     update(weights, square, bias, rows[:, a : a + BATCH], cls[a : a + BATCH])
                 seen += len(cls)
-                # a pair of words; a word of no pairs stands for its class
-                _, _, before, own = ranks(word, sizes, head, rank, most)
-                both = np.flatnonzero(before >= 0)
-                keys = before[both] * (most + CLASSES) + np.where(own[both] >= 0, own[both], most + cls[both])
-                pairs.append(np.unique(keys, return_counts=True))
+                group, name = paired(word, cls, sizes, ranks(word, head, rank)[2], most)
+                pairs.append((group, name, np.ones(len(group), np.int64)))
+                held += len(group)
+                if held > HELD:
+                    pairs[:] = [added(pairs)]
+                    held = len(pairs[0][0])
+                    if held > HELD * 3 // 4:
+                        yield from counted()
+                        held = 0
+        if pairs:
+            pairs[:] = [added(pairs)]
+            yield from counted()
         if seen:
             parts = weights.reshape(-1, PART * CLASSES)
-            messages = [p.tobytes() for p in parts]
-            keys, n = added(pairs)
-            bucket = (W.mix((keys // (most + CLASSES)).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(bounds))
-            messages += [pack(keys[o], n[o]) for b in full for o in [order[bounds[b] : bounds[b + 1]]]]
-            names = np.concatenate([np.arange(len(parts)), -1 - full])
-            for i in range(0, len(names), 64):
-                some = names[i : i + 64]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([seen] * len(some), pa.int64()), pa.array(messages[i : i + 64], pa.binary())], ["part", "seen", "w"])
+            yield from sent(list(range(len(parts))), [p.tobytes() for p in parts])
 
     return run
 
@@ -246,32 +312,66 @@ def fit_pairs(q: np.ndarray, n: np.ndarray, group: np.ndarray, total: np.ndarray
 
 
 def _steps(batches):
-    """(step, v, n): pairs of each step of counts, and the least count among these."""
+    """(near, step, v, n): pairs of each step of counts, and the least count among these; near: of two words with ranks."""
+    for batch in batches:
+        for blob in batch.column(0).to_pylist():
+            group, name, n = unpack(blob)
+            near = (group >= 0) & (name >= 0)
+            for kind in (True, False):
+                some = n[near == kind]
+                step, back, v = np.unique(np.floor(np.log2(some) * 16).astype(np.int64), return_inverse=True, return_counts=True)
+                low = np.full(len(step), np.iinfo(np.int64).max)
+                np.minimum.at(low, back, some)
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(step), pa.bool_()), pa.array(step), pa.array(v.astype(np.int64)), pa.array(low)], ["near", "step", "v", "n"])
+
+
+def _rare(batches):
+    """(part, name) of the words without a rank in each bucket's pairs."""
     for batch in batches:
-        for packed in batch.column(0).to_pylist():
-            _, n = unpack(packed)
-            step, back, v = np.unique(np.floor(np.log2(n) * 16).astype(np.int64), return_inverse=True, return_counts=True)
-            low = np.full(len(step), np.iinfo(np.int64).max)
-            np.minimum.at(low, back, n)
-            yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(v.astype(np.int64)), pa.array(low)], ["step", "v", "n"])
+        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            name = unpack(blob)[1]
+            name = np.unique(name[name < 0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(name), part, np.int32)), pa.array(name)], ["part", "name"])
+
+
+#: of a bucket: frequent pairs and their weights, log Z of groups after words with ranks; all other pairs, and groups, with what they add
+FITTED = "part int, pair binary, pair_x binary, z binary, z_x binary, group binary, name binary, x binary, rest bigint"
 
 
 def _fit(shared):
-    def run(batches):
-        q, cls, most, least = shared.value
-        for batch in batches:
-            for packed in batch.column(0).to_pylist():
-                keys, n = unpack(packed)
-                before, word = np.divmod(keys, most + CLASSES)
-                group, back = np.unique(before * CLASSES + cls[word], return_inverse=True)
-                total = np.bincount(back, n, len(group))
-                keep = np.flatnonzero((word < most) & (n >= least))
-                weight, log_z = fit_pairs(q[word[keep]], n[keep], back[keep], total)
-                full = np.flatnonzero(np.bincount(back[keep], minlength=len(group)))
-                # groups go by negative keys
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([keys[keep], -1 - group[full]])), pa.array(np.concatenate([weight, log_z[full]]).astype(np.float32))], ["key", "x"]
-                )
+    def run(counted: pa.Table, rare: pa.Table) -> pa.Table:
+        q, spread, least, sent = shared.value
+        if not len(counted):
+            return pa.schema([(k, {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}[t]) for k, t in (f.split() for f in FITTED.split(", "))]).empty_table()
+        group, name, n = unpack(counted["w"][0].as_py())
+        kinds, back = np.unique(group, return_inverse=True)
+        total = np.bincount(back, n, len(kinds))
+        keep = n >= least
+        group, name, n, back = group[keep], name[keep], n[keep], back[keep]
+        share = np.empty(len(n))
+        ranked = name >= 0
+        share[ranked] = q[name[ranked]]
+        if not ranked.all():
+            words, counts = rare["name"].to_numpy(), rare["n"].to_numpy()
+            order = np.argsort(words)
+            at = order[np.searchsorted(words, name[~ranked], sorter=order)]
+            share[~ranked] = (counts[at] + 1) / 10 ** spread[group[~ranked] & (CLASSES - 1)]
+        weight, log_z = fit_pairs(share, n, back, total)
+        full = np.bincount(back, minlength=len(kinds)) > 0
+        kinds, log_z = kinds[full], log_z[full]
+        near = (group >= 0) & ranked & (n >= sent)
+        own = kinds >= 0
+        # a group after a word without a rank is met as a pair of its own
+        made = {
+            "pair": group[near] * PAIR_WORDS + name[near],
+            "pair_x": weight[near].astype(np.float32),
+            "z": kinds[own],
+            "z_x": log_z[own].astype(np.float32),
+            "group": np.concatenate([group[~near], kinds[~own]]),
+            "name": np.concatenate([name[~near], np.full((~own).sum(), WHOLE)]),
+            "x": np.concatenate([weight[~near], -log_z[~own]]).astype(np.float32),
+        }
+        return pa.table({"part": counted["part"].slice(0, 1), **{k: pa.array([packed(v)], pa.binary()) for k, v in made.items()}, "rest": pa.array([len(made["x"])], pa.int64())})
 
     return run
 
@@ -286,22 +386,29 @@ def threshold(steps: DataFrame, most: int) -> int | None:
     return least
 
 
-def pair_weights(counted: DataFrame, q: np.ndarray, cls: np.ndarray, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the pairs with a weight, rising, their weights, and log Z by word before and class.  q and cls: share and
-    class of the words of pairs by rank."""
+def pair_weights(counted: DataFrame, counts: DataFrame, q: np.ndarray, spread: np.ndarray, pairs: int | None, sent: int) -> tuple[DataFrame, tuple]:
+    """(fitted, (keys of the frequent pairs, rising, their weights, log Z by word before and class, whether there are other pairs)).
+    q: share of the words of pairs by rank; all pairs have a weight, or those with a count from which on there are at most `pairs`."""
     most = len(q)
+    steps = cut(counted.select("w").mapInArrow(_steps, "near boolean, step bigint, v bigint, n bigint").groupBy("near", "step").agg(F.sum("v").alias("v"), F.min("n").alias("n")))
+    none = np.iinfo(np.int64).max
+    least = 1 if pairs is None else threshold(steps, pairs)
+    often = threshold(steps.where("near"), sent)
+    shared = counted.sparkSession.sparkContext.broadcast((q, spread, none if least is None else least, none if often is None else often))
+    rare = counted.select("part", "w").mapInArrow(_rare, "part int, name bigint")
+    named = counts.select(F.col("word").bitwiseOR(F.lit(-(2**63))).alias("name"), "n")
+    met = rare.join(named.hint("merge"), "name").select("part", "name", "n")
+    fitted = cut(counted.groupBy("part").cogroup(met.groupBy("part")).applyInArrow(_fit(shared), FITTED))
     log_z = np.zeros((most + 1) * CLASSES, np.float32)
-    least = threshold(counted.select("w").mapInArrow(_steps, "step bigint, v bigint, n bigint"), pairs)
-    if least is None:
-        return np.empty(0, np.int64), np.empty(0, np.float32), log_z
-    kinds = np.concatenate([cls, np.arange(CLASSES)])
-    shared = counted.sparkSession.sparkContext.broadcast((q, kinds, most, least))
-    got = counted.select("w").mapInArrow(_fit(shared), "key bigint, x float").toArrow()
-    keys, x = got["key"].to_numpy(), got["x"].to_numpy()
-    pair = keys >= 0
-    log_z[-1 - keys[~pair]] = x[~pair]
-    order = np.argsort(keys[pair])
-    return keys[pair][order], x[pair][order], log_z
+    keys, x, rest = [], [], False
+    for r in fitted.select("pair", "pair_x", "z", "z_x", "rest").toArrow().to_pylist():
+        keys.append(unpacked(r["pair"], np.int64))
+        x.append(unpacked(r["pair_x"], np.float32))
+        log_z[unpacked(r["z"], np.int64)] = unpacked(r["z_x"], np.float32)
+        rest = rest or r["rest"] > 0
+    keys, x = np.concatenate([*keys, np.empty(0, np.int64)]), np.concatenate([*x, np.empty(0, np.float32)])
+    order = np.argsort(keys)
+    return fitted, (keys[order], x[order], log_z, rest)
 
 
 def _count(batches):
@@ -338,67 +445,144 @@ def _count(batches):
         yield rows()
 
 
+#: a text's row, or (part not null) pairs of a bucket asked by the texts of a sheet, whose rows are `_row` and the sums of `steps`
+SCORED = "n_tokens bigint, model double, known bigint, logs double, words array<bigint>, ns array<int>, part int, sheet bigint, steps binary, group binary, name binary"
+
+
 def _score(shared):
     def run(batches):
-        weights, bias, spread, head, log_c, rank, pairs, pair_x, log_z = shared.value
+        weights, bias, spread, head, log_c, rank, buckets, pairs, pair_x, log_z, rest = shared.value
         most = len(log_z) // CLASSES - 1
+        asked, held = [], 0
+
+        def sheet(ids):
+            row, group, name = (np.concatenate(x) for x in zip(*asked))
+            asked.clear()
+            found = [(-1 - b, packed(np.diff(row[o], prepend=row[0])), packed(group[o]), packed(name[o])) for b, o in by_bucket(group, buckets)]
+            for i in range(0, len(found), 64):
+                part, steps, groups, names = zip(*found[i : i + 64])
+                n = len(part)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.nulls(n, pa.int64()),
+                        pa.nulls(n, ids),
+                        *(pa.nulls(n, t) for t in (pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()))),
+                        pa.array(part, pa.int32()),
+                        pa.array([row[0]] * n, pa.int64()),
+                        *(pa.array(x, pa.binary()) for x in (steps, groups, names)),
+                    ],
+                    ["_row", "_id", *(f.split()[0] for f in SCORED.split(", "))],
+                )
+
         for batch in batches:
-            raw, offsets = W.utf8(batch.column(1))
+            raw, offsets = W.utf8(batch.column(2))
+            numbers = batch.column(0).to_numpy()
             n_tokens, model, known, logs, tail_words, tail_ns, tail_sizes = [], [], [], [], [], [], []
             for i, j in W.slices(offsets):
                 word, cls, sizes = tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 rows = context(word, cls, sizes)
                 gain = np.empty(len(cls))
                 for a in range(0, len(cls), BATCH):
-                    c = cls[a : a + BATCH]
-                    gain[a : a + BATCH] = log_softmax(weights, bias, rows[:, a : a + BATCH])[np.arange(len(c)), c]
-                at, hit, before, own = ranks(word, sizes, head, rank, most)
-                after = np.flatnonzero(before >= 0)
-                gain[after] -= log_z[before[after] * CLASSES + cls[after]]
+                    gain[a : a + BATCH] = log_chosen(weights, bias, rows[:, a : a + BATCH], cls[a : a + BATCH])
+                at, hit, own = ranks(word, head, rank)
+                group, name = paired(word, cls, sizes, own, most)
+                near = np.flatnonzero(group >= 0)
+                gain[near] -= log_z[group[near]]
+                far = np.ones(len(group), bool)
                 if len(pairs):
-                    both = after[own[after] >= 0]
-                    key = before[both] * (most + CLASSES) + own[both]
+                    both = near[name[near] >= 0]
+                    key = group[both] * PAIR_WORDS + name[both]
                     where = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-                    gain[both] += np.where(pairs[where] == key, pair_x[where], 0)
+                    met = pairs[where] == key
+                    gain[both] += np.where(met, pair_x[where], 0)
+                    far[both[met]] = False
                 gain = gain / np.log(10) - spread[cls]
                 first = np.cumsum(sizes) - sizes
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                if rest:
+                    far = np.flatnonzero(far)
+                    asked.append((numbers[i:j][doc[far]], group[far], name[far]))
+                    held += len(far)
                 n_tokens.append(sizes)
                 model.append(np.add.reduceat(gain, first))
                 known.append(np.add.reduceat(hit.astype(np.int64), first))
                 logs.append(np.add.reduceat(np.where(hit, log_c[at], 0.0) if len(head) else np.zeros(len(word)), first))
-                rest = np.flatnonzero(~hit)
-                doc = np.repeat(np.arange(len(sizes)), sizes)[rest]
-                order = np.lexsort((word[rest], doc))
-                w, d = word[rest][order], doc[order]
+                left = np.flatnonzero(~hit)
+                order = np.lexsort((word[left], doc[left]))
+                w, d = word[left][order], doc[left][order]
                 new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (d[1:] != d[:-1])])) if len(w) else np.empty(0, np.int64)
                 tail_words.append(w[new])
                 tail_ns.append(np.diff(np.append(new, len(w))).astype(np.int32))
                 tail_sizes.append(np.bincount(d[new], minlength=len(sizes)))
             join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
             bounds = pa.array(np.concatenate([[0], np.cumsum(join(tail_sizes, np.int64))]), pa.int32())
+            n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array(join(n_tokens, np.int64), pa.int64()),
                     pa.array(join(model, float), pa.float64()),
                     pa.array(join(known, np.int64), pa.int64()),
                     pa.array(join(logs, float), pa.float64()),
                     pa.ListArray.from_arrays(bounds, pa.array(join(tail_words, np.int64), pa.int64())),
                     pa.ListArray.from_arrays(bounds, pa.array(join(tail_ns, np.int32), pa.int32())),
+                    *(pa.nulls(n, t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())),
                 ],
-                ["_id", "n_tokens", "model", "known", "logs", "words", "ns"],
+                ["_row", "_id", *(f.split()[0] for f in SCORED.split(", "))],
             )
+            if held > HELD // 2:
+                yield from sheet(batch.schema.field(1).type)
+                held = 0
+        if held:
+            yield from sheet(batch.schema.field(1).type)
 
     return run
 
 
-def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, pairs: int = PAIRS) -> DataFrame:
+def _answer(asked: pa.Table, fitted: pa.Table) -> pa.Table:
+    """What the pairs asked of a bucket add to the texts of each sheet."""
+    told = {"sheet": [], "steps": [], "x": []}
+    if len(asked) and len(fitted):
+        group, name, x = (unpacked(fitted[c][0].as_py(), t) for c, t in (("group", np.int64), ("name", np.int64), ("x", np.float32)))
+        keys = pair_hash(group, name)
+        order = np.argsort(keys)
+        keys, x = keys[order], x[order]
+
+        def met(group, name):
+            key = pair_hash(group, name)
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            return np.where(keys[at] == key, x[at], np.float32(0))
+
+        for r in asked.to_pylist() if len(keys) else []:
+            row, group, name = (np.cumsum(unpacked(r["steps"], np.int64)), unpacked(r["group"], np.int64), unpacked(r["name"], np.int64))
+            more = met(group, name)
+            # after a word without a rank the normaliser is asked for too
+            far = np.flatnonzero(group < 0)
+            more[far] += met(group[far], np.full(len(far), WHOLE))
+            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            told["sheet"].append(r["sheet"])
+            told["steps"].append(packed(np.diff(row[first], prepend=0)))
+            told["x"].append(packed(np.add.reduceat(more, first)))
+    return pa.table({"sheet": pa.array(told["sheet"], pa.int64()), "steps": pa.array(told["steps"], pa.binary()), "x": pa.array(told["x"], pa.binary())})
+
+
+def _gathered(data: pa.Table) -> pa.Table:
+    """(_row, far) of a sheet's texts."""
+    row = np.concatenate([np.cumsum(unpacked(s, np.int64)) for s in data["steps"].to_pylist()])
+    x = np.concatenate([unpacked(s, np.float32) for s in data["x"].to_pylist()])
+    rows, back = np.unique(row, return_inverse=True)
+    return pa.table({"_row": pa.array(rows + data["sheet"][0].as_py()), "far": pa.array(np.bincount(back, x, len(rows)))})
+
+
+def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, pairs: int | None = None, sent: int = PAIRS) -> DataFrame:
     """One row per input row: id, n_tokens, n_known, train_tokens, base_score, score.
 
     training: a condition that says which rows the model learns from.  Null texts are empty: one
     token, the end.  Null ids and repeated rows stay rows of their own; without
     training rows every word is unknown; an empty table gives an empty result.  Words are
-    named by 64-bit hashes.
+    named by 64-bit hashes.  All pairs seen in training have a weight; `pairs` asks for a smaller model, of at most so many.  At most
+    `head` words and `sent` pairs are sent to the tasks; that changes no result.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -423,15 +607,22 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     first = np.lexsort((names, -ns))[:PAIR_WORDS]
     rank = np.full(len(names), -1, np.int32)
     rank[first] = np.arange(len(first))
-    weights, counted = train_weights(learn, "_fold", bias, (names, rank, len(first), min(BUCKETS, int(total) // BUCKET_TOKENS + 1)))
+    buckets = min(BUCKETS, int(total) // BUCKET_TOKENS + 1)
+    weights, counted = train_weights(learn, "_fold", bias, (names, rank, len(first), buckets))
     q = (ns[first] + 1) / 10 ** spread[kinds[first]]
-    shared = spark.sparkContext.broadcast((weights, bias.astype(np.float32), spread, names, log_c, rank, *pair_weights(counted, q, kinds[first], pairs)))
-
-    scored = rows.select("_id", "_text").mapInArrow(_score(shared), f"_id {kind}, n_tokens bigint, model double, known bigint, logs double, words array<bigint>, ns array<int>")
-    scored = cut(scored.withColumn("_row", F.monotonically_increasing_id()))
+    fitted, frequent_pairs = pair_weights(counted, counts, q, spread, pairs, sent)
+    shared = spark.sparkContext.broadcast((weights, bias.astype(np.float32), spread, names, log_c, rank, buckets, *frequent_pairs))
+
+    both = cut(rows.select(F.monotonically_increasing_id().alias("_row"), "_id", "_text").mapInArrow(_score(shared), f"_row bigint, _id {kind}, {SCORED}"))
+    scored = both.where("part is null").select("_row", "_id", "n_tokens", "model", "known", "logs", "words", "ns")
+    asked = both.where("part is not null").select("part", "sheet", "steps", "group", "name")
+    told = asked.groupBy("part").cogroup(fitted.select("part", "group", "name", "x").groupBy("part")).applyInArrow(_answer, "sheet bigint, steps binary, x binary")
+    told = told.groupBy("sheet").applyInArrow(_gathered, "_row bigint, far double")
     tail = scored.select("_row", F.explode(F.arrays_zip("words", "ns")).alias("t")).select("_row", F.col("t.words").alias("word"), F.col("t.ns").alias("k"))
     rare = counts.where(F.col("n") < least) if least is not None else counts
-    met = tail.join(rare.select("word", "n"), "word").groupBy("_row").agg(F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum(F.col("k").cast("bigint")).alias("found"))
+    found = tail.join(rare.select("word", "n"), "word").select("_row", (F.col("k") * F.log10(F.col("n") + 1.0)).alias("more"), F.col("k").cast("bigint").alias("found"), F.lit(0.0).alias("far"))
+    found = found.unionByName(told.select("_row", F.lit(0.0).alias("more"), F.lit(0).cast("bigint").alias("found"), (F.col("far") / float(np.log(10))).alias("far")))
+    met = found.groupBy("_row").agg(F.sum("more").alias("more"), F.sum("found").alias("found"), F.sum("far").alias("far"))
     out = scored.drop("words", "ns").join(met, "_row", "left")
     logs = F.col("logs") + F.coalesce("more", F.lit(0.0))
     return out.select(
@@ -440,7 +631,7 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
         (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),
         F.lit(int(total)).cast("bigint").alias("train_tokens"),
         (logs - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))).alias("base_score"),
-        (logs + F.col("model")).alias("score"),
+        (logs + F.col("model") + F.coalesce("far", F.lit(0.0))).alias("score"),
     )
 
 

@@ -108,6 +108,22 @@ def test_score_against_plain_loops(spark, monkeypatch, most):
         assert math.isclose(got[d], want, rel_tol=1e-4), d
 
 
+@pytest.mark.parametrize("most, sent", [(1 << 17, 8), (4, 1 << 21), (4, 0), (0, 8)])
+def test_no_pair_is_left_out(spark, monkeypatch, most, sent):
+    """Pairs that are not sent to the tasks, and pairs of words without a rank, have the same weights and normalisers."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.6, rng.integers(1, 40)) % 30)) for i in range(80)] + [(90, ""), (91, None), (92, "w1 unseen unseen w2 w2")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = lambda **x: {r.doc_id: r.score for r in score(frame, F.col("doc_id") % 4 != 0, **x).collect()}
+    want = scores()
+    monkeypatch.setattr(M, "PAIR_WORDS", most)
+    monkeypatch.setattr(M, "BUCKET_TOKENS", 64)
+    got = scores(head=6, sent=sent)
+    assert got.keys() == want.keys() and len(want) == len(rows)
+    for d, x in want.items():
+        assert math.isclose(got[d], x, rel_tol=1e-5), d
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     got = op5_language_model(spark, f"{DATA}/sf0.01").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
     # an interpolated bigram reaches -3.676
