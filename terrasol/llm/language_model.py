@@ -10,7 +10,7 @@ The second factor is a softmax inside the class, over all its words and one even
 what is unknown:  P(word | class, before) = q(word) * exp(weight(before, word)) / Z(before, class), where q is the
 smoothed share of the word in its class, from counts over all training texts, and every pair of neighbours seen in training has
 a weight.  Pairs not seen have none, so Z = 1 + sum of q * (exp(weight) - 1) over the pairs seen, which is exact.  Its sufficient statistics are the
-counts of pairs, gathered in the same pass as the gradients; a word's followers share no weight with those of another word, so the
+counts of pairs; a word's followers share no weight with those of another word, so the
 gradient updates of different words (and classes) run in different tasks and nothing is averaged.
 
 Counts are exact for every word and pair.  The most frequent words and pairs, bounded numbers, are sent to the
@@ -55,6 +55,8 @@ BUCKET_TOKENS, BUCKETS = 1 << 20, 4096
 HELD = 1 << 20
 #: in place of a word: the normaliser of the group
 WHOLE = 1 << 62
+#: pairs fitted at a time, about
+TOGETHER = 1 << 14
 #: variance of the weights' prior, gradient updates of a pair's weight
 PRIOR, UPDATES = 6.0, 16
 
@@ -214,20 +216,8 @@ def by_bucket(group: np.ndarray, buckets: int):
 
 def _train(shared):
     def run(batches):
-        weights, bias, head, rank, most, buckets = shared.value
-        weights, bias = weights.copy(), bias.copy()
-        square, seen, pairs, held = np.zeros(ROWS, np.float32), 0, [], 0
-
-        def sent(names, messages):
-            for i in range(0, len(names), 64):
-                some = names[i : i + 64]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([seen] * len(some), pa.int64()), pa.array(messages[i : i + 64], pa.binary())], ["part", "seen", "w"])
-
-        def counted():
-            found = [(-1 - b, pack(*(x[o] for x in pairs[0]))) for b, o in by_bucket(pairs[0][0], buckets)]
-            yield from sent([b for b, _ in found], [w for _, w in found])
-            pairs.clear()
-
+        weights, bias = (x.copy() for x in shared.value)
+        square, seen = np.zeros(ROWS, np.float32), 0
         for batch in batches:
             raw, offsets = W.utf8(batch.column(0))
             for i, j in W.slices(offsets):
@@ -236,51 +226,35 @@ def _train(shared):
                 for a in range(0, len(cls), BATCH):
                     update(weights, square, bias, rows[:, a : a + BATCH], cls[a : a + BATCH])
                 seen += len(cls)
-                group, name = paired(word, cls, sizes, ranks(word, head, rank)[2], most)
-                pairs.append((group, name, np.ones(len(group), np.int64)))
-                held += len(group)
-                if held > HELD:
-                    pairs[:] = [added(pairs)]
-                    held = len(pairs[0][0])
-                    if held > HELD * 3 // 4:
-                        yield from counted()
-                        held = 0
-        if pairs:
-            pairs[:] = [added(pairs)]
-            yield from counted()
         if seen:
             parts = weights.reshape(-1, PART * CLASSES)
-            yield from sent(list(range(len(parts))), [p.tobytes() for p in parts])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "seen", "w"])
 
     return run
 
 
 def _merge(data: pa.Table) -> pa.Table:
-    """Weighted mean of one part of the weights, or (negative parts) the sums of one bucket of pairs."""
+    """Weighted mean of one part of the weights."""
     seen = data["seen"].to_numpy()
-    if data["part"][0].as_py() < 0:
-        made = pack(*added([unpack(w) for w in data["w"].to_pylist()]))
-    else:
-        total = np.zeros(PART * CLASSES)
-        for n, w in zip(seen, data["w"].to_pylist()):
-            total += n * np.frombuffer(w, np.float32)
-        made = (total / seen.sum()).astype(np.float32).tobytes()
+    total = np.zeros(PART * CLASSES)
+    for n, w in zip(seen, data["w"].to_pylist()):
+        total += n * np.frombuffer(w, np.float32)
+    made = (total / seen.sum()).astype(np.float32).tobytes()
     return pa.table({"part": data["part"].slice(0, 1), "seen": pa.array([int(seen.sum())], pa.int64()), "w": pa.array([made], pa.binary())})
 
 
-def train_weights(texts: DataFrame, fold: str, bias: np.ndarray, words: tuple, rounds: int = ROUNDS, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, DataFrame]:
-    """Weights after `rounds` rounds, and the counts of pairs by buckets; round r takes the texts whose `fold` is r, so all are
+def train_weights(texts: DataFrame, fold: str, bias: np.ndarray, rounds: int = ROUNDS, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Weights after `rounds` rounds, and the bias; round r takes the texts whose `fold` is r, so all are
     used once.  Shards are runs of the input's partitions, so many that each has about `shard_bytes`, whatever the
-    cluster's cores.  Their messages are averaged, and the pairs' counts added, up a tree.  `words`: the head, its ranks in pairs, the number of these, and
-    the number of buckets."""
+    cluster's cores.  Their messages are averaged up a tree."""
     spark = texts.sparkSession
-    counted = None
     weights = np.zeros((ROWS, CLASSES), np.float32)
+    bias = bias.astype(np.float32)
     size = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     width = max(1, int(size) // rounds // shard_bytes)
     out = "part int, seen bigint, w binary"
     for r in range(rounds):
-        shared = spark.sparkContext.broadcast((weights, bias.astype(np.float32), *words))
+        shared = spark.sparkContext.broadcast((weights, bias))
         sent = texts.where(F.col(fold) == r).select("_text").coalesce(width).mapInArrow(_train(shared), out)
         # averaged up a tree, so no task holds more than about FAN messages
         left = width
@@ -290,25 +264,77 @@ def train_weights(texts: DataFrame, fold: str, bias: np.ndarray, words: tuple, r
             if salts == 1:
                 break
             left = salts
-        sent = cut(sent)
-        shared.unpersist()
-        for row in sent.where("part >= 0").collect():
+        for row in sent.collect():
             weights.reshape(-1, PART * CLASSES)[row["part"]] = np.frombuffer(row["w"], np.float32)
-        pairs = sent.where("part < 0")
-        counted = pairs if counted is None else counted.unionByName(pairs)
-    return weights, cut(counted.groupBy("part").applyInArrow(_merge, out))
+        shared.unpersist()
+    return weights, bias
+
+
+def _pairs(shared):
+    """(part, w): a task's pairs and their counts by buckets, handed on whenever many are held."""
+
+    def run(batches):
+        head, rank, most, buckets = shared.value
+        pairs, held = [], 0
+
+        def counted():
+            found = [(b, pack(*(x[o] for x in pairs[0]))) for b, o in by_bucket(pairs[0][0], buckets)]
+            pairs.clear()
+            for i in range(0, len(found), 64):
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found[i : i + 64]], pa.int32()), pa.array([w for _, w in found[i : i + 64]], pa.binary())], ["part", "w"])
+
+        for batch in batches:
+            raw, offsets = W.utf8(batch.column(0))
+            for i, j in W.slices(offsets):
+                word, cls, sizes = tokens(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                group, name = paired(word, cls, sizes, ranks(word, head, rank)[2], most)
+                pairs.append((group, name, np.ones(len(group), np.int64)))
+                held += len(group)
+                if held > HELD:
+                    pairs[:] = [added(pairs)]
+                    held = len(pairs[0][0])
+                    if held > HELD * 3 // 4:
+                        yield from counted()
+                        held = 0
+        if pairs:
+            pairs[:] = [added(pairs)]
+            yield from counted()
+
+    return run
+
+
+def _sums(data: pa.Table) -> pa.Table:
+    """The pairs of one bucket."""
+    return pa.table({"part": data["part"].slice(0, 1), "w": pa.array([pack(*added([unpack(w) for w in data["w"].to_pylist()]))], pa.binary())})
 
 
 def fit_pairs(q: np.ndarray, n: np.ndarray, group: np.ndarray, total: np.ndarray, prior: float = PRIOR, updates: int = UPDATES) -> tuple[np.ndarray, np.ndarray]:
     """Weights of pairs and log Z of their groups (the word before and the class) by gradient updates of the
     likelihood with a normal prior, each one scaled by the curvature's bound.  q: the word's share in its class; n: the pair's
-    count; total: tokens of the group."""
-    weight = np.zeros(len(n))
-    for _ in range(updates):
-        e = q * np.exp(weight)
-        mean = total[group] * e / (1 + np.bincount(group, e - q, len(total)))[group]
-        weight += np.clip((n - mean - weight / prior) / (np.maximum(mean, n) + 1 / prior), -2, 2)
-    return weight, np.log(1 + np.bincount(group, q * np.exp(weight) - q, len(total)))
+    count; group: rising; total: tokens of the group.  Some groups at a time, whose arrays stay near the processor."""
+    weight, log_z = np.zeros(len(n)), np.zeros(len(total))
+    starts = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(n))
+    bounds = np.unique(starts[np.searchsorted(starts, np.append(np.arange(0, len(n), TOGETHER), len(n)))])
+    for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        own = group[i:j]
+        at = np.flatnonzero(np.diff(own, prepend=-1))
+        size = np.diff(np.append(at, j - i))
+        all_, share, seen, x = np.repeat(total[own[at]], size), q[i:j], n[i:j], np.zeros(j - i)
+        for _ in range(updates):
+            e = share * np.exp(x)
+            mean = all_ * e / np.repeat(1 + np.add.reduceat(e - share, at), size)
+            x += np.clip((seen - mean - x / prior) / (np.maximum(mean, seen) + 1 / prior), -2, 2)
+        weight[i:j] = x
+        log_z[own[at]] = np.log(1 + np.add.reduceat(share * np.exp(x) - share, at))
+    return weight, log_z
+
+
+def sought(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted number among rising keys (some at least), and whether it is there; looked up in order, which is faster."""
+    order = np.argsort(wanted)
+    at = np.empty(len(wanted), np.int64)
+    at[order] = np.minimum(np.searchsorted(keys, wanted[order]), len(keys) - 1)
+    return at, keys[at] == wanted
 
 
 def _steps(batches):
@@ -334,44 +360,41 @@ def _rare(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(name), part, np.int32)), pa.array(name)], ["part", "name"])
 
 
-#: of a bucket: frequent pairs and their weights, log Z of groups after words with ranks; all other pairs, and groups, with what they add
-FITTED = "part int, pair binary, pair_x binary, z binary, z_x binary, group binary, name binary, x binary, rest bigint"
+def _fitted(blob: bytes, counts_of, q: np.ndarray, spread: np.ndarray, least: int) -> tuple:
+    """A bucket's pairs that have a weight (group, name, n, weight), and its groups and their log Z.
+    counts_of: counts of the rising names of words without a rank."""
+    group, name, n = unpack(blob)
+    kinds, back = np.unique(group, return_inverse=True)
+    total = np.bincount(back, n, len(kinds))
+    share = np.empty(len(n))
+    ranked = name >= 0
+    share[ranked] = q[name[ranked]]
+    names, at = np.unique(name[~ranked], return_inverse=True)
+    share[~ranked] = (counts_of(names)[at] + 1) / 10 ** spread[group[~ranked] & (CLASSES - 1)]
+    keep = n >= least
+    group, name, n, back = group[keep], name[keep], n[keep], back[keep]
+    weight, log_z = fit_pairs(share[keep], n, back, total)
+    full = np.bincount(back, minlength=len(kinds)) > 0
+    return group, name, n, weight, kinds[full], log_z[full]
+
+
+#: of a bucket: frequent pairs and their weights, log Z of groups after words with ranks, counts of the words without one, number of other pairs
+FITTED = "part int, pair binary, pair_x binary, z binary, z_x binary, rare binary, rest bigint"
 
 
 def _fit(shared):
     def run(counted: pa.Table, rare: pa.Table) -> pa.Table:
-        q, spread, least, sent = shared.value
+        *known, sent = shared.value
         if not len(counted):
             return pa.schema([(k, {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}[t]) for k, t in (f.split() for f in FITTED.split(", "))]).empty_table()
-        group, name, n = unpack(counted["w"][0].as_py())
-        kinds, back = np.unique(group, return_inverse=True)
-        total = np.bincount(back, n, len(kinds))
-        keep = n >= least
-        group, name, n, back = group[keep], name[keep], n[keep], back[keep]
-        share = np.empty(len(n))
-        ranked = name >= 0
-        share[ranked] = q[name[ranked]]
-        if not ranked.all():
-            words, counts = rare["name"].to_numpy(), rare["n"].to_numpy()
-            order = np.argsort(words)
-            at = order[np.searchsorted(words, name[~ranked], sorter=order)]
-            share[~ranked] = (counts[at] + 1) / 10 ** spread[group[~ranked] & (CLASSES - 1)]
-        weight, log_z = fit_pairs(share, n, back, total)
-        full = np.bincount(back, minlength=len(kinds)) > 0
-        kinds, log_z = kinds[full], log_z[full]
-        near = (group >= 0) & ranked & (n >= sent)
+        words, counts = rare["name"].to_numpy(), rare["n"].to_numpy()
+        order = np.argsort(words)
+        words, counts = words[order], counts[order]
+        group, name, n, weight, kinds, log_z = _fitted(counted["w"][0].as_py(), lambda names: counts[np.searchsorted(words, names)], *known)
+        near = (group >= 0) & (name >= 0) & (n >= sent)
         own = kinds >= 0
-        # a group after a word without a rank is met as a pair of its own
-        made = {
-            "pair": group[near] * PAIR_WORDS + name[near],
-            "pair_x": weight[near].astype(np.float32),
-            "z": kinds[own],
-            "z_x": log_z[own].astype(np.float32),
-            "group": np.concatenate([group[~near], kinds[~own]]),
-            "name": np.concatenate([name[~near], np.full((~own).sum(), WHOLE)]),
-            "x": np.concatenate([weight[~near], -log_z[~own]]).astype(np.float32),
-        }
-        return pa.table({"part": counted["part"].slice(0, 1), **{k: pa.array([packed(v)], pa.binary()) for k, v in made.items()}, "rest": pa.array([len(made["x"])], pa.int64())})
+        made = {"pair": group[near] * PAIR_WORDS + name[near], "pair_x": weight[near].astype(np.float32), "z": kinds[own], "z_x": log_z[own].astype(np.float32), "rare": counts}
+        return pa.table({"part": counted["part"].slice(0, 1), **{k: pa.array([packed(v)], pa.binary()) for k, v in made.items()}, "rest": pa.array([int((~near).sum())], pa.int64())})
 
     return run
 
@@ -386,19 +409,20 @@ def threshold(steps: DataFrame, most: int) -> int | None:
     return least
 
 
-def pair_weights(counted: DataFrame, counts: DataFrame, q: np.ndarray, spread: np.ndarray, pairs: int | None, sent: int) -> tuple[DataFrame, tuple]:
-    """(fitted, (keys of the frequent pairs, rising, their weights, log Z by word before and class, whether there are other pairs)).
+def pair_weights(counted: DataFrame, counts: DataFrame, q: np.ndarray, spread: np.ndarray, pairs: int | None, sent: int) -> tuple[DataFrame, tuple, tuple]:
+    """Buckets (part, w, rare) of all pairs with the counts of their words, what fits them, and (keys of the frequent pairs, rising, their weights,
+    log Z by word before and class, whether there are other pairs).
     q: share of the words of pairs by rank; all pairs have a weight, or those with a count from which on there are at most `pairs`."""
     most = len(q)
     steps = cut(counted.select("w").mapInArrow(_steps, "near boolean, step bigint, v bigint, n bigint").groupBy("near", "step").agg(F.sum("v").alias("v"), F.min("n").alias("n")))
     none = np.iinfo(np.int64).max
     least = 1 if pairs is None else threshold(steps, pairs)
     often = threshold(steps.where("near"), sent)
-    shared = counted.sparkSession.sparkContext.broadcast((q, spread, none if least is None else least, none if often is None else often))
+    known = (q, spread, none if least is None else least, none if often is None else often)
     rare = counted.select("part", "w").mapInArrow(_rare, "part int, name bigint")
     named = counts.select(F.col("word").bitwiseOR(F.lit(-(2**63))).alias("name"), "n")
     met = rare.join(named.hint("merge"), "name").select("part", "name", "n")
-    fitted = cut(counted.groupBy("part").cogroup(met.groupBy("part")).applyInArrow(_fit(shared), FITTED))
+    fitted = cut(counted.groupBy("part").cogroup(met.groupBy("part")).applyInArrow(_fit(counted.sparkSession.sparkContext.broadcast(known)), FITTED))
     log_z = np.zeros((most + 1) * CLASSES, np.float32)
     keys, x, rest = [], [], False
     for r in fitted.select("pair", "pair_x", "z", "z_x", "rest").toArrow().to_pylist():
@@ -408,7 +432,7 @@ def pair_weights(counted: DataFrame, counts: DataFrame, q: np.ndarray, spread: n
         rest = rest or r["rest"] > 0
     keys, x = np.concatenate([*keys, np.empty(0, np.int64)]), np.concatenate([*x, np.empty(0, np.float32)])
     order = np.argsort(keys)
-    return fitted, (keys[order], x[order], log_z, rest)
+    return counted.join(fitted.select("part", "rare"), "part"), known, (keys[order], x[order], log_z, rest)
 
 
 def _count(batches):
@@ -445,7 +469,7 @@ def _count(batches):
         yield rows()
 
 
-#: a text's row, or (part not null) pairs of a bucket asked by the texts of a sheet, whose rows are `_row` and the sums of `steps`
+#: a text's row, or (`_row` null) pairs of a bucket asked by the texts of a sheet, whose rows are `_row` and the sums of `steps`
 SCORED = "n_tokens bigint, model double, known bigint, logs double, words array<bigint>, ns array<int>, part int, sheet bigint, steps binary, group binary, name binary"
 
 
@@ -458,7 +482,7 @@ def _score(shared):
         def sheet(ids):
             row, group, name = (np.concatenate(x) for x in zip(*asked))
             asked.clear()
-            found = [(-1 - b, packed(np.diff(row[o], prepend=row[0])), packed(group[o]), packed(name[o])) for b, o in by_bucket(group, buckets)]
+            found = [(b, packed(np.diff(row[o], prepend=row[0])), packed(group[o]), packed(name[o])) for b, o in by_bucket(group, buckets)]
             for i in range(0, len(found), 64):
                 part, steps, groups, names = zip(*found[i : i + 64])
                 n = len(part)
@@ -492,8 +516,7 @@ def _score(shared):
                 if len(pairs):
                     both = near[name[near] >= 0]
                     key = group[both] * PAIR_WORDS + name[both]
-                    where = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-                    met = pairs[where] == key
+                    where, met = sought(pairs, key)
                     gain[both] += np.where(met, pair_x[where], 0)
                     far[both[met]] = False
                 gain = gain / np.log(10) - spread[cls]
@@ -527,7 +550,8 @@ def _score(shared):
                     pa.array(join(logs, float), pa.float64()),
                     pa.ListArray.from_arrays(bounds, pa.array(join(tail_words, np.int64), pa.int64())),
                     pa.ListArray.from_arrays(bounds, pa.array(join(tail_ns, np.int32), pa.int32())),
-                    *(pa.nulls(n, t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())),
+                    pa.array(numbers % buckets, pa.int32()),
+                    *(pa.nulls(n, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary())),
                 ],
                 ["_row", "_id", *(f.split()[0] for f in SCORED.split(", "))],
             )
@@ -540,31 +564,42 @@ def _score(shared):
     return run
 
 
-def _answer(asked: pa.Table, fitted: pa.Table) -> pa.Table:
-    """What the pairs asked of a bucket add to the texts of each sheet."""
-    told = {"sheet": [], "steps": [], "x": []}
-    if len(asked) and len(fitted):
-        group, name, x = (unpacked(fitted[c][0].as_py(), t) for c, t in (("group", np.int64), ("name", np.int64), ("x", np.float32)))
-        keys = pair_hash(group, name)
-        order = np.argsort(keys)
-        keys, x = keys[order], x[order]
+def _answer(shared):
+    """Rows of texts as they are, and what the pairs asked of a bucket add to the texts of each sheet."""
 
-        def met(group, name):
-            key = pair_hash(group, name)
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            return np.where(keys[at] == key, x[at], np.float32(0))
-
-        for r in asked.to_pylist() if len(keys) else []:
-            row, group, name = (np.cumsum(unpacked(r["steps"], np.int64)), unpacked(r["group"], np.int64), unpacked(r["name"], np.int64))
-            more = met(group, name)
+    def run(both: pa.Table, bucket: pa.Table) -> pa.Table:
+        *known, sent = shared.value
+        texts = both.filter(both["_row"].is_valid()).drop_columns(["part", "sheet", "steps", "group", "name"])
+        asked = both.filter(both["_row"].is_null()).select(["sheet", "steps", "group", "name"]).to_pylist() if len(bucket) else []
+        told = {"sheet": [], "steps": [], "x": []}
+        if asked:
+            counts = unpacked(bucket["rare"][0].as_py(), np.int64)
+            group, name, n, weight, kinds, log_z = _fitted(bucket["w"][0].as_py(), lambda names: counts, *known)
+            rest, own = (group < 0) | (name < 0) | (n < sent), kinds >= 0
             # after a word without a rank the normaliser is asked for too
-            far = np.flatnonzero(group < 0)
-            more[far] += met(group[far], np.full(len(far), WHOLE))
-            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            told["sheet"].append(r["sheet"])
-            told["steps"].append(packed(np.diff(row[first], prepend=0)))
-            told["x"].append(packed(np.add.reduceat(more, first)))
-    return pa.table({"sheet": pa.array(told["sheet"], pa.int64()), "steps": pa.array(told["steps"], pa.binary()), "x": pa.array(told["x"], pa.binary())})
+            keys = np.concatenate([pair_hash(group[rest], name[rest]), pair_hash(kinds[~own], np.full((~own).sum(), WHOLE))])
+            x = np.concatenate([weight[rest], -log_z[~own]])
+            order = np.argsort(keys)
+            keys, x = keys[order], x[order]
+            for r in asked if len(keys) else []:
+                row, group, name = np.cumsum(unpacked(r["steps"], np.int64)), unpacked(r["group"], np.int64), unpacked(r["name"], np.int64)
+                far = np.flatnonzero(group < 0)
+                at, met = sought(keys, np.concatenate([pair_hash(group, name), pair_hash(group[far], np.full(len(far), WHOLE))]))
+                found = np.where(met, x[at], 0)
+                more = found[: len(row)]
+                more[far] += found[len(row) :]
+                first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                told["sheet"].append(r["sheet"])
+                told["steps"].append(packed(np.diff(row[first], prepend=0)))
+                told["x"].append(packed(np.add.reduceat(more, first).astype(np.float32)))
+        kinds = {"sheet": pa.int64(), "steps": pa.binary(), "x": pa.binary()}
+        n = len(told["sheet"])
+        answers = pa.table({**{f.name: pa.nulls(n, f.type) for f in texts.schema}, **{k: pa.array(told[k], t) for k, t in kinds.items()}})
+        for k, t in kinds.items():
+            texts = texts.append_column(k, pa.nulls(len(texts), t))
+        return pa.concat_tables([texts, answers])
+
+    return run
 
 
 def _gathered(data: pa.Table) -> pa.Table:
@@ -608,16 +643,18 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     rank = np.full(len(names), -1, np.int32)
     rank[first] = np.arange(len(first))
     buckets = min(BUCKETS, int(total) // BUCKET_TOKENS + 1)
-    weights, counted = train_weights(learn, "_fold", bias, (names, rank, len(first), buckets))
+    weights, bias = train_weights(learn, "_fold", bias)
+    words = spark.sparkContext.broadcast((names, rank, len(first), buckets))
+    counted = cut(learn.select("_text").mapInArrow(_pairs(words), "part int, w binary").groupBy("part").applyInArrow(_sums, "part int, w binary"))
     q = (ns[first] + 1) / 10 ** spread[kinds[first]]
-    fitted, frequent_pairs = pair_weights(counted, counts, q, spread, pairs, sent)
-    shared = spark.sparkContext.broadcast((weights, bias.astype(np.float32), spread, names, log_c, rank, buckets, *frequent_pairs))
-
-    both = cut(rows.select(F.monotonically_increasing_id().alias("_row"), "_id", "_text").mapInArrow(_score(shared), f"_row bigint, _id {kind}, {SCORED}"))
-    scored = both.where("part is null").select("_row", "_id", "n_tokens", "model", "known", "logs", "words", "ns")
-    asked = both.where("part is not null").select("part", "sheet", "steps", "group", "name")
-    told = asked.groupBy("part").cogroup(fitted.select("part", "group", "name", "x").groupBy("part")).applyInArrow(_answer, "sheet bigint, steps binary, x binary")
-    told = told.groupBy("sheet").applyInArrow(_gathered, "_row bigint, far double")
+    fitting, known, frequent_pairs = pair_weights(counted, counts, q, spread, pairs, sent)
+    shared = spark.sparkContext.broadcast((weights, bias, spread, names, log_c, rank, buckets, *frequent_pairs))
+
+    both = rows.select(F.monotonically_increasing_id().alias("_row"), "_id", "_text").mapInArrow(_score(shared), f"_row bigint, _id {kind}, {SCORED}")
+    texts = f"_row bigint, _id {kind}, {SCORED.split(', part')[0]}"
+    told = cut(both.groupBy("part").cogroup(fitting.groupBy("part")).applyInArrow(_answer(spark.sparkContext.broadcast(known)), f"{texts}, sheet bigint, steps binary, x binary"))
+    scored = told.where("_row is not null").drop("sheet", "steps", "x")
+    told = told.where("sheet is not null").select("sheet", "steps", "x").groupBy("sheet").applyInArrow(_gathered, "_row bigint, far double")
     tail = scored.select("_row", F.explode(F.arrays_zip("words", "ns")).alias("t")).select("_row", F.col("t.words").alias("word"), F.col("t.ns").alias("k"))
     rare = counts.where(F.col("n") < least) if least is not None else counts
     found = tail.join(rare.select("word", "n"), "word").select("_row", (F.col("k") * F.log10(F.col("n") + 1.0)).alias("more"), F.col("k").cast("bigint").alias("found"), F.lit(0.0).alias("far"))
