@@ -29,7 +29,7 @@ def following(points: DataFrame, keys: list[str]) -> DataFrame:
     sizes = points.groupBy(*keys).agg(F.count("*").alias("m"))
     here = points.join(sizes, keys)
     after = points.select(*keys, F.col("idx").alias("_next"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    return here.withColumn("_next", ((F.col("idx") + 1) % F.col("m")).cast("int")).join(after, [*keys, "_next"]).drop("_next")
+    return here.withColumn("_next", ((F.col("idx") + 1) % F.col("m")).cast("int")).join(after.hint("merge"), [*keys, "_next"]).drop("_next")
 
 
 def edges_of(points: DataFrame) -> DataFrame:

@@ -276,7 +276,12 @@ def terrace_areas(spark, sf_dir):
     return P.min_area_filter(P.patch_area(P.label_runs(N.majority_filter(one, "one"), "mode", D.WIDTH)))
 
 
+def terrace_cells(spark, sf_dir):
+    """Elevations beside the probabilities: both grow with the input, so none is sent to all tasks by way of the driver."""
+    return elevation(spark, sf_dir).join(D.terrace_probabilities(spark, sf_dir).hint("merge"), ["row", "col"])
+
+
 @query()
 def terrace_map(spark, sf_dir):
     """The forest workflow from probabilities to selected patches."""
-    return W.terrace_patches(elevation(spark, sf_dir).join(D.terrace_probabilities(spark, sf_dir), ["row", "col"]), D.WIDTH)
+    return W.terrace_patches(terrace_cells(spark, sf_dir), D.WIDTH)

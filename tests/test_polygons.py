@@ -10,6 +10,8 @@ from terrasol.operators import outlines as O
 from terrasol.operators import patches as P
 from terrasol.operators import ranks as R
 from terrasol.operators import topology as T
+from terrasol.plans import patch_queries
+from tests.conftest import DATA
 
 TURN = {(1, 0): 0, (0, 1): 1, (-1, 0): 2, (0, -1): 3}
 
@@ -295,3 +297,9 @@ def test_patches_of_every_bound_meet_cells_of_every_bound(spark):
     got = {tuple(r) for r in P.near_patches(lows, steeps, 1.0, low_by=("low_max",), steep_by=("steep_min",)).select("low_max", "steep_min", "patch_id").collect()}
     gap = lambda a, b: max(abs(a - b) - 1, 0)
     assert got == {(a, b, p) for a, p, r, c in low for b, y, x in steep if gap(r, y) ** 2 + gap(c, x) ** 2 <= 1}
+
+
+def test_terrace_map_sends_no_table_to_all_tasks(spark):
+    assert "Broadcast" not in plan_of(patch_queries.terrace_cells(spark, f"{DATA}/sf0.001"))
+    points = spark.createDataFrame([(0, 0, 0.0, 0.0)], "patch_id long, idx int, x double, y double")
+    assert "BroadcastHashJoin" not in plan_of(T.following(points, ["patch_id"])).split("HashAggregate")[0]
